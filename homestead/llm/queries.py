@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from homestead.llm import exact_dedup
+from homestead.llm import exact_dedup, packing, substring
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_packing": packing.op2_packing,
+    "op6_substring_dedup": substring.op6_substring_dedup,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op6_substring_dedup": substring.SQL,
 }
