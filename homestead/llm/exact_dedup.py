@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from homestead.llm.common import free_name, plain_text, shared_dir, small, table, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk in RocksDB; its files take the room they fill, and commits write changes, not snapshots.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -61,8 +66,9 @@ class ExactDeduplicator:
 
     def _advance(self, fresh: DataFrame) -> None:
         """Runs the stream over the arrivals that it has not seen yet."""
-        spark, old = self.spark, self.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        spark, old = self.spark, {k: self.spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         try:
             stream = spark.readStream.schema(fresh.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.home}/arrivals/*")
             state = stream.groupBy("digest").agg(F.max(F.struct("id", "uid", "n_bytes", "file")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -70,7 +76,8 @@ class ExactDeduplicator:
             query = state.writeStream.outputMode("update").option("checkpointLocation", f"{self.home}/state").foreachBatch(put).trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def _decisions(self) -> DataFrame:
         """The last decision of each digest."""
