@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from homestead.llm import exact_dedup, packing, substring
+from homestead.llm import exact_dedup, packing, quality, substring
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
+    "op4_quality": quality.op4_quality,
     "op6_substring_dedup": substring.op6_substring_dedup,
 }
 
