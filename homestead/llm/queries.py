@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from homestead.llm import exact_dedup, packing, quality, substring
+from homestead.llm import decontam, exact_dedup, packing, quality, substring, templates
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
+    "op3_decontamination": decontam.op3_decontamination,
     "op4_quality": quality.op4_quality,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op9_line_templates": templates.op9_line_templates,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op6_substring_dedup": substring.SQL,
+    "op9_line_templates": templates.SQL,
 }
