@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from homestead.llm import decontam, exact_dedup, packing, quality, substring, templates
+from homestead.llm import decontam, exact_dedup, lattice, packing, quality, substring, templates
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op4_quality": quality.op4_quality,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op8_lm_scoring": lattice.op8_lm_scoring,
     "op9_line_templates": templates.op9_line_templates,
 }
 
