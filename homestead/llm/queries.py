@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from homestead.llm import decontam, exact_dedup, lattice, packing, quality, substring, templates
+from homestead.llm import decontam, exact_dedup, html_text, lattice, packing, quality, substring, templates
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_packing": packing.op2_packing,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_quality": quality.op4_quality,
+    "op5_html_text": html_text.op5_html_text,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_lm_scoring": lattice.op8_lm_scoring,
     "op9_line_templates": templates.op9_line_templates,
