@@ -31,7 +31,7 @@ POOL_PIECES, POOL_TOKENS = 4096, 2_000_000
 #: Windows that one step of training takes.
 STEP_WINDOWS = 16
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
