@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from homestead.llm import decontam, exact_dedup, html_text, lattice, packing, quality, substring, templates
+from homestead.llm import decontam, exact_dedup, html_text, jaccard, lattice, packing, quality, substring, templates
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_lm_scoring": lattice.op8_lm_scoring,
     "op9_line_templates": templates.op9_line_templates,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 SQL = {
