@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, table
+from homestead.llm.common import free_name, plain_text, table
 
 BUCKETS, WIDTH, NGRAMS = 1 << 18, 16, (2, 3, 4)
 #: At most so many labelled rows are learned from, the same ones each time; they are taken by a hash of the id.
 TRAIN_ROWS = 6000
 EPOCHS, RATE, SEED = 6, 4.0, 7
+#: Documents that score less are rejected.
+THRESHOLD = 0.3
 #: Longest text in bytes that is hashed at once; longer ones are cut between words.
 CHUNK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -160,8 +162,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     return docs.withColumn(name, probability(plain_text(F.col(text_col))))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs that score at least the threshold; same columns. Empty texts have the score of the prior."""
+    name = free_name(docs, "score")
+    return score(docs, learn(docs, labels, text_col=text_col), text_col, name).where(F.col(name) >= threshold).drop(name)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
