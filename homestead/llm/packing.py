@@ -35,51 +35,45 @@ MEMO_WORDS = 1_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-_memo: dict[str, dict[str, bytes]] = {}
+class Memo(dict):
+    """The ids (little-endian unsigned 32-bit) of words; those met first are remembered."""
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def default_tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
 
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their token ids (little-endian unsigned 32-bit).
+    def __missing__(self, word: str) -> bytes:
+        ids = self.ids(word)
+        if len(self) < MEMO_WORDS:
+            self[word] = ids
+        return ids
 
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its
-    words in order, and the ids of words met before are remembered.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer, memo = Tokenizer.from_file(path), _memo.setdefault(path, {})
-    raw = lambda e: np.array(e.ids, "<u4").tobytes()
+_memos: dict[str, Memo] = {}
 
-    def encode(texts: list[str]) -> list[bytes]:
-        words = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list(set().union(*(w for w in words if w)) - memo.keys())
-        known = memo
-        if new:
-            ids = dict(zip(new, map(raw, tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            if len(memo) + len(new) <= MEMO_WORDS:
-                memo.update(ids)
-            else:
-                known = _Both(ids, memo)
-        get = known.__getitem__
-        return [raw(tokenizer.encode(t, add_special_tokens=False)) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
-    return encode
+def default_tokenizer_file() -> str:
+    import public_tokenizers
 
+    return public_tokenizers.path("word_bpe_49k.json")
 
-class _Both(dict):
-    """Looks a word up in the memo if it is not among the new ones."""
 
-    def __init__(self, new: dict, memo: dict):
-        super().__init__(new)
-        self.memo = memo
+def encoder(path: str) -> Callable[[str], bytes]:
+    """A function from a text to its token ids.
 
-    def __missing__(self, word: str) -> bytes:
-        return self.memo[word]
+    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its
+    words in order.
+    """
+    if path not in _memos:
+        _memos[path] = Memo(path)
+    memo = _memos[path]
+    of = memo.__getitem__
+    return lambda text: memo.ids(text) if ODD_SPACE.search(text) else b"".join(map(of, text.split()))
 
 
 class Pool:
@@ -167,19 +161,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         pool = Pool((TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, tiers)
         out: list[tuple] = []
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                for doc, raw in zip(part["id"].tolist(), encode(part["text"].tolist()), strict=True):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    doc = None if doc is None or doc != doc else int(doc)
-                    full = len(ids) // longest * longest
-                    for start in range(0, full, longest):
-                        out += pool.rows(longest, [(doc, start, ids[start : start + longest], len(ids))], pool.next_group)
-                        pool.next_group += 1
-                    if full < len(ids):
-                        pool.add((doc, full, ids[full:], len(ids)))
-                    if pool.pieces >= POOL_PIECES or pool.tokens >= POOL_TOKENS:
-                        out += pool.packed()
+            for doc, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
+                ids = np.frombuffer(encode(text) + end, "<u4")
+                doc = None if doc is None or doc != doc else int(doc)
+                full = len(ids) // longest * longest
+                for start in range(0, full, longest):
+                    out += pool.rows(longest, [(doc, start, ids[start : start + longest], len(ids))], pool.next_group)
+                    pool.next_group += 1
+                if full < len(ids):
+                    pool.add((doc, full, ids[full:], len(ids)))
+                if pool.pieces >= POOL_PIECES or pool.tokens >= POOL_TOKENS:
+                    out += pool.packed()
             if out:
                 yield frame(out)
                 out = []
