@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from homestead.llm import decontam, exact_dedup, html_text, jaccard, lattice, packing, quality, substring, templates
+from homestead.llm import decontam, exact_dedup, html_text, jaccard, lattice, packing, quality, substring, suffix, templates
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_html_text": html_text.op5_html_text,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op7_suffix_dedup": suffix.op7_suffix_dedup,
     "op8_lm_scoring": lattice.op8_lm_scoring,
     "op9_line_templates": templates.op9_line_templates,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
