@@ -1,0 +1,107 @@
+"""Delimited and key-value text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], schema: str | T.StructType, sep: str = ",", na: tuple[str, ...] = ("", "NA"), header: bool = True, strict: bool = True) -> DataFrame:
+    """Typed scan. Missing-value strings become null; what a column's type cannot hold is an error, or null if not strict.
+
+    Columns are read as text, so that each missing-value string is known, and cast after; Spark prunes the columns not used.
+    """
+    types = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in types])
+    rows = spark.read.schema(text).csv(path, sep=sep, header=header, quote='"', escape='"', mode="FAILFAST" if strict else "PERMISSIVE", enforceSchema=not header)
+
+    def typed(f: T.StructField):
+        c = F.when(F.col(f"`{f.name}`").isin(*na), None).otherwise(F.col(f"`{f.name}`"))
+        return (c.cast(f.dataType) if strict else c.try_cast(f.dataType)).alias(f.name)
+
+    return rows.select(*(typed(f) for f in types))
+
+
+def read_inferred(spark: SparkSession, path: str, sep: str = ",", na: tuple[str, ...] = ("", "NA"), header: bool = True) -> DataFrame:
+    """A column is a number if every value is one or missing, else a string. Unnamed columns become "V n". One extra pass finds the kinds."""
+    rows = spark.read.csv(path, sep=sep, header=header, quote='"', escape='"', inferSchema=False)
+    names = [f"V {i + 1}" if not c or c.startswith("_c") else c for i, c in enumerate(rows.columns)]
+    rows = rows.toDF(*names)
+    clean = rows.select(*(F.when(F.col(f"`{c}`").isin(*na), None).otherwise(F.col(f"`{c}`")).alias(c) for c in names))
+    odd = clean.agg(*(F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(str(i)) for i, c in enumerate(names))).first()
+    return clean.select(*(F.col(f"`{c}`").cast("double").alias(c) if odd[i] == 0 else F.col(f"`{c}`") for i, c in enumerate(names)))
+
+
+def read_with_header_file(spark: SparkSession, data: str, header: str, sep: str = "\t") -> DataFrame:
+    """Data without a header line, its names from another file."""
+    names = spark.read.text(header).first()[0].split(sep)
+    return spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(data, sep=sep)
+
+
+def read_many(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """Several files as one frame with the file's name and its number in the list."""
+    parts = [read_delimited(spark, p, **options).withColumns({"file_name": F.lit(p.rsplit("/", 1)[-1]), "file_number": F.lit(i + 1)}) for i, p in enumerate(paths)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_after_lines(spark: SparkSession, path: str, skip: int, names_line: int, sep: str = ",") -> DataFrame:
+    """A file whose first `skip` lines are no data; line `names_line` (from 1) has the names."""
+    top = [r[0] for r in spark.read.text(path).limit(skip).collect()]
+    names = top[names_line - 1].split(sep)
+    lines = spark.read.text(path).where(~F.col("value").isin(*top))
+    return lines.select(F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"sep": sep}).alias("r")).select("r.*")
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Key, tab, value lines."""
+    return spark.read.text(path).select(F.split("value", "\t", 2).alias("p")).select(F.col("p")[0].alias("key"), F.get("p", 1).alias("value"))
+
+
+def read_captures(spark: SparkSession, path: str, pattern: str, names: list[str]) -> DataFrame:
+    """The groups of a pattern as columns; lines that it does not match are left out."""
+    rows = spark.read.text(path).where(F.col("value").rlike(pattern))
+    return rows.select(*(F.regexp_extract("value", pattern, i + 1).alias(n) for i, n in enumerate(names)))
+
+
+def read_single_column(spark: SparkSession, path: str, kind: str = "double", header: bool = True) -> DataFrame:
+    return read_delimited(spark, path, f"value {kind}", header=header)
+
+
+def transformed(df: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A hook that changes records as they are read."""
+    return change(df)
+
+
+def write_delimited(df: DataFrame, path: str, sep: str = ",", na: str = "NA", header: bool = True, quote_all: bool = False, compression: str = "none") -> None:
+    """NaN and null are written as the missing-value string."""
+    plain = df.select(*(F.nanvl(F.col(f"`{f.name}`"), F.lit(None)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema))
+    plain.write.csv(path, sep=sep, nullValue=na, header=header, quoteAll=quote_all, escape='"', compression=compression, mode="overwrite")
+
+
+def write_pairs(df: DataFrame, path: str, key: str, value: str) -> None:
+    df.select(F.concat_ws("\t", F.col(key).cast("string"), F.col(value).cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_columns(df: DataFrame, path: str, sorted_by: list[str] = []) -> None:  # noqa: B006
+    """A column store: readers take only the columns they name."""
+    (df.sortWithinPartitions(*sorted_by) if sorted_by else df).write.mode("overwrite").parquet(path)
+
+
+def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    return spark.read.parquet(path).select(*columns)
+
+
+def write_split(valid: DataFrame, rejects: DataFrame, path: str) -> None:
+    """Kept and rejected rows beside each other."""
+    valid.write.mode("overwrite").parquet(f"{path}/valid")
+    rejects.write.mode("overwrite").parquet(f"{path}/rejects")
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
+    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
