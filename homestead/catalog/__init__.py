@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from homestead.catalog import joins, models, scalars, sets, stats, vectors
+from homestead.catalog.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "joins", "models", "scalars", "sets", "stats", "vectors"]
