@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """A stream of the Parquet files of a folder."""
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A stream of the Parquet files of a folder, or of one file."""
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
