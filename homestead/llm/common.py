@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of text that go to a Python worker at once.
+TEXTS_AT_ONCE = "2000"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends rows to Python workers in batches that hold long texts within memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_AT_ONCE)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import free_name, plain_text, shared_dir, small, table, written
+from homestead.llm.common import free_name, plain_text, shared_dir, short_batches, small, table, written
 from homestead.llm.graph import components
 from homestead.llm.shingles import mix, shingle_set
 
@@ -153,10 +153,14 @@ def meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
     shared = rows.join(often, "item").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("by_df"))
     need = F.col("n") - F.ceil(F.col("n") * PER / OF) + 1
     alone = F.col("n") - F.size("by_df")
-    kept = shared.where(need > alone).select("cls", "n", F.explode(F.slice("by_df", 1, (need - alone).cast("int"))).alias("e")).select("cls", "n", F.col("e.item").alias("item"))
+    first = F.slice("by_df", 1, F.greatest((need - alone).cast("int"), F.lit(0)))
+    kept = shared.select("cls", "n", alone.alias("alone"), F.posexplode(first).alias("at", "e")).select("cls", "n", (F.col("alone") + F.col("at") + 1).alias("place"), F.col("e.item").alias("item"))
     kept = written(kept.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "rarest")
-    left, right = kept.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"), "item"), kept.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"), "item")
-    near = left.join(right, "item").where(f"a < b AND a_c <> b_c AND {OF} * least(a_n, b_n) >= {PER} * greatest(a_n, b_n)")
+    left, right = (kept.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("component").alias(f"{x}_c"), F.col("place").alias(f"{x}_at"), "item") for x in ("a", "b"))
+    # of sets of these two sizes so many shingles must be common; one of the common ones is so early in either order
+    common = f"(({PER} * (a_n + b_n) + {PER + OF - 1}) div {PER + OF})"
+    early = f"a_at <= a_n - {common} + 1 AND b_at <= b_n - {common} + 1"
+    near = left.join(right, "item").where(f"a < b AND a_c <> b_c AND {OF} * least(a_n, b_n) >= {PER} * greatest(a_n, b_n) AND {early}")
     return near.select("a", "b").distinct()
 
 
@@ -166,7 +170,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A null text is empty; a document without words has no set, no class and no links. Ids may be null or occur again; a
     null id is never a component's id unless it has no other. Only the id and text columns are read.
     """
-    spark = docs.sparkSession
+    spark = short_batches(docs).sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), plain_text(F.col(text_col)).cast("binary").alias("text"))
     found = texts.mapInArrow(_index, "sig long, cls long, n int, doc_id long").repartition("sig").mapInArrow(_meet, "kind int, a long, b long, n int")
     path = shared_dir(spark, "met")
