@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from homestead.llm.common import free_name, plain_text, shared_dir, small, table, written
 
-#: State on disk in RocksDB; its files take the room they fill, and commits write changes, not snapshots.
+#: State on disk in RocksDB; its files take the room they fill, and commits write changes, not snapshots; memory is bounded for each executor.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 
 

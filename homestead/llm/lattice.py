@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, shared_dir, table, written
+from homestead.llm.common import plain_text, shared_dir, short_batches, table, written
 
 #: A word is looked up where documents are read if it makes up this share of the tokens at least: so there are at most as many as its inverse.
 FREQUENT = 1 / 300_000
@@ -194,7 +194,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     Learns from rows whose crc32(id as text) modulo folds is not held_out; a null id is held out of neither. A null text is the
     empty text: its end alone is scored. Ids may occur again. Only the id and text columns are read.
     """
-    spark = docs.sparkSession
+    spark = short_batches(docs).sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), plain_text(F.col(text_col)).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == held_out, F.lit(False)))
     words = written(counted(rows), "words")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from homestead.llm.common import plain_text, table
+from homestead.llm.common import plain_text, short_batches, table
 
 TIERS = (256, 512, 1024, 2048)
 #: Pieces that wait in a task before they are packed, and tokens in them at most.
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if pool.pieces:
             yield frame(pool.packed())
 
-    return docs.select(docs[id_col].cast("long").alias("id"), plain_text(docs[text_col]).alias("text")).mapInPandas(run, SCHEMA)
+    return short_batches(docs).select(docs[id_col].cast("long").alias("id"), plain_text(docs[text_col]).alias("text")).mapInPandas(run, SCHEMA)
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:

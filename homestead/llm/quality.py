@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import free_name, plain_text, table
+from homestead.llm.common import free_name, plain_text, short_batches, table
 
 BUCKETS, WIDTH, NGRAMS = 1 << 18, 16, (2, 3, 4)
 #: At most so many labelled rows are learned from, the same ones each time; they are taken by a hash of the id.
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the probability of class 1 from the whole text. A null text counts as empty; an empty one gets the prior."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = short_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, table, written
+from homestead.llm.common import plain_text, short_batches, table, written
 
 #: Units of fewer words are left alone: short ones recur by chance.
 MIN_WORDS = 5
@@ -37,7 +37,7 @@ def cut_units(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", text_
             if rows:
                 yield pd.DataFrame(rows, columns=["uid", "id", "unit_no", "start", "length", "digest"]).astype({"id": "Int64"})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), plain_text(F.col(text_col)).alias("text"))
+    rows = short_batches(docs).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), plain_text(F.col(text_col)).alias("text"))
     return rows.mapInPandas(run, "uid bigint, id bigint, unit_no int, start int, length int, digest binary")
 
 

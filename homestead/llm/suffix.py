@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, small, table, written
+from homestead.llm.common import plain_text, short_batches, small, table, written
 from homestead.llm.shingles import _BACK, _POWER, mix
 
 LENGTH, REACH, GRAM = 400, 150, 32
@@ -181,7 +181,7 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key and spans (array of start, end in bytes; they may overlap) of all texts with a repeated string."""
-    texts = _keyed(docs, id_col, text_col)
+    texts = _keyed(short_batches(docs), id_col, text_col)
     found = written(texts.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "id long, text_key long, anchor int, lo int, hi int, lead long, around long"), "anchors")
     classes = found.groupBy("lead", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_key", "anchor", "lo", "hi")).alias("one"))
     classes = written(classes, "classes")
