@@ -21,4 +21,5 @@ SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op6_substring_dedup": substring.SQL,
     "op9_line_templates": templates.SQL,
+    "op10_jaccard_join": jaccard.SQL,
 }
