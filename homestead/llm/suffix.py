@@ -74,12 +74,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for doc, key, text in zip(batch["id"], batch["text_key"], batch["text"], strict=True):
-            for a, lo, hi, lead, around in anchors(np.frombuffer(text, np.uint8)):
-                out.append(pd.DataFrame({"id": pd.Series([doc] * len(a), dtype="Int64"), "text_key": key, "anchor": a, "lo": lo, "hi": hi, "lead": lead, "around": around}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        found, sizes = [], np.zeros(len(batch), np.int64)
+        for i, text in enumerate(batch["text"].tolist()):
+            for part in anchors(np.frombuffer(text, np.uint8)):
+                found.append(part)
+                sizes[i] += len(part[0])
+        if found:
+            own = batch[["id", "text_key"]].iloc[np.repeat(np.arange(len(batch)), sizes)].reset_index(drop=True)
+            columns = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield own.assign(**dict(zip(("anchor", "lo", "hi", "lead", "around"), columns, strict=True))).astype({"id": "Int64"})
 
 
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,6 +186,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, text_key and spans (array of start, end in bytes; they may overlap) of all texts with a repeated string."""
     texts = _keyed(short_batches(docs), id_col, text_col)
     found = written(texts.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "id long, text_key long, anchor int, lo int, hi int, lead long, around long"), "anchors")
+    often = written(found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead"), "often")
+    found = written(found.join(small(often, often.count()), "lead", "left_semi"), "candidates")
     classes = found.groupBy("lead", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_key", "anchor", "lo", "hi")).alias("one"))
     classes = written(classes, "classes")
     leads = classes.groupBy("lead").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
