@@ -30,6 +30,8 @@ from homestead.llm.shingles import mix, shingle_set
 PER, OF, WORDS = 80, 100, 5
 #: Ratio of the bounds of a size band; segments more than needed; size from which a segment's neighbourhood is indexed.
 BAND, SPARE, LARGE = 1.5, 0.02, 10
+#: Parities of so many parts of a set, in words of 64 bits; sets differ in at least as many shingles as parities.
+PARITIES, FEW_PARITIES = 64, 4
 MEMBER, STAR, BUCKET = 0, 1, 2
 _SIGS = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64())])
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
@@ -127,20 +129,37 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[at : at + 100_000]), kind, np.int32)), *(pa.array(np.ascontiguousarray(x[at : at + 100_000])) for x in (a, b, c))], schema=_FOUND)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether each of PARITIES * 64 parts of the universe holds an odd number of the set's shingles."""
+    odd = np.bincount(((s >> np.uint64(40)) % np.uint64(PARITIES * 64)).astype(np.int64), minlength=PARITIES * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cls and set of documents."""
+    """cls, set and parities of documents."""
     for batch in batches:
         rows = [shingle_set(t.as_buffer().to_pybytes()) for t in batch.column("text")]
         rows = [r for r in rows if len(r)]
-        yield pa.RecordBatch.from_arrays([pa.array([set_class(r) for r in rows], pa.int64()), pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["cls", "items"])
+        odd = [parities(r) for r in rows]
+        few = [np.bitwise_xor.reduce(o.reshape(-1, FEW_PARITIES), axis=0) for o in odd]
+        yield pa.RecordBatch.from_arrays([pa.array([set_class(r) for r in rows], pa.int64()), pa.array([len(r) for r in rows], pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64())), pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["cls", "n", "odd", "few", "items"])
+
+
+def may_be_similar(odd: str, words: int) -> str:
+    """Of sets a and b with columns {x}_n and {x}_<odd>: False only if their parities differ in more places than similar sets may."""
+    differ = " + ".join(f"bit_count(a_{odd}[{i}] ^ b_{odd}[{i}])" for i in range(words))
+    return f"({differ}) * {OF + PER} <= (a_n + b_n) * {OF - PER}"
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, by their whole sets."""
-    other = sets.select(F.col("cls").alias("b"), F.col("items").alias("b_items"))
-    both = pairs.join(other, "b").join(sets.select(F.col("cls").alias("a"), F.col("items").alias("a_items")), "a")
-    common = F.size(F.array_intersect("a_items", "b_items"))
-    return both.withColumn("common", common).where(OF * F.col("common") >= PER * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b")
+    """The pairs (a, b) of classes that are similar: those that parities leave, by their whole sets."""
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_similar("odd", PARITIES)).select("a", "b"), "near")
+    n = near.count()
+    right = sets.select(F.col("cls").alias("b"), F.col("items").alias("b_items")).join(small(near, n), "b")
+    left = sets.select(F.col("cls").alias("a"), F.col("items").alias("a_items")).join(small(near.select("a").distinct(), n), "a", "left_semi")
+    both = right.join(left, "a").withColumn("common", F.size(F.array_intersect("a_items", "b_items")))
+    return both.where(OF * F.col("common") >= PER * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b")
 
 
 def meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -148,19 +167,20 @@ def meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
     Of a set of n shingles any similar one shares eight of ten, so one of its rarest n - ceil(0.8 n) + 1 at least.
     """
-    rows = sets.select("cls", F.size("items").alias("n"), F.explode("items").alias("item"))
+    rows = sets.select("cls", "n", F.explode("items").alias("item"))
     often = written(rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     shared = rows.join(often, "item").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("by_df"))
     need = F.col("n") - F.ceil(F.col("n") * PER / OF) + 1
     alone = F.col("n") - F.size("by_df")
     first = F.slice("by_df", 1, F.greatest((need - alone).cast("int"), F.lit(0)))
     kept = shared.select("cls", "n", alone.alias("alone"), F.posexplode(first).alias("at", "e")).select("cls", "n", (F.col("alone") + F.col("at") + 1).alias("place"), F.col("e.item").alias("item"))
+    kept = kept.join(sets.select("cls", "few"), "cls")
     kept = written(kept.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "rarest")
-    left, right = (kept.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("component").alias(f"{x}_c"), F.col("place").alias(f"{x}_at"), "item") for x in ("a", "b"))
+    left, right = (kept.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("component").alias(f"{x}_c"), F.col("place").alias(f"{x}_at"), F.col("few").alias(f"{x}_few"), "item") for x in ("a", "b"))
     # of sets of these two sizes so many shingles must be common; one of the common ones is so early in either order
     common = f"(({PER} * (a_n + b_n) + {PER + OF - 1}) div {PER + OF})"
     early = f"a_at <= a_n - {common} + 1 AND b_at <= b_n - {common} + 1"
-    near = left.join(right, "item").where(f"a < b AND a_c <> b_c AND {OF} * least(a_n, b_n) >= {PER} * greatest(a_n, b_n) AND {early}")
+    near = left.join(right, "item").where(f"a < b AND a_c <> b_c AND {OF} * least(a_n, b_n) >= {PER} * greatest(a_n, b_n) AND {early} AND {may_be_similar('few', FEW_PARITIES)}")
     return near.select("a", "b").distinct()
 
 
@@ -200,8 +220,9 @@ def _sets_of(texts: DataFrame, members: DataFrame, classes: DataFrame) -> DataFr
     one = members.where("cls IS NOT NULL").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id")).alias("one"))
     one = written(one.select(F.col("one.id").alias("one_id")).distinct(), "needed")
     some = texts.join(small(one, one.count()), texts["id"].eqNullSafe(one["one_id"]), "left_semi")
-    sets = some.mapInArrow(_sets, "cls long, items array<long>")
-    return written(sets.groupBy("cls").agg(F.any_value("items").alias("items")), "sets")
+    sets = written(some.mapInArrow(_sets, "cls long, n int, odd array<long>, few array<long>, items array<long>"), "sets")
+    n, distinct = sets.agg(F.count(F.lit(1)), F.count_distinct("cls")).first()
+    return sets if n == distinct else written(sets.dropDuplicates(["cls"]), "sets")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
