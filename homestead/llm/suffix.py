@@ -183,7 +183,7 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key and spans (array of start, end in bytes; they may overlap) of all texts with a repeated string."""
+    """id, text_key and spans (array of start, end in bytes; apart from each other, in order) of all texts with a repeated string."""
     texts = _keyed(short_batches(docs), id_col, text_col)
     found = written(texts.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "id long, text_key long, anchor int, lo int, hi int, lead long, around long"), "anchors")
     often = written(found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead"), "often")
@@ -208,7 +208,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         crowded = written(crowded, "windows")
         twice = written(crowded.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
         spans = spans.unionByName(crowded.join(twice, ["h1", "h2"]).select("id", "text_key", "start", (F.col("start") + LENGTH).alias("end")))
-    return spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    apart = F.pandas_udf(_apart, "array<struct<start: int, end: int>>")
+    grouped = spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return grouped.withColumn("spans", apart("spans"))
 
 
 def _repeats(texts: DataFrame) -> bool:
@@ -225,13 +227,17 @@ def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _apart(spans: pd.Series) -> pd.Series:
+    return spans.map(lambda own: [{"start": s, "end": e} for s, e in _merged(own)])
+
+
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
     for text, own in zip(texts, spans, strict=True):
         if text is None or own is None:
             rows.append((0, 0, None))
             continue
-        merged, at, kept = _merged(own), 0, []
+        merged, at, kept = [(s["start"], s["end"]) for s in own], 0, []
         for s, e in merged:
             kept.append(text[at:s])
             at = e
