@@ -43,16 +43,18 @@ def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = tree_lines(docs, id_col, text_col)
     leaves = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     leaves = written(leaves, "leaves")
-    reached = written(lines.join(small(leaves, leaves.count()), "leaf", "left_semi"), "reached")
-    tokens = reached.select("leaf", "id", "line_no", "n_tokens", F.posexplode(F.split(masked(F.col("line")), " ")).alias("place", "token"))
-    constant = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != WILD))
+    reached = written(lines.join(small(leaves, leaves.count()), "leaf", "left_semi").withColumn("key", F.xxhash64("line")), "reached")
+    # equal lines are parsed once
+    kinds = written(reached.groupBy("leaf", "key").agg(F.any_value("line").alias("line"), F.any_value("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n")), "kinds")
+    tokens = kinds.select("leaf", "key", "n", "n_tokens", F.posexplode(F.split(masked(F.col("line")), " ")).alias("place", "token"))
+    constant = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != WILD))
     constant = written(constant.drop("n"), "constant")
     marked = tokens.join(constant.withColumn("same", F.lit(True)), ["leaf", "place", "token"], "left")
-    marked = marked.select("leaf", "id", "line_no", "n_tokens", "place", F.when(F.col("same"), F.col("token")).otherwise(F.lit(WILD)).alias("token"))
-    made = marked.groupBy("leaf", "id", "line_no", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("parts"), F.count_if(F.col("token") == WILD).alias("n_wild"))
-    made = made.where(F.col("n_wild") <= max_wild * F.col("n_tokens")).select("id", "line_no", F.array_join("parts.token", " ").alias("template"))
-    made = written(made, "templates")
-    often = made.distinct().select("id", "template").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    marked = marked.select("leaf", "key", "n_tokens", "place", F.when(F.col("same"), F.col("token")).otherwise(F.lit(WILD)).alias("token"))
+    made = marked.groupBy("leaf", "key", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("parts"), F.count_if(F.col("token") == WILD).alias("n_wild"))
+    made = written(made.where(F.col("n_wild") <= max_wild * F.col("n_tokens")).select("leaf", "key", F.array_join("parts.token", " ").alias("template")), "templates")
+    made = written(reached.select("id", "line_no", "leaf", "key").join(made, ["leaf", "key"]).select("id", "line_no", "template"), "placed")
+    often = made.select("id", "template").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     often = written(often, "recurring")
     return made.join(often, "template").select("id", "line_no", "template", "n_docs")
 
