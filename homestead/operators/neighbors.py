@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homestead.functions import kernels, numbers, vectors
+from homestead.functions import kernels, numbers
 
 #: Queries that one block holds.
 MAX_QUERIES = 2000
@@ -137,6 +137,3 @@ def local_linear(neighbours: DataFrame, y: str, x: str, at: str, k: int, ridge:
 def distance_columns(features: list[str], other: str = "q_") -> Column:
     """Euclidean distance over named columns of two joined rows."""
     return F.sqrt(sum((F.pow(F.col(f) - F.col(other + f), 2) for f in features[1:]), F.pow(F.col(features[0]) - F.col(other + features[0]), 2)))
-
-
-__all__ = ["class_vote", "distance_columns", "gaussian_weights", "kernel_average", "knn_average", "local_linear", "nearest", "prefix_averages", "smooth", "space_time_candidates", "space_time_nearest", "vectors"]
