@@ -75,7 +75,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _index(batches: Iterator[pa.RecordBatch], sigs: bool = True) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, texts = batch.column("id").to_pylist(), batch.column("text")
         for at in range(0, len(docs), 500):
