@@ -7,7 +7,8 @@ not indexed; what they would cover is covered by a few more segments and by the
 largest segments, in which sets that differ in one shingle meet. A set that this leaves short indexes its empty segments too.
 
 What meets in a bucket is not compared pair by pair: all are compared with the first one, exactly, and
-components are formed. Where a bucket holds several components after that, its sets are partitioned once more as
+components are formed. Where a bucket holds several components after that, its sets, those too that are of no size to be
+similar to the first one, are partitioned once more as
 finely as can be, one shingle a segment, of which each set needs only its rarest ones; only pairs of different
 components that still meet are compared. So groups of thousands of copies cost a row for each, and passages that many
 documents share lead to no pairs.
@@ -95,7 +96,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members as they are; for buckets of several classes each one with the smallest; rows of buckets of three or more."""
+    """Members as they are; for buckets of several classes each one with the smallest; rows of buckets of three or more.
+
+    A class that is of no size to be similar to the smallest, but to another one of its bucket, is paired with itself.
+    """
     sig, cls, size = [], [], []
     for batch in batches:
         n = batch.column("n").to_numpy()
@@ -124,6 +128,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pair &= low.astype(np.int64) * OF >= high.astype(np.int64) * PER
     pairs = np.unique(np.stack([cls[first[pair]], cls[pair]], 1), axis=0) if pair.any() else np.empty((0, 2), np.int64)
     big = np.repeat(n >= 3, n)
+    by_size = np.lexsort((size, sig))
+    close = (sig[by_size][1:] == sig[by_size][:-1]) & (size[by_size][:-1].astype(np.int64) * OF >= size[by_size][1:].astype(np.int64) * PER)
+    mate = np.zeros(len(sig), bool)
+    mate[by_size[1:][close]] = mate[by_size[:-1][close]] = True
+    loose = np.unique(cls[big & mate & ~pair & (first != np.arange(len(sig)))])
+    pairs = np.concatenate([pairs, np.stack([loose, loose], 1)])
     for kind, a, b, c in ((STAR, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int32)), (BUCKET, sig[big], cls[big], size[big])):
         for at in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[at : at + 100_000]), kind, np.int32)), *(pa.array(np.ascontiguousarray(x[at : at + 100_000])) for x in (a, b, c))], schema=_FOUND)
@@ -199,7 +209,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     members = read(MEMBER).select(F.col("b").alias("id"), F.col("a").alias("cls"), F.col("n").alias("n_shingles"))
     stars = written(read(STAR).select("a", "b").distinct(), "stars")
     sets = _sets_of(texts, members, stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct())
-    links = written(linked(stars, sets), "links")
+    links = written(linked(stars.where("a <> b"), sets), "links")
     labels = components(links)
     buckets = read(BUCKET).select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     named = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))

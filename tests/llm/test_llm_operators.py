@@ -302,6 +302,17 @@ def test_jaccard_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i in range(len(texts)) if find(i) == i)
 
 
+def test_jaccard_links_classes_whose_buckets_start_with_other_sizes(spark):
+    rng = random.Random(12)
+    y = prose(rng, 14)
+    texts = [y, y + " " + prose(rng, 1)] + [f"{y} " + " ".join(f"e{i}x{k}" for k in range(4)) for i in range(300)]
+    sets = [shingled(t) for t in texts]
+    assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+    assert all(100 * len(sets[k] & s) < 80 * len(sets[k] | s) for k in (0, 1) for s in sets[2:])
+    rows = jaccard.groups(frame(spark, texts)).collect()
+    assert sorted((r.id, r.component_id) for r in rows) == [(i, max(0, i - (i == 1))) for i in range(len(texts))]
+
+
 def test_jaccard_of_odd_input(spark):
     rows = jaccard.groups(frame(spark, ["a b c d e f", "a b c d e f", None, "", "x y"], [None, 4, 5, None, 9])).collect()
     assert sorted((str(r.id), r.n_shingles, r.component_id) for r in rows) == [("4", 2, 4), ("5", 0, 5), ("9", 1, 9), ("None", 0, None), ("None", 2, 4)]
