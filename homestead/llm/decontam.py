@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from homestead.llm.common import BROADCAST_ROWS, plain_text, small, table, written
 
-#: 1: the token counts, 0: it is ignored.
-MASKS = ("110110010111", "111010110011")
-SPAN = len(MASKS[0])
+#: By tokens of a stretch, up to which the masks serve (1: the token counts, 0: it is ignored). However the substitutions lie
+#: that a stretch may hold, one in five tokens, one of the masks finds a place in it that has none.
+MASKS = {
+    9: ("1111", "11011", "10111", "11101"),
+    14: ("111011", "11010011", "11111"),
+    20: ("1111011", "110100010011", "11001010000011", "1110111"),
+}
 #: Items of fewer tokens match by chance and are not looked for.
 SHORTEST = 5
 #: Tokens of the compared stretch (the whole item if it is shorter), and the share that must be equal.
@@ -33,20 +37,27 @@ def seed(words: Column, at: Column, mask: str) -> Column:
 
 def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """rows with a row for each token and mask: at (the token's place, from 0) and seed."""
+    if not masks:
+        return rows.limit(0).select("*", F.lit(0).alias("at"), F.lit(0).cast("long").alias("seed"))
     placed = rows.select("*", F.posexplode("words").alias("at", "first")).drop("first")
     return placed.select("*", F.explode(F.array(*(seed(F.col("words"), F.col("at"), m) for m in masks))).alias("seed"))
 
 
+def masks_of(width: int) -> tuple[str, ...]:
+    """The masks for stretches of so many tokens."""
+    return next(masks for most, masks in MASKS.items() if width <= most)
+
+
 def item_seeds(items: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
-    """The seeds of all items, and the masks: the spaced ones, and for items shorter than those their whole length."""
-    short = sorted(r[0] for r in items.where(F.col("n").between(SHORTEST, SPAN - 1)).select("n").distinct().collect())
-    masks = MASKS + tuple("1" * n for n in short)
-    span = F.when(F.col("n") >= SPAN, SPAN).otherwise(F.col("n"))
-    placed = items.select("item", "words", "n", F.explode(F.sequence(F.lit(0), F.col("n") - span)).alias("at"))
-    long = placed.where(F.col("n") >= SPAN).select("item", "at", F.explode(F.array(*(seed(F.col("words"), F.col("at"), m) for m in MASKS))).alias("seed"))
-    for n in short:
-        long = long.unionByName(placed.where(F.col("n") == n).select("item", "at", seed(F.col("words"), F.col("at"), "1" * n).alias("seed")))
-    return long.distinct(), masks
+    """The seeds of all items at all places, and the masks that items of their lengths need."""
+    widths = [r[0] for r in items.select(F.least("n", F.lit(WINDOW)).alias("width")).distinct().collect()]
+    masks = sorted({m for w in widths for m in masks_of(w)})
+    own = items.select("item", "words", "n").limit(0).select("item", F.lit(0).alias("at"), F.lit(0).cast("long").alias("seed"))
+    for mask in masks:
+        needed = [w for w in widths if mask in masks_of(w) and w >= len(mask)]
+        fit = items.where(F.least("n", F.lit(WINDOW)).isin(needed)).select("item", "words", F.explode(F.sequence(F.lit(0), F.col("n") - len(mask))).alias("at"))
+        own = own.unionByName(fit.select("item", "at", seed(F.col("words"), F.col("at"), mask).alias("seed")))
+    return own.distinct(), tuple(masks)
 
 
 def best_window(words: Column, item: Column, n: Column, shift: Column) -> Column:
@@ -61,7 +72,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each contaminated document and item: id, item, equal, width, start (token of the document), item_start.
 
     Null texts hold nothing. A document is named by its id: rows with one id, or with null, are reported once. Items with
-    a null id are items too. Only the id and text columns are read.
+    a null id are items too. Only the id and text columns are read. The search is complete down to a share of SHARE.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.filter(tokens(F.col(item_text)), lambda w: w != "").alias("words")).withColumn("n", F.size("words"))
     items = written(items.where(F.col("n") >= SHORTEST).distinct(), "items")

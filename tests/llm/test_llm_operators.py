@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -130,6 +132,32 @@ def test_decontamination_finds_substituted_passages_only(spark):
     assert decontam.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_masks_leave_out_no_pattern():
+    for width in range(decontam.SHORTEST, decontam.WINDOW + 1):
+        spots = [{at + k for k, c in enumerate(m) if c == "1"} for m in decontam.masks_of(width) for at in range(width - len(m) + 1)]
+        for lost in itertools.combinations(range(width), width - math.ceil(decontam.SHARE * width)):
+            assert any(spot.isdisjoint(lost) for spot in spots), (width, lost)
+
+
+def test_decontamination_finds_any_tolerated_substitutions(spark):
+    rng = random.Random(6)
+    items = [" ".join(f"i{n}x{k}" for k in range(n)) for n in (5, 7, 9, 10, 12, 14, 15, 16, 18, 20, 24)]
+    texts, expected = [], set()
+    for i, item in enumerate(items):
+        width = min(len(item.split()), decontam.WINDOW)
+        allowed = width - math.ceil(decontam.SHARE * width)
+        patterns = list(itertools.combinations(range(width), allowed))
+        for lost in rng.sample(patterns, min(30, len(patterns))) + [tuple(range(allowed + 1))]:
+            words = item.split()[:width]
+            for k in lost:
+                words[k] = "other"
+            if len(lost) == allowed:
+                expected.add((len(texts), i))
+            texts.append(prose(rng, 6) + " " + " ".join(words) + " " + prose(rng, 6))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.id, r.item) for r in decontam.contaminated(frame(spark, texts), bench).collect()} == expected
+
+
 def test_quality_learns_held_out_labels(spark):
     rng = random.Random(1)
     texts = [prose(rng, 40) if i % 2 else " ".join(f"{w}###" for w in prose(rng, 40).split()) for i in range(400)]
