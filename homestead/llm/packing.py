@@ -2,12 +2,12 @@
 
 Each task reads its part of the documents once and packs what it reads; nothing is shuffled, so no source,
 group of copies or long document can gather anywhere, and a task that is run again gives the same pieces.
-A document of n tokens first gives n // 2048 full windows. What is left is routed to the smallest
+A document of n tokens first gives n // 2048 full windows, which wait to be dealt. What is left is routed to the smallest
 context tier (256, 512, 1024 or 2048) that holds it and waits in a pool. When the pool is full, the
 tiers are packed from the longest to the shortest: each window opens with the longest piece of its tier and
 its gap is filled with the longest waiting pieces that fit, from its own and all shorter tiers; a gap that
-no piece fits is filled by cutting one. The windows of a pool are dealt to step groups so that groups get
-like sums of squared piece lengths, the cost of attention. The last window of a pool, which alone cannot be
+no piece fits is filled by cutting one. The windows of a pool, with the full ones that wait, are dealt to step groups so that groups get
+like numbers of windows and like sums of squared piece lengths, the cost of attention. The last window of a pool, which alone cannot be
 filled, is cut into powers of two.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from homestead.llm.common import plain_text, short_batches, table
 
 TIERS = (256, 512, 1024, 2048)
-#: Pieces that wait in a task before they are packed, and tokens in them at most.
+#: Pieces that wait in a task before they are packed, and tokens in them and in full windows at most.
 POOL_PIECES, POOL_TOKENS = 4096, 2_000_000
 #: Windows that one step of training takes.
 STEP_WINDOWS = 16
@@ -82,6 +82,7 @@ class Pool:
     def __init__(self, first_sequence: int, tiers: tuple[int, ...] = TIERS):
         self.tiers, self.next_sequence, self.next_group = tiers, first_sequence, first_sequence
         self.by_length: dict[int, list] = {}
+        self.full: list[tuple] = []
         self.lengths: list[int] = []
         self.pieces = self.tokens = 0
 
@@ -93,6 +94,9 @@ class Pool:
         self.by_length[n].append(piece)
         self.pieces, self.tokens = self.pieces + 1, self.tokens + n
 
+    def ready(self) -> bool:
+        return self.pieces + len(self.full) >= POOL_PIECES or self.tokens + len(self.full) * self.tiers[-1] >= POOL_TOKENS
+
     def take(self, most: int) -> tuple | None:
         """The longest waiting piece of at most so many tokens."""
         at = bisect.bisect_right(self.lengths, most) - 1
@@ -127,8 +131,9 @@ class Pool:
             yield window, inside
 
     def packed(self) -> list[tuple]:
-        """Rows of all waiting pieces, with step groups of like cost."""
-        made = list(self.windows())
+        """Rows of all waiting pieces and full windows, with step groups of like cost."""
+        made = [*((self.tiers[-1], [piece]) for piece in self.full), *self.windows()]
+        self.full = []
         groups = max(1, -(-len(made) // STEP_WINDOWS))
         made.sort(key=lambda w: -sum(len(p[2]) ** 2 for p in w[1]))
         rows = []
@@ -166,16 +171,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 doc = None if doc is None or doc != doc else int(doc)
                 full = len(ids) // longest * longest
                 for start in range(0, full, longest):
-                    out += pool.rows(longest, [(doc, start, ids[start : start + longest], len(ids))], pool.next_group)
-                    pool.next_group += 1
+                    pool.full.append((doc, start, ids[start : start + longest], len(ids)))
+                    if pool.ready():
+                        out += pool.packed()
                 if full < len(ids):
                     pool.add((doc, full, ids[full:], len(ids)))
-                if pool.pieces >= POOL_PIECES or pool.tokens >= POOL_TOKENS:
+                if pool.ready():
                     out += pool.packed()
             if out:
                 yield frame(out)
                 out = []
-        if pool.pieces:
+        if pool.pieces or pool.full:
             yield frame(pool.packed())
 
     return short_batches(docs).select(docs[id_col].cast("long").alias("id"), plain_text(docs[text_col]).alias("text")).mapInPandas(run, SCHEMA)

@@ -117,6 +117,19 @@ def test_packing_covers_every_token_once(spark):
     assert packing.pack(frame(spark, ["a b", "a b", "c"], [None, None, 4])).count() >= 3
 
 
+def test_packing_deals_long_texts_to_groups_of_like_size_and_cost(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 40_000) for _ in range(6)] + [prose(rng, rng.randint(20, 900)) for _ in range(60)]
+    windows, groups = collections.Counter(), collections.defaultdict(set)
+    for r in packing.pack(frame(spark, texts).coalesce(1)).collect():
+        windows[r.sequence_id] += r.length**2
+        groups[r.step_group].add(r.sequence_id)
+    assert sum(map(len, groups.values())) == len(windows) > 6 * packing.STEP_WINDOWS
+    sizes, costs = [len(g) for g in groups.values()], [sum(windows[s] for s in g) for g in groups.values()]
+    assert max(sizes) <= packing.STEP_WINDOWS and max(sizes) - min(sizes) <= 1
+    assert max(costs) - min(costs) <= 2 * max(windows.values())
+
+
 def test_decontamination_finds_substituted_passages_only(spark):
     rng = random.Random(5)
     items = [prose(rng, 40), prose(rng, 25), "just seven words are in this item", "too short", None, ""]
