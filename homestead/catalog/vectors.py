@@ -110,8 +110,8 @@ def surface_distance_topk(t: Tables):
     from pyspark.sql import Window
 
     rows = places(t)
-    q = F.broadcast(rows.where("id % 100 = 0").select(F.col("id").alias("query"), *(F.col(c).alias(f"q_{c}") for c in ("lat", "lon", "year"))))
+    q = rows.where("id % 100 = 0").select(F.col("id").alias("query"), *(F.col(c).alias(f"q_{c}") for c in ("lat", "lon", "year")))
     d = numbers.surface_distance(F.col("lat"), F.col("lon"), F.col("year"), F.col("q_lat"), F.col("q_lon"), F.col("q_year"), 1000.0)
-    both = rows.crossJoin(q).withColumn("distance", d)
+    both = neighbors.with_queries(rows, q).withColumn("distance", d)
     ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")))
     return ranked.where("r <= 10").select("query", "id", F.round("distance", 2).alias("distance"))

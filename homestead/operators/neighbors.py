@@ -96,12 +96,20 @@ def smooth(neighbours: DataFrame, own: DataFrame, y: str, k: int) -> DataFrame:
     return own.join(near, "query").where(F.col("__n") == k - 1).select("query", ((F.col(y) + F.col("__s")) / k).alias("estimate"))
 
 
+def with_queries(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each of the rows with each query (column query): the queries are counted, and sent to the rows in blocks of about MAX_QUERIES."""
+    blocks = max(1, -(-asked.count() // MAX_QUERIES))
+    parts = [rows.crossJoin(F.broadcast(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else asked)) for b in range(blocks)]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both
+
+
 def space_time_candidates(queries: DataFrame, rows: DataFrame, max_k: int) -> DataFrame:
-    """query, id, space2, time2, y of the max_k nearest rows in space and in time (the union). lat, lon, year, y in both; queries are few."""
+    """query, id, space2, time2, y of the max_k nearest rows in space and in time (the union). lat, lon, year, y in both."""
     q = queries.select(F.col("id").alias("query"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.col("year").alias("q_year"))
-    if q.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; take them in blocks")
-    both = rows.crossJoin(F.broadcast(q)).select("query", "id", "y", numbers.space_distance2(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon")).alias("space2"), numbers.time_distance2(F.col("year"), F.col("q_year"), 1.0).alias("time2"))
+    both = with_queries(rows, q).select("query", "id", "y", numbers.space_distance2(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon")).alias("space2"), numbers.time_distance2(F.col("year"), F.col("q_year"), 1.0).alias("time2"))
     top = lambda by: both.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy(by, "id"))).where(F.col("__r") <= max_k).drop("__r")
     return top("space2").union(top("time2")).distinct()
 

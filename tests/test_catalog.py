@@ -40,3 +40,16 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name", ["space_time_two_stage", "surface_distance_topk"])
+def test_queries_beyond_a_block_give_the_same_rows(spark, tmp_path, monkeypatch, name):
+    from homestead.operators import neighbors
+
+    spark.range(0, 900).selectExpr("id AS s_suppkey", "CAST(id * 7 % 50 AS DOUBLE) AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    whole = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert whole["query"].nunique() == 9
+    monkeypatch.setattr(neighbors, "MAX_QUERIES", 2)
+    blocks = catalog.QUERIES[name](spark, str(tmp_path))
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 5
+    assert plain(blocks.toPandas()) == plain(whole)
