@@ -53,3 +53,12 @@ def test_queries_beyond_a_block_give_the_same_rows(spark, tmp_path, monkeypatch,
     blocks = catalog.QUERIES[name](spark, str(tmp_path))
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 5
     assert plain(blocks.toPandas()) == plain(whole)
+
+
+def test_streamed_windows_of_many_unordered_files_equal_the_tables(spark, tmp_path):
+    rows = spark.range(0, 240).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, CAST(id * 37 % 240 AS INT)) AS ts", "CONCAT('t', id % 2) AS event_type", "CAST(id AS DOUBLE) AS value")
+    rows.unionByName(rows.withColumn("value", rows.value + 10)).repartitionByRange(240, "id").write.parquet(f"{tmp_path}/events.parquet")
+    assert sum(f.endswith(".parquet") for f in os.listdir(tmp_path / "events.parquet")) > 200
+    streamed, whole = (catalog.QUERIES[name](spark, str(tmp_path)).toPandas() for name in ("hourly_windows_streamed", "hourly_windows"))
+    assert len(whole) == 240
+    assert plain(streamed) == plain(whole)
