@@ -1,17 +1,19 @@
 """Documents whose sets of word shingles have a Jaccard similarity of at least 0.8, and the groups they form.
 
 Two sets that similar differ in at most a ninth of their sizes' sum. The universe of shingles is therefore partitioned
-by hash into one segment more than a size band allows differences: in one segment at least the two are equal. Each set is
-indexed by the hashes of its segments. Empty segments, which would meet those of everyone, cost too much and are
-not indexed; what they would cover is covered by a few more segments and by the one-deletion neighbourhoods of the
-largest segments, in which sets that differ in one shingle meet. A set that this leaves short indexes its empty segments too.
+by hash into more segments than a size band allows differences, and each set is indexed by the hashes of its subsets,
+one for each segment. By the pigeonhole principle a set whose n subsets may differ in d shingles shares n - d of them at
+least with every similar set, its need. Where d is so large that no need is left, the one-deletion neighbourhoods of
+the subsets are indexed too, in which subsets that differ in one shingle meet, and, for very small sets, empty subsets.
+
+The cost of a subset is the number of sets in its bucket. A set that has fewer subsets in common with anyone than it needs
+is similar to none and goes; one that stays pays for its cheapest subsets only, as many as it takes for similar sets
+to meet in one of them, and for none of the dear ones, which hold passages that many documents share.
 
 What meets in a bucket is not compared pair by pair: all are compared with the first one, exactly, and
-components are formed. Where a bucket holds several components after that, its sets, those too that are of no size to be
-similar to the first one, are partitioned once more as
-finely as can be, one shingle a segment, of which each set needs only its rarest ones; only pairs of different
-components that still meet are compared. So groups of thousands of copies cost a row for each, and passages that many
-documents share lead to no pairs.
+components are formed. Sets that still meet enough sets of other components are partitioned once more as finely as can be, one
+shingle a segment, of which each set needs only its rarest ones; only pairs of different components that meet there are
+compared. So groups of thousands of copies cost a row for each, and passages that many documents share lead to no pairs.
 """
 
 from __future__ import annotations
@@ -19,23 +21,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from homestead.llm.common import free_name, plain_text, shared_dir, short_batches, small, table, written
+from homestead.llm.common import free_name, plain_text, released, shared_dir, short_batches, small, table, written
 from homestead.llm.graph import components
 from homestead.llm.shingles import mix, shingle_set
 
 #: Similarity as a ratio of whole numbers; words of a shingle.
 PER, OF, WORDS = 80, 100, 5
-#: Ratio of the bounds of a size band; segments more than needed; size from which a segment's neighbourhood is indexed.
-BAND, SPARE, LARGE = 1.5, 0.02, 10
+#: Ratio of the bounds of a size band; share of segments more than differences need.
+BAND, SPARE = 1.5, 0.02
+#: Rounds in which sets without enough common subsets go; each leaves others without, and any number gives the same links.
+ROUNDS = 2
 #: Parities of so many parts of a set, in words of 64 bits; sets differ in at least as many shingles as parities.
 PARITIES, FEW_PARITIES = 64, 4
-MEMBER, STAR, BUCKET = 0, 1, 2
-_SIGS = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64())])
-_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
+MEMBER, SUBSET = 0, 1
+_SIGS = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("tag", pa.int64()), ("doc_id", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("sig", pa.int64()), ("cls", pa.int64()), ("tag", pa.int64())])
 
 
 def set_class(s: np.ndarray) -> int:
@@ -45,14 +50,17 @@ def set_class(s: np.ndarray) -> int:
         return int(mix(mix(mix(both[:1]) + both[1:2]) + both[2:])[0].astype(np.int64))
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """The hashes under which a set is indexed, in its own size band and, if smaller sets of the band below may be similar, in that."""
+def signatures(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(below, need, hashes) of the subsets of a set in its own size band (below 0) and, if smaller sets may be similar, in the band below (1).
+
+    A similar set shares need of the hashes at least, if that is over 1; else one.
+    """
     size, out = len(s), []
     band = int(np.log(size) / np.log(BAND) + 1e-9)
     mixed = mix(s)
-    for b in (band, band - 1):
+    for below, b in enumerate((band, band - 1)):
         top = BAND ** (b + 1)
-        if b < band and size * PER > top * OF:
+        if below and size * PER > top * OF:
             continue
         most = int(top * (PER + OF) / PER * (OF - PER) / (OF + PER)) + 1
         m = most + 1 + int(SPARE * most)
@@ -61,22 +69,24 @@ def signatures(s: np.ndarray) -> np.ndarray:
         counts = np.bincount(where, minlength=m)
         full = np.flatnonzero(counts)
         ends = np.cumsum(counts)[full]
+        other = min(size, top) if below else size * OF / PER
+        differ = min(most, int((size + other) * (OF - PER) / (OF + PER) + 1e-9))
         with np.errstate(over="ignore"):
             salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((b + 2) << 40))
-            whole = np.add.reduceat(mixed[order], ends - counts[full])
-            out.append(mix(whole + salt[full]))
-            large = counts[full] >= LARGE
-            if large.any():
-                inside = np.repeat(large, counts[full])
-                out.append(mix(np.repeat(whole + salt[full], counts[full])[inside] - mixed[order][inside]))
-            other = size * OF / PER if b == band else min(size, top)
-            differ = min(most, int((size + other) * (OF - PER) / (OF + PER) + 1e-9))
-            if len(full) + int(large.sum()) < differ + 1:
-                out.append(mix(salt[counts == 0] + np.uint64(1)))
-    return np.unique(np.concatenate(out))
+            sums = np.add.reduceat(mixed[order], ends - counts[full]) + salt[full]
+            hashes = [mix(sums)]
+            if len(full) <= differ:
+                inside = np.repeat(counts[full] >= 2, counts[full])
+                hashes.append(mix((np.repeat(sums, counts[full]) - mixed[order])[inside]))
+                if len(full) + int((counts >= 2).sum()) <= differ:
+                    hashes.append(mix(salt[counts == 0] + np.uint64(1)))
+        out.append((below, max(1, len(full) - differ), np.unique(np.concatenate(hashes))))
+    return out
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document (tag: its shingles, negative or 0), and one for each hash of its subsets (tag: size, need, band) unless the task had that set before."""
+    seen: set[int] = set()
     for batch in batches:
         docs, texts = batch.column("id").to_pylist(), batch.column("text")
         for at in range(0, len(docs), 500):
@@ -84,59 +94,42 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc, text in zip(docs[at : at + 500], texts[at : at + 500], strict=True):
                 s = shingle_set(text.as_buffer().to_pybytes() if text.as_buffer() else b"")
                 cls = set_class(s) if len(s) else None
-                members.append((cls, len(s), doc))
-                if len(s):
-                    own.append((signatures(s).view(np.int64), cls, len(s)))
-            fill = np.array([mix(np.array([(d or 0) & (1 << 63) - 1], np.uint64))[0] for _, _, d in members], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fill), pa.array([c for c, _, _ in members], pa.int64()), pa.array([-n for _, n, _ in members], pa.int32()), pa.array([d for _, _, d in members], pa.int64())], schema=_SIGS)
+                members.append((cls, -len(s), doc))
+                if len(s) and cls not in seen:
+                    seen.add(cls)
+                    own += [(hashes.view(np.int64), cls, len(s) << 32 | need << 1 | below) for below, need, hashes in signatures(s)]
+            spread = mix(np.array([(d or 0) & (1 << 63) - 1 for _, _, d in members], np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), *(pa.array(c, pa.int64()) for c in zip(*members, strict=True))], schema=_SIGS)
             if own:
                 lengths = [len(k) for k, _, _ in own]
-                total = sum(lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _, _ in own])), pa.array(np.repeat(np.array([c for _, c, _ in own], np.int64), lengths)), pa.array(np.repeat(np.array([n for _, _, n in own], np.int32), lengths)), pa.nulls(total, pa.int64())], schema=_SIGS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _, _ in own])), *(pa.array(np.repeat(np.array([o[i] for o in own], np.int64), lengths)) for i in (1, 2)), pa.nulls(sum(lengths), pa.int64())], schema=_SIGS)
+    released()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members as they are; for buckets of several classes each one with the smallest; rows of buckets of three or more.
-
-    A class that is of no size to be similar to the smallest, but to another one of its bucket, is paired with itself.
-    """
-    sig, cls, size = [], [], []
+    """Documents as they are, and the subsets that several sets have. Rows come in order of (sig, cls); of a bucket only its last row is held."""
+    held, known = np.empty((3, 0), np.int64), False  # the last row, and whether its bucket has another
     for batch in batches:
-        n = batch.column("n").to_numpy()
-        is_sig = n > 0
-        sig.append(batch.column("sig").to_numpy()[is_sig])
-        cls.append(batch.column("cls").to_numpy(zero_copy_only=False)[is_sig].astype(np.int64) if batch.column("cls").null_count == 0 else batch.column("cls").fill_null(0).to_numpy()[is_sig])
-        size.append(n[is_sig])
-        rest = batch.filter(pa.array(~is_sig))
-        if rest.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rest.num_rows, MEMBER, np.int32)), rest.column("cls"), rest.column("doc_id"), pa.array(-rest.column("n").to_numpy())], schema=_FOUND)
-    if not sig:
-        return
-    sig, cls, size = np.concatenate(sig), np.concatenate(cls), np.concatenate(size)
-    order = np.lexsort((cls, sig))
-    sig, cls, size = sig[order], cls[order], size[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-    sig, cls, size = sig[new], cls[new], size[new]
-    if not len(sig):
-        return
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    n = np.diff(np.append(start, len(sig)))
-    first = np.repeat(start, n)
-    pair = first != np.arange(len(sig))
-    low, high = np.minimum(size[first], size), np.maximum(size[first], size)
-    pair &= low.astype(np.int64) * OF >= high.astype(np.int64) * PER
-    pairs = np.unique(np.stack([cls[first[pair]], cls[pair]], 1), axis=0) if pair.any() else np.empty((0, 2), np.int64)
-    big = np.repeat(n >= 3, n)
-    by_size = np.lexsort((size, sig))
-    close = (sig[by_size][1:] == sig[by_size][:-1]) & (size[by_size][:-1].astype(np.int64) * OF >= size[by_size][1:].astype(np.int64) * PER)
-    mate = np.zeros(len(sig), bool)
-    mate[by_size[1:][close]] = mate[by_size[:-1][close]] = True
-    loose = np.unique(cls[big & mate & ~pair & (first != np.arange(len(sig)))])
-    pairs = np.concatenate([pairs, np.stack([loose, loose], 1)])
-    for kind, a, b, c in ((STAR, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int32)), (BUCKET, sig[big], cls[big], size[big])):
-        for at in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[at : at + 100_000]), kind, np.int32)), *(pa.array(np.ascontiguousarray(x[at : at + 100_000])) for x in (a, b, c))], schema=_FOUND)
+        tag = batch.column("tag").to_numpy()
+        subset = tag > 0
+        docs = batch.filter(pa.array(~subset))
+        if docs.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(docs.num_rows, MEMBER, np.int32)), docs.column("doc_id"), docs.column("cls"), docs.column("tag")], schema=_FOUND)
+        if not subset.any():
+            continue
+        rows = np.concatenate([held, np.stack([batch.column("sig").to_numpy()[subset], batch.column("cls").fill_null(0).to_numpy()[subset], tag[subset]])], axis=1)
+        same = rows[0, 1:] == rows[0, :-1]
+        new = np.concatenate([[True], ~(same & (rows[1, 1:] == rows[1, :-1]))])
+        rows = rows[:, new]
+        same = rows[0, 1:] == rows[0, :-1]
+        shared = np.concatenate([[known], same]) | np.concatenate([same, [False]])
+        held, known = rows[:, -1:].copy(), bool(shared[-1])
+        out = rows[:, :-1][:, shared[:-1]]
+        if out.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(out.shape[1], SUBSET, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in out)], schema=_FOUND)
+    if known:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([SUBSET], np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in held)], schema=_FOUND)
+    released()
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -162,9 +155,10 @@ def may_be_similar(odd: str, words: int) -> str:
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: those that parities leave, by their whole sets."""
+    """The pairs (a, b) of classes that are similar: those that sizes and parities leave, by their whole sets."""
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_similar("odd", PARITIES)).select("a", "b"), "near")
+    close = f"{OF} * least(a_n, b_n) >= {PER} * greatest(a_n, b_n) AND {may_be_similar('odd', PARITIES)}"
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near")
     n = near.count()
     right = sets.select(F.col("cls").alias("b"), F.col("items").alias("b_items")).join(small(near, n), "b")
     left = sets.select(F.col("cls").alias("a"), F.col("items").alias("a_items")).join(small(near.select("a").distinct(), n), "a", "left_semi")
@@ -194,6 +188,25 @@ def meetings(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
+def enough(subsets: DataFrame) -> DataFrame:
+    """subsets (sig, cls, need, below) without those of sets that have fewer of them than they need."""
+    counted = subsets.groupBy("cls", "below").agg(F.count(F.lit(1)).alias("n"), F.any_value("need").alias("least"))
+    return subsets.join(counted.where("n >= least").select("cls", "below"), ["cls", "below"], "left_semi")
+
+
+def common(subsets: DataFrame, by: str = "cls") -> DataFrame:
+    """subsets with first (the smallest `by`) and cost (the number of rows) of the bucket, of buckets that hold several."""
+    buckets = subsets.groupBy("sig").agg(F.min(by).alias("first"), F.max(by).alias("last"), F.count(F.lit(1)).alias("cost"))
+    return subsets.drop("first", "cost").join(buckets.where("first <> last").drop("last"), "sig")
+
+
+def allocated(subsets: DataFrame) -> DataFrame:
+    """Of each set's subsets the cheapest, as many as it takes for any similar set to meet it in one of them."""
+    own = Window.partitionBy("cls", "below")
+    ranked = subsets.select("*", F.count(F.lit(1)).over(own).alias("n"), F.row_number().over(own.orderBy("cost", "sig")).alias("place"))
+    return ranked.where("place <= n - need + 1").drop("n", "place")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, cls (hash of its set), component, component_id (its smallest id).
 
@@ -202,21 +215,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     spark = short_batches(docs).sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), plain_text(F.col(text_col)).cast("binary").alias("text"))
-    found = texts.mapInArrow(_index, "sig long, cls long, n int, doc_id long").repartition("sig").mapInArrow(_meet, "kind int, a long, b long, n int")
+    found = texts.mapInArrow(_index, "sig long, cls long, tag long, doc_id long").repartition("sig").sortWithinPartitions("sig", "cls")
     path = shared_dir(spark, "met")
-    found.write.partitionBy("kind").parquet(path)
-    read = lambda kind: spark.read.schema("a long, b long, n int, kind int").option("basePath", path).parquet(path).where(F.col("kind") == kind).drop("kind")
-    members = read(MEMBER).select(F.col("b").alias("id"), F.col("a").alias("cls"), F.col("n").alias("n_shingles"))
-    stars = written(read(STAR).select("a", "b").distinct(), "stars")
-    sets = _sets_of(texts, members, stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct())
-    links = written(linked(stars.where("a <> b"), sets), "links")
+    found.mapInArrow(_meet, "kind int, sig long, cls long, tag long").write.partitionBy("kind").parquet(path)
+    read = lambda kind: spark.read.schema("sig long, cls long, tag long, kind int").option("basePath", path).parquet(path).where(F.col("kind") == kind).drop("kind")
+    members = read(MEMBER).select(F.col("sig").alias("id"), "cls", (-F.col("tag")).cast("int").alias("n_shingles"))
+    subsets = read(SUBSET).select("sig", "cls", F.shiftright("tag", 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("need"), F.col("tag").bitwiseAND(1).cast("int").alias("below"))
+    for _ in range(ROUNDS):
+        subsets = written(common(enough(subsets)), "subsets")
+    chosen = common(allocated(enough(subsets)))
+    stars = written(chosen.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    sets = _sets_of(texts, members, subsets.select("cls").distinct())
+    links = written(linked(stars, sets), "links")
     labels = components(links)
-    buckets = read(BUCKET).select(F.col("a").alias("sig"), F.col("b").alias("cls"))
-    named = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
-    named = written(named, "buckets")
-    mixed = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_sets = written(named.join(mixed, "sig", "left_semi").select("cls").distinct(), "open")
-    more = written(linked(written(meetings(sets.join(open_sets, "cls", "left_semi"), labels), "meetings"), sets), "links")
+    named = subsets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    for _ in range(ROUNDS):
+        named = written(enough(common(named, by="component")), "mixed")
+    named = written(common(allocated(named), by="component").select("cls").distinct(), "open")
+    more = written(linked(written(meetings(sets.join(named, "cls", "left_semi"), labels), "meetings"), sets), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("id", "n_shingles", "cls", F.coalesce("component", "cls").alias("component"))
@@ -236,11 +252,28 @@ def _sets_of(texts: DataFrame, members: DataFrame, classes: DataFrame) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, of each group only the document with the smallest id; same columns. Rows with one id are one document."""
-    rows = groups(docs, id_col, text_col).where("NOT (id <=> component_id)")
-    gone = free_name(docs, "gone")
-    gone_ids = written(rows.select(F.col("id").alias(gone)).distinct(), "gone")
-    return docs.join(small(gone_ids, gone_ids.count()), docs[id_col].cast("long").eqNullSafe(gone_ids[gone]), "left_anti")
+    """docs, of each group only the document with the smallest id; same columns.
+
+    Rows with one id are one document. A row without id goes if its group has a document with an id; of a group
+    without any id the rows of one set stay.
+    """
+    rows = written(groups(docs, id_col, text_col).where("component IS NOT NULL"), "placed")
+    gone, ident = free_name(docs, "gone"), docs[id_col].cast("long")
+    gone_ids = written(rows.where("id <> component_id").select(F.col("id").alias(gone)).distinct(), "gone")
+    left = docs.join(small(gone_ids, gone_ids.count()), ident == gone_ids[gone], "left_anti")
+    gone_sets = written(rows.where("id IS NULL AND (component_id IS NOT NULL OR cls <> component)").select(F.col("cls").alias(gone)).distinct(), "gone")
+    n = gone_sets.count()
+    if not n:
+        return left
+    own = docs.where(ident.isNull())
+    own = own.join(small(gone_sets, n), F.pandas_udf(class_of, "long")(plain_text(F.col(text_col)).cast("binary")) == gone_sets[gone], "left_anti")
+    return left.where(ident.isNotNull()).unionByName(own)
+
+
+def class_of(texts: pd.Series) -> pd.Series:
+    """The hash of each text's set; null without words."""
+    sets = [shingle_set(t) for t in texts]
+    return pd.Series([set_class(s) if len(s) else None for s in sets], dtype="Int64")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
