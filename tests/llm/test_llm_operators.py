@@ -215,12 +215,33 @@ def test_html_decoding_drops_what_lies_in_dropped_elements():
 def test_lines_repeat_with_offsets(spark):
     texts = ["A first line of five words\nshort\nunique line number one is here", "a  FIRST line of five words\nshort", None, "", "other line of just five words\nother line of just five words"]
     rows = substring.repeated_units(frame(spark, texts)).collect()
-    assert {(r.id, r.start, r.length, r.keep_id, r.n_copies) for r in rows} == {(1, 0, 27, 0, 2), (4, 30, 29, 4, 2)}
-    cut = {r.doc_id: r.text for r in substring.remove_units(frame(spark, texts, clash=False)).collect()}
-    assert cut == {0: texts[0], 1: "\nshort", 2: None, 3: "", 4: "other line of just five words\n"}
+    assert {(r.id, r.start, r.length, r.keep_id, r.n_copies) for r in rows if not r.kept} == {(1, 0, 27, 0, 2), (1, 28, 5, 0, 2), (4, 30, 29, 4, 2)}
+    assert {(r.id, r.start) for r in rows if r.kept} == {(0, 0), (0, 27), (4, 0)}
+    assert {r.start for r in substring.repeated_units(frame(spark, texts), min_words=6).collect()} == {0, 30}
+    left = substring.remove_units(frame(spark, texts))
+    assert left.columns == frame(spark, texts).columns
+    assert {r.doc_id: r.text for r in left.collect()} == {0: texts[0], 1: "\n", 2: None, 3: "", 4: "other line of just five words\n"}
     assert substring.repeated_units(empty(spark)).count() == 0
     paragraphs = ["one two three four five\nsix\n\nnext part of the text here", "zero\n\none two three four five\nsix"]
-    assert {(r.id, r.start) for r in substring.repeated_units(frame(spark, paragraphs), "paragraph").collect()} == {(1, 6)}
+    assert {(r.id, r.start) for r in substring.repeated_units(frame(spark, paragraphs), "paragraph").where("NOT kept").collect()} == {(1, 6)}
+
+
+def test_passages_inside_lines_repeat(spark):
+    rng = random.Random(21)
+    sentence = lambda n: prose(rng, n).capitalize() + rng.choice(".!?")
+    passage = " ".join(sentence(9) for _ in range(6))
+    texts = [f"{sentence(8)} {passage} {sentence(7)}\n{sentence(9)}" for _ in range(4)] + [f"{sentence(8)} The the. {sentence(20)}" for _ in range(5)]
+    rows = substring.repeated_units(frame(spark, texts), "sentence", min_passage=substring.PASSAGE_WORDS).collect()
+    assert {r.id for r in rows} == {0, 1, 2, 3} and {r.id for r in rows if r.kept} == {0}
+    assert all("".join(texts[i][r.start : r.start + r.length] for r in sorted(rows, key=lambda r: r.start) if r.id == i).strip() == passage for i in range(4))
+    left = {r.doc_id: r.text for r in substring.remove_units(frame(spark, texts), "sentence", min_passage=substring.PASSAGE_WORDS).collect()}
+    assert passage in left[0] and left[5] == texts[5] and all(passage[:300] not in left[i] and left[i].count(" ") >= 22 for i in (1, 2, 3))
+
+
+def test_units_of_repeated_rows_and_null_ids_are_cut_by_row(spark):
+    texts = ["one two three\na unique line", "a first of its kind\none two three", "one two three", "one two three", "x y " * 30_000 + "\n" + "x y " * 30_000]
+    left = substring.remove_units(frame(spark, texts, [7, 7, None, None, 3])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("None", "one two three"), ("None", ""), ("7", "\na unique line"), ("7", "a first of its kind\n"), ("3", "x y " * 30_000 + "\n")])
 
 
 def covered(texts, n=400):
@@ -360,6 +381,28 @@ def test_jaccard_of_odd_input(spark):
     assert jaccard.groups(empty(spark)).count() == 0
 
 
+def test_jaccard_drops_rows_without_id_by_their_groups(spark):
+    near = prose(random.Random(3), 60)
+    texts = [near, near + " end", "an unrelated text of some words", "a b c d e f", "a b c d e f", "lone words here"]
+    left = jaccard.drop_near_copies(frame(spark, texts, [None, 7, None, None, None, 2]))
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("2", texts[5]), ("7", texts[1]), ("None", texts[3]), ("None", texts[3]), ("None", texts[2])]
+
+
+def test_jaccard_subsets_that_sets_need_are_shared():
+    rng = np.random.default_rng(7)
+    for n in [*range(1, 40), 90, 333, 1000]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            keep = a[rng.permutation(n)[: n - int(rng.integers(0, n // 5 + 1))]]
+            b = np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                met = [(need, len(np.intersect1d(x, y))) for _, need, x in jaccard.signatures(a) for _, _, y in jaccard.signatures(b)]
+                assert any(shared >= need for need, shared in met)
+                met = [(need, len(np.intersect1d(x, y))) for _, need, x in jaccard.signatures(b) for _, _, y in jaccard.signatures(a)]
+                assert any(shared >= need for need, shared in met)
+
+
 def test_word_hashes_do_not_depend_on_where_a_text_is_cut(monkeypatch):
     rng = random.Random(2)
     raw = prose(rng, 500).encode() + b" " + b"q" * 700 + b" end"
