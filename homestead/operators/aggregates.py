@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from homestead.operators.frame import running_total
+
 
 def rmse(actual: Column, estimate: Column) -> Column:
     """Pairs with a null are left out."""
@@ -36,9 +38,9 @@ def cumulative_within(df: DataFrame, relative: Column, limits: list[float]) -> D
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """value, n and the running share of rows up to the value, values sorted. Values are counted before they are ordered."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("__all"))
-    running = F.sum("n").over(Window.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.crossJoin(F.broadcast(whole)).select("value", "n", (running / F.col("__all")).alias("cumulative"))
+    upto = running_total(counts, ["value"], "n", "upto")
+    whole = upto.agg(F.max("upto").alias("__all"))
+    return upto.crossJoin(F.broadcast(whole)).select("value", "n", (F.col("upto") / F.col("__all")).alias("cumulative"))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, values: list) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homestead.shared import written
+
 
 def only_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
@@ -40,19 +42,60 @@ def ordinal(df: DataFrame, order: list[str], partition: list[str], name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
 
 
+def _ranged(df: DataFrame, order: list[str], part: str, place: str) -> DataFrame:
+    """df as a written table in range partitions of the order, with the number of each row's partition and its place there, from 0.
+
+    Written once, so that whatever is counted and whatever is numbered are the same partitions.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, at), "ranged")
+    return ranged.withColumns({part: F.shiftright(place, 33), place: F.col(place).bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _before(totals: DataFrame, part: str, value: str, name: str) -> DataFrame:
+    """part and the sum of value over all partitions before it: one row a partition."""
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(part, F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias(name))
+
+
 def global_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """The place of each row in the order, from 1, without gathering rows in one task.
 
     Rows are range-partitioned by the order and numbered in their partition; the partitions' sizes, one number each,
-    give what to add. The order must be total.
+    give what to add. The order must be total. An empty frame gives no rows.
+    """
+    part, place = f"__{name}_part", f"__{name}_at"
+    ranged = _ranged(df, order, part, place)
+    sizes = ranged.groupBy(part).agg((F.max(place) + 1).alias("__n"))
+    return ranged.join(F.broadcast(_before(sizes, part, "__n", "__before")), part).select(*df.columns, (F.col("__before") + F.col(place) + 1).alias(name))
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str = "total") -> DataFrame:
+    """df with the sum of value over all rows up to each in the order, by range partitions and their sums. The order must be total."""
+    part, place = f"__{name}_part", f"__{name}_at"
+    ranged = _ranged(df, order, part, place)
+    sums = ranged.groupBy(part).agg(F.coalesce(F.sum(value), F.lit(0)).alias("__s"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return ranged.join(F.broadcast(_before(sums, part, "__s", "__before")), part).select(*df.columns, (F.col("__before") + own).alias(name))
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the exact, interpolated quantile of a whole column under each name; null without values.
+
+    Values are counted before they are ordered, and found by their running counts, so that no task sees them all.
     """
-    part, within = f"__{name}_part", f"__{name}_in"
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
-    counted = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = counted.select(part, before.alias("__before"))
-    numbered = placed.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
-    return numbered.join(F.broadcast(shift), part).select(*df.columns, (F.col("__before") + F.col(within)).alias(name))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    upto = running_total(counts, ["value"], "n", "upto")
+    rows = upto.agg(F.max("upto")).first()[0] or 0
+
+    def at(place: int) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col("value").cast("double")))
+
+    def quantile(share: float) -> Column:
+        low, rest = divmod(share * max(rows - 1, 0), 1)
+        return at(int(low)) + (at(int(low) + (rest > 0)) - at(int(low))) * F.lit(rest)
+
+    return upto.agg(*(quantile(q).alias(name) for name, q in shares.items()))
 
 
 def every_nth(df: DataFrame, order: list[str], n: int, start: int = 1) -> DataFrame:

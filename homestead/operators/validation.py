@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homestead.operators.aggregates import coverage, rmse, within
+from homestead.operators.frame import quantiles
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -39,5 +40,5 @@ def cross_validate(df: DataFrame, fold: str, folds: int, models: dict[str, Calla
 
 def strata(df: DataFrame, value: str, name: str = "stratum") -> DataFrame:
     """rich above twice the median, poor below half of it, else middle."""
-    mid = df.agg(F.median(value).alias("__m"))
+    mid = quantiles(df, value, {"__m": 0.5})
     return df.crossJoin(F.broadcast(mid)).withColumn(name, F.when(F.col(value) > 2 * F.col("__m"), "rich").when(F.col(value) < 0.5 * F.col("__m"), "poor").otherwise("middle")).drop("__m")
