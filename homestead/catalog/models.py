@@ -47,10 +47,10 @@ def gaussian_nb_predict(t: Tables):
 
 @query()
 def llr_predict(t: Tables):
-    """Local linear regression of the label on the first two dimensions, for the stated queries."""
-    two = t.embeddings.withColumn("x", F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 2))
-    found = neighbors.nearest(two.where("vec_id % 100 = 0"), two, 30, "vec_id", "vec_id", "x", ["label", "x"])
-    asked = two.select(F.col("vec_id").alias("query"), F.col("x").alias("at"))
+    """Local linear regression of the label on all dimensions, for the stated queries."""
+    rows = t.embeddings.withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    found = neighbors.nearest(rows.where("vec_id % 100 = 0"), rows, 30, "vec_id", "vec_id", "x", ["label", "x"])
+    asked = rows.select(F.col("vec_id").alias("query"), F.col("x").alias("at"))
     return neighbors.local_linear(found.join(asked, "query"), "label", "x", "at", 30).withColumn("estimate", F.round("estimate", 6))
 
 
@@ -76,7 +76,12 @@ def bootstrap_ci(t: Tables):
     return models.bootstrap_difference(t.customer, "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", 200)
 
 
-@query()
+@query("""WITH m AS (SELECT avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c, avg(l_extendedprice) AS y, covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_tax) AS ac,
+covar_pop(l_discount, l_discount) AS bb, covar_pop(l_discount, l_tax) AS bc, covar_pop(l_tax, l_tax) AS cc, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS by_, covar_pop(l_tax, l_extendedprice) AS cy FROM lineitem),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+s AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS q, (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS r,
+(aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS t FROM d)
+SELECT 'l_quantity' AS term, round(q, 3) AS value FROM s UNION ALL SELECT 'l_discount', round(r, 3) FROM s UNION ALL SELECT 'l_tax', round(t, 3) FROM s UNION ALL SELECT 'intercept', round(y - q * a - r * b - t * c, 3) FROM s""")
 def ols_multiple(t: Tables):
     """Least squares of price on quantity, discount and tax: coefficients."""
     m = models.least_squares(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])

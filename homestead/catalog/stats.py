@@ -167,22 +167,22 @@ def stratify_median(t: Tables):
     return validation.strata(t.customer, "c_acctbal").select("c_custkey", "stratum")
 
 
-@query("""SELECT event_type, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS window_start, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2""")
+HOURLY = """SELECT event_type, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS window_start, count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2"""
+
+
+@query(HOURLY)
 def hourly_windows(t: Tables):
     from homestead.streaming.events import windowed
 
     return windowed(t.events, "1 hour").select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "mean_value")
 
 
-@query()
+@query(HOURLY)
 def hourly_windows_streamed(t: Tables):
     """The same windows from a stream over all files of the table, without a watermark."""
-    import tempfile
-    import uuid
-
+    from homestead.shared import shared_dir
     from homestead.streaming.events import event_stream, to_table, windowed
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="homestead-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    base = shared_dir(t.spark, "stream")
     windows = to_table(windowed(event_stream(t.spark, f"{t.folder}/events.parquet"), "1 hour", late=None), f"{base}/out", f"{base}/state")
     return windows.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "mean_value")

@@ -6,6 +6,8 @@ from pyspark.ml import classification, evaluation, feature, recommendation, regr
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from homestead.operators import sampling
+
 
 def line(df: DataFrame, y: str, x: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """slope, intercept and r2 of y on x, for each group if any."""
@@ -58,22 +60,28 @@ def naive_bayes_params(df: DataFrame, label: str, features: list[str]) -> DataFr
 
 
 def naive_bayes_predict(df: DataFrame, params: DataFrame, key: str, label: str, features: list[str]) -> DataFrame:
-    """The class with the largest log prior plus log densities. A feature without spread counts only as equal or not. Classes are few and sent to all tasks."""
-    classes = params.select(F.col(label).alias("__l"), *(c for c in params.columns if c != label))
-    if (n := classes.count()) > 10_000:
+    """key and predicted, the class with the largest log prior plus log densities (of equal ones the smaller), for each row.
+
+    A feature without spread counts only as equal or not. Classes are few: all go to each row as one array, so rows neither multiply nor move.
+    """
+    if (n := params.count()) > 10_000:
         raise ValueError(f"{n} classes")
+    classes = params.agg(F.collect_list(F.struct(F.col(label).alias("__l"), *(c for c in params.columns if c != label))).alias("__classes"))
 
-    def log_density(f: str) -> Column:
-        m, s = F.col(f"{f}_mean"), F.col(f"{f}_std")
+    def log_density(c: Column, f: str) -> Column:
+        m, s = c[f"{f}_mean"], c[f"{f}_std"]
         return F.when(s > 0, -F.log(s) - F.pow(F.try_divide(F.col(f) - m, s), 2) / 2).when(F.col(f) == m, 0.0).otherwise(-1e300)
 
-    scores = df.crossJoin(F.broadcast(classes)).withColumn("__s", sum((log_density(f) for f in features), F.log("prior")))
-    return scores.groupBy(key).agg(F.min_by("__l", F.struct(-F.col("__s"), F.col("__l"))).alias("predicted"))
+    def loss(c: Column) -> Column:
+        return F.struct((-sum((log_density(c, f) for f in features), F.log(c["prior"]))).alias("s"), c["__l"].alias("l"))
+
+    return df.crossJoin(F.broadcast(classes)).select(key, F.array_min(F.transform("__classes", loss))["l"].alias("predicted"))
 
 
-def complete_matrix(cells: DataFrame, row: str, column: str, value: str, rank: int = 5, ridge: float = 0.1, iterations: int = 10, seed: int = 1):
-    """Low-rank completion of (row, column, value) cells; the first value of a cell counts."""
-    first = cells.groupBy(F.col(row).cast("int").alias("row"), F.col(column).cast("int").alias("column")).agg(F.first(F.col(value).cast("float")).alias("value"))
+def complete_matrix(cells: DataFrame, row: str, column: str, value: str, rank: int = 5, ridge: float = 0.1, iterations: int = 10, seed: int = 1, order: str | None = None):
+    """Low-rank completion of (row, column, value) cells; of several values of a cell the first in `order`, or the smallest, counts."""
+    of = F.col(value).cast("float")
+    first = cells.groupBy(F.col(row).cast("int").alias("row"), F.col(column).cast("int").alias("column")).agg((F.min_by(of, order) if order else F.min(of)).alias("value"))
     return recommendation.ALS(rank=rank, maxIter=iterations, regParam=ridge, userCol="row", itemCol="column", ratingCol="value", seed=seed, nonnegative=False, coldStartStrategy="drop").fit(first)
 
 
@@ -106,3 +114,38 @@ def index_scaled(df: DataFrame, key: str, order: list[str], price: str, index: s
     """The row before's price, times the ratio of the index now to then."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("estimate", F.try_divide(F.lag(price).over(w) * F.col(index), F.lag(index).over(w)))
+
+
+def extrapolated_index(index: DataFrame, year: int, months: int, ahead: int = 13) -> DataFrame:
+    """One row, `level`: the index (year, month, level) at month `ahead` of the year, by the line through its last `months` months."""
+    last = index.where((F.col("year") == year) & (F.col("month") > 12 - months) & (F.col("month") <= 12))
+    return last.agg((F.regr_intercept("level", "month") + F.regr_slope("level", "month") * ahead).alias("level"))
+
+
+def index_model(queries: DataFrame, sales: DataFrame, index: DataFrame, key: str, day: str, order: list[str], price: str, now: DataFrame) -> DataFrame:
+    """queries with the price of the key's last sale times index now (one row, `level`) to then; null without a sale or an index of its month."""
+    w = Window.partitionBy(key).orderBy(F.col(day).desc(), *order)
+    last = sales.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(F.col(key), F.year(day).alias("year"), F.month(day).alias("month"), F.col(price).alias("__price"))
+    then = last.join(index.select("year", "month", F.col("level").alias("__then")), ["year", "month"], "left")
+    priced = then.crossJoin(F.broadcast(now.select(F.col("level").alias("__now")))).select(key, F.try_divide(F.col("__price") * F.col("__now"), F.col("__then")).alias("estimate"))
+    return queries.join(priced, key, "left")
+
+
+def by_formula(df: DataFrame, formula: str):
+    """Least squares by a formula like "y ~ a + b"; text columns become indicators of their values but the rarest. Returns the fitted formula and model."""
+    shape = feature.RFormula(formula=formula, handleInvalid="skip").fit(df)
+    return shape, regression.LinearRegression(solver="normal").fit(shape.transform(df))
+
+
+def synthetic_sales(spark, days: int, per_day: int, first: str, coefficients: dict[str, float], inflation: float = 0.0, bias: float = 1.0, spread: float = 0.1, seed: int = 1) -> DataFrame:
+    """Made-up sales: day, recorded (two weeks on), land, latitude, has_pool, true_value and price.
+
+    The true value is linear in the features (intercept, land, latitude, has_pool) and grows with the years; the price is bias times it with normal noise of
+    spread times it. All from hashes of row and seed.
+    """
+    lot = lambda n: sampling.uniform(F.concat_ws(":", "id", F.lit(n)), seed)
+    rows = spark.range(days * per_day).select("id", F.date_add(F.lit(first).cast("date"), (F.col("id") % days).cast("int")).alias("day"), (F.col("id") % days).alias("__at"))
+    rows = rows.select("*", (1000 + 9000 * lot("land")).alias("land"), (33 + 2 * lot("latitude")).alias("latitude"), (lot("pool") < 0.2).cast("int").alias("has_pool"))
+    linear = coefficients["intercept"] + sum((coefficients[f] * F.col(f) for f in ("latitude", "has_pool")), coefficients["land"] * F.col("land"))
+    rows = rows.withColumn("true_value", linear * F.pow(F.lit(1 + inflation), F.col("__at") / 365))
+    return rows.select("id", "day", F.date_add("day", 14).alias("recorded"), "land", "latitude", "has_pool", "true_value", (F.col("true_value") * (bias + spread * sampling.gaussian(lot("u"), lot("v")))).alias("price"))

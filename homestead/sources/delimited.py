@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Month names of index files.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], schema: str | T.StructType, sep: str = ",", na: tuple[str, ...] = ("", "NA"), header: bool = True, strict: bool = True) -> DataFrame:
     """Typed scan. Missing-value strings become null; what a column's type cannot hold is an error, or null if not strict.
 
@@ -51,11 +55,39 @@ def read_many(spark: SparkSession, paths: list[str], **options) -> DataFrame:
 
 
 def read_after_lines(spark: SparkSession, path: str, skip: int, names_line: int, sep: str = ",") -> DataFrame:
-    """A file whose first `skip` lines are no data; line `names_line` (from 1) has the names."""
+    """A file whose first `skip` lines are no data; line `names_line` (from 1) has the names.
+
+    Of lines equal to a skipped one only as many go as are skipped, the first in the file's first block; data rows that equal them stay.
+    """
     top = [r[0] for r in spark.read.text(path).limit(skip).collect()]
     names = top[names_line - 1].split(sep)
-    lines = spark.read.text(path).where(~F.col("value").isin(*top))
-    return lines.select(F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"sep": sep}).alias("r")).select("r.*")
+    lines = spark.read.text(path).select("value", (F.input_file_block_start() == 0).alias("early"), F.monotonically_increasing_id().alias("at"))
+    alike = F.col("early") & F.col("value").isin(*top)
+    often = F.create_map(*(F.lit(x) for line in dict.fromkeys(top) for x in (line, top.count(line))))
+    again = lines.where(alike).withColumn("nth", F.row_number().over(Window.partitionBy("value").orderBy("at"))).where(F.col("nth") > F.element_at(often, F.col("value")))
+    rows = lines.where(~alike).select("value").union(again.select("value"))
+    return rows.select(F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"sep": sep}).alias("r")).select("r.*")
+
+
+def read_checked(spark: SparkSession, path: str, names: list[str], sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """Records as text columns, and a frame of rejects (line, n_fields) of those whose number of fields is not that of the names."""
+    lines = spark.read.text(path).withColumn("f", F.split("value", re.escape(sep), -1))
+    good = lines.where(F.size("f") == len(names)).select(*(F.col("f")[i].alias(n) for i, n in enumerate(names)))
+    return good, lines.where(F.size("f") != len(names)).select(F.col("value").alias("line"), F.size("f").alias("n_fields"))
+
+
+def read_month_index(spark: SparkSession, path: str, skip: int = 7, names_line: int = 7) -> DataFrame:
+    """year, month and level of an index whose dates are like "Jan 2008" or "Jan-2008"; rows without a level are left out."""
+    rows = read_after_lines(spark, path, skip, names_line)
+    day, level = rows.columns[0], rows.columns[1]
+    month = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), F.substring(day, 1, 3)).cast("int")
+    return rows.select(F.substring(day, 5, 4).try_cast("int").alias("year"), F.nullif(month, F.lit(0)).alias("month"), F.col(f"`{level}`").try_cast("double").alias("level")).where("level IS NOT NULL")
+
+
+def create_table_as(df: DataFrame, name: str, replace: bool = True) -> DataFrame:
+    """A table of the catalog made from a frame."""
+    df.write.mode("overwrite" if replace else "errorifexists").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -73,11 +105,6 @@ def read_single_column(spark: SparkSession, path: str, kind: str = "double", hea
     return read_delimited(spark, path, f"value {kind}", header=header)
 
 
-def transformed(df: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A hook that changes records as they are read."""
-    return change(df)
-
-
 def write_delimited(df: DataFrame, path: str, sep: str = ",", na: str = "NA", header: bool = True, quote_all: bool = False, compression: str = "none") -> None:
     """NaN and null are written as the missing-value string."""
     plain = df.select(*(F.nanvl(F.col(f"`{f.name}`"), F.lit(None)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema))
