@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import near
-from homestead.functions import codes, vectors
-from homestead.operators import imputation, models, resampling, sampling, validity
+from homestead.functions import codes, dates, vectors
+from homestead.operators import frame, imputation, models, resampling, sampling, validation, validity
 from homestead.shared import shared_dir
 from homestead.sources import delimited
 
@@ -191,3 +191,33 @@ def checked_records(t: Tables):
     t.part.select(F.when(F.col("p_partkey") % 4 == 0, F.col("p_partkey").cast("string")).otherwise(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_brand")).alias("value")).write.text(path)
     good, bad = delimited.read_checked(t.spark, path, ["a", "b"])
     return good.withColumn("rejected", F.lit(False)).unionByName(bad.select(F.col("line").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(True).alias("rejected")))
+
+
+@query("SELECT o_orderkey, day(o_orderdate) = 15 AND month(o_orderdate) IN (2, 5, 8, 11) AS mid, make_date(CAST(year(o_orderdate) AS BIGINT), CAST(quarter(o_orderdate) * 3 - 1 AS BIGINT), 15) AS quarter_day, make_date(CAST(year(o_orderdate) AS BIGINT), CAST(month(o_orderdate) AS BIGINT), 15) AS month_day FROM orders")
+def date_indices_and_back(t: Tables):
+    day = F.col("o_orderdate").cast("date")
+    return t.orders.select("o_orderkey", dates.is_mid_quarter(day).alias("mid"), dates.quarter_of(dates.quarter_index(day, 1984), 1984).alias("quarter_day"), dates.month_of(dates.month_index(day, 1984), 1984).alias("month_day"))
+
+
+@query("SELECT place, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders) WHERE place % 97 = 5")
+def rows_by_ordinal(t: Tables):
+    places = t.spark.range(5, t.orders.count() + 1, 97).select(F.col("id").alias("place"))
+    return frame.rows_at(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], places, "place").select("place", "o_orderkey")
+
+
+@query("SELECT doc_id, (quality IS NOT NULL)::INT AS has_quality, (quality IS NULL)::INT AS has_not_quality, (toxic IS NOT NULL)::INT AS has_toxic, (toxic IS NULL)::INT AS has_not_toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def has_indicators(t: Tables):
+    return frame.has_indicators(t.documents.select("doc_id").join(t.labels, "doc_id", "left"), ["quality", "toxic"], ["doc_id"])
+
+
+@query(f"""SELECT "set", round(2 + {lot('"set" || \':k\'', 11)} * 118, 8) AS k, round(exp(ln(1) + {lot('"set" || \':metres\'', 11)} * (ln(10000) - ln(1))), 6) AS metres FROM range(1, 101) r("set")""")
+def random_hp_sets(t: Tables):
+    sets = validation.random_grid(t.spark, 100, {"k": ("uniform", 2, 120), "metres": ("geometric", 1, 10000)}, 11)
+    return sets.select("set", F.round("k", 8).alias("k"), F.round("metres", 6).alias("metres"))
+
+
+@query()
+def completion_ranks(t: Tables):
+    """Held-out errors of low-rank completions of price by nation and month."""
+    cells = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("row"), F.month("o_orderdate").alias("column")).agg((F.avg("o_totalprice") / 1e5).alias("value"))
+    return models.completion_search(cells, "row", "column", "value", [1, 3], [0.1])

@@ -55,3 +55,18 @@ def month_index(day: Column, first_year: int) -> Column:
 
 def in_decade(day: Column, start: int) -> Column:
     return F.year(day).between(start, start + 9)
+
+
+def is_mid_quarter(day: Column) -> Column:
+    """Whether a day is the 15th of the middle month of its quarter."""
+    return day == mid_quarter(day)
+
+
+def quarter_of(index: Column, first_year: int) -> Column:
+    """The mid-quarter day of a quarter's index, the inverse of quarter_index."""
+    return F.make_date(F.lit(first_year) + F.floor((index - 1) / 4).cast("int"), (F.pmod(index - 1, F.lit(4)) * 3 + 2).cast("int"), F.lit(15))
+
+
+def month_of(index: Column, first_year: int) -> Column:
+    """The middle of the month of a month's index, the inverse of month_index."""
+    return F.make_date(F.lit(first_year) + F.floor((index - 1) / 12).cast("int"), (F.pmod(index - 1, F.lit(12)) + 1).cast("int"), F.lit(15))

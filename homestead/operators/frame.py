@@ -160,3 +160,20 @@ def fold_of(key: Column, folds: int) -> Column:
 def bernoulli_split(df: DataFrame, fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
     a, b = df.randomSplit([fraction, 1 - fraction], seed)
     return a, b
+
+
+def rows_at(df: DataFrame, order: list[str], places: DataFrame, place: str) -> DataFrame:
+    """The rows at the places (from 1) of the order, one for each row of places; places beyond the rows give none."""
+    return places.join(global_ordinal(df, order, "__at"), F.col(place) == F.col("__at")).drop("__at")
+
+
+def has_indicators(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """The columns to keep, and has_ and has_not_ indicators (1 or 0) of each of the others: whether a row has a value there."""
+    return df.select(*keep, *(c for name in columns for c in (F.col(name).isNotNull().cast("int").alias(f"has_{name}"), F.col(name).isNull().cast("int").alias(f"has_not_{name}"))))
+
+
+def replaced(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """df with some columns replaced by expressions of its own columns, as when a query is asked for another day. Columns that it hasn't are an error."""
+    if absent := [c for c in values if c not in df.columns]:
+        raise ValueError(f"no such columns: {absent}")
+    return df.withColumns(values)

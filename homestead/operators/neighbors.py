@@ -1,7 +1,8 @@
 """Nearest neighbours, kernel estimates and votes of stated queries against all rows.
 
 Queries are a stated, bounded set: they are counted, and sent to where the rows are if there are at most MAX_QUERIES; more
-are taken in blocks. Each task keeps the k nearest of its rows for every query before anything is shuffled.
+are taken in blocks, each of which reads the rows once. Each task keeps the k nearest of its rows for every query before anything is
+shuffled: by arrays where vectors are compared, by Spark's limit of ranked windows (which sorts and cuts in each task first) where columns are.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from homestead.functions import kernels, numbers
 
-#: Queries that one block holds.
-MAX_QUERIES = 2000
+#: Queries that one block, and so one pass over the rows, holds; queries whose distances to a batch of rows are held at once.
+MAX_QUERIES, AT_ONCE = 10_000, 64
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str, keep: list[str] = [], leave_self_out: bool = True) -> DataFrame:  # noqa: B006
@@ -41,21 +42,30 @@ def _block(asked: DataFrame, rows: DataFrame, k: int, row_id: str, vector: str,
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = held.value
-        ids, far = np.empty((len(names), 0), np.int64), np.empty((len(names), 0))
+        parts = [slice(at, at + AT_ONCE) for at in range(0, len(names), AT_ONCE)]
+        best = [(np.empty((len(names[p]), 0), np.int64), np.empty((len(names[p]), 0))) for p in parts]
         for batch in batches:
             batch = batch[batch["v"].notna()]
-            if not len(batch) or not len(names):
+            if not len(batch):
                 continue
             own, v = batch["id"].to_numpy(), np.array(batch["v"].tolist(), float)
-            d = np.stack([np.sqrt(((v - one) ** 2).sum(1)) for one in q])
-            if leave_self_out:
-                d[names[:, None] == own[None]] = np.inf
-            ids, far = np.concatenate([ids, np.broadcast_to(own, d.shape)], 1), np.concatenate([far, d], 1)
-            order = np.lexsort((ids, far), axis=1)[:, :k]
-            ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
-        where = np.isfinite(far)
-        which, _ = np.nonzero(where)
-        yield pd.DataFrame({"query": names[which], "neighbour": ids[where], "distance": far[where]})
+            for i, p in enumerate(parts):
+                d = np.stack([np.sqrt(((v - one) ** 2).sum(1)) for one in q[p]])
+                if leave_self_out:
+                    d[names[p][:, None] == own[None]] = np.inf
+                near = np.broadcast_to(own, d.shape)
+                if d.shape[1] > 4 * k:  # all that are as near as the k-th, and few others
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    most = int((d <= edge).sum(1).max())
+                    some = np.argpartition(d, min(most, d.shape[1]) - 1, axis=1)[:, :most]
+                    d, near = np.take_along_axis(d, some, 1), np.take_along_axis(near, some, 1)
+                ids, far = np.concatenate([best[i][0], near], 1), np.concatenate([best[i][1], d], 1)
+                order = np.lexsort((ids, far), axis=1)[:, :k]
+                best[i] = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+        for p, (ids, far) in zip(parts, best, strict=True):
+            where = np.isfinite(far)
+            which, _ = np.nonzero(where)
+            yield pd.DataFrame({"query": names[p][which], "neighbour": ids[where], "distance": far[where]})
 
     return rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).mapInPandas(top, "query bigint, neighbour bigint, distance double")
 

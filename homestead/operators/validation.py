@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from itertools import product
@@ -9,6 +10,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from homestead.operators import sampling
 from homestead.operators.aggregates import coverage, rmse, within
 from homestead.operators.frame import quantiles
 
@@ -18,6 +20,23 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
     return spark.createDataFrame(list(product(*values.values())), list(values))
 
 
+def random_grid(spark: SparkSession, n: int, ranges: dict[str, tuple[str, float, float]], seed: int = 1) -> DataFrame:
+    """n random settings, numbered in `set` from 1: each name uniform between its bounds, or geometric, that is uniform in its logarithm."""
+    rows = spark.range(1, n + 1).select(F.col("id").alias("set"))
+
+    def drawn(name: str, kind: str, low: float, high: float):
+        u = sampling.uniform(F.concat_ws(":", "set", F.lit(name)), seed)
+        return (low + u * (high - low) if kind == "uniform" else F.exp(math.log(low) + u * (math.log(high) - math.log(low)))).alias(name)
+
+    return rows.select("set", *(drawn(name, *how) for name, how in ranges.items()))
+
+
+def is_best(df: DataFrame, model: str, loss: str, expected) -> DataFrame:
+    """One row: the hypothesis that a model has the least mean loss, whether it holds, and the model that has."""
+    found = best(df, model, loss)
+    return found.select(F.lit(f"best model is {expected}").alias("hypothesis"), F.col(model).eqNullSafe(F.lit(expected)).alias("passed"), F.col(model).cast("string").alias("best"))
+
+
 def performance(df: DataFrame, by: list[str], actual: str = "actual", estimate: str = "estimate") -> DataFrame:
     """rmse, within (10 %) and coverage for each group."""
     return df.groupBy(*by).agg(rmse(F.col(actual), F.col(estimate)).alias("rmse"), within(F.col(actual), F.col(estimate)).alias("within"), coverage(F.col(estimate)).alias("coverage"))

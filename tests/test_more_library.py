@@ -149,3 +149,30 @@ def test_shared_folder_is_asked_for_off_one_machine():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session, "x")
+
+
+def test_tables_hypotheses_and_replaced_columns(spark):
+    name = "made_by_test"
+    assert delimited.create_table_as(spark.range(3), name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
+    losses = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("b", 0.7)], "model string, loss double")
+    assert validation.is_best(losses, "model", "loss", "b").first()[1:] == (True, "b") and not validation.is_best(losses, "model", "loss", "a").first().passed
+    assert frame.replaced(losses, {"loss": F.col("loss") * 2}).agg(F.max("loss")).first()[0] == 2
+    with pytest.raises(ValueError, match="no such"):
+        frame.replaced(losses, {"day": F.lit(1)})
+    places = spark.createDataFrame([(2,), (2,), (9,)], "p long")
+    assert [r.model for r in frame.rows_at(losses, ["loss"], places, "p").collect()] == ["b", "b"]
+
+
+def test_nearest_of_many_rows_and_ties(spark, monkeypatch):
+    from homestead.operators import neighbors
+
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 6, (3000, 2))
+    rows = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(points.tolist())] + [(9999, None)], "id long, v array<double>")
+    got = neighbors.nearest(rows.where("id % 500 = 0 OR id = 9999"), rows, 7, "id", "id", "v").collect()
+    for q in range(0, 3000, 500):
+        far = np.sqrt(((points - points[q]) ** 2).sum(1)).astype(float)
+        far[q] = np.inf
+        assert [r.neighbour for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)] == np.lexsort((np.arange(3000), far))[:7].tolist()
+    assert len(got) == 42
