@@ -9,6 +9,8 @@ sampled splitters by their leading bytes; each bucket is sorted by multikey quic
 prefixes of neighbours tell how far to the right suffixes agree, which with the bytes to the left decides each window.
 Splitters never part suffixes with the same leading bytes, so nothing can agree across a bucket's boundary.
 Leading bytes with more different surroundings than a bucket should hold are settled by counting hashes of the windows.
+
+Anchors also tell of shorter repeats: a string of 270 bytes names an anchor in its first 151, wherever it stands, and the 120 bytes from there are counted.
 """
 
 from __future__ import annotations
@@ -21,17 +23,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, short_batches, small, table, written
+from homestead.llm.common import plain_text, released, short_batches, small, table, written
 from homestead.llm.shingles import _BACK, _POWER, mix
 
 LENGTH, REACH, GRAM = 400, 150, 32
 LEAD = LENGTH - REACH
+#: Bytes from an anchor on that are counted as a short repeat.
+SHORT = 120
 #: Bytes that are hashed at once; windows of longer texts are taken in several turns.
 CHUNK = 1 << 17
 #: Leading bytes with more different surroundings are settled without a bucket.
 BUCKET = 20_000
-#: Documents with spans or open suffixes up to this number are sent to where texts are read; beyond, texts are shuffled.
-FEW_DOCS = 300_000
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -41,7 +43,7 @@ def prefix_sums(b: np.ndarray) -> np.ndarray:
 
 
 def anchors(b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor, lo, hi, lead, around) of a text: the windows from anchor - hi to anchor - lo share the anchor; hashes of the leading bytes and of all bytes of the windows."""
+    """(anchor, lo, hi, lead, around, short) of a text: the windows from anchor - hi to anchor - lo share the anchor; hashes of the leading bytes, of all bytes of the windows and of the first SHORT bytes."""
     windows = len(b) - LENGTH + 1
     for at in range(0, max(windows, 0), CHUNK):
         n = min(CHUNK, windows - at)
@@ -62,8 +64,9 @@ def anchors(b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         a = spot[first]
         with np.errstate(over="ignore"):
             lead = mix((sums[a + LEAD] - sums[a]) * _BACK[a])
+            short = mix((sums[a + SHORT] - sums[a]) * _BACK[a])
             around = mix(mix((sums[last + LENGTH] - sums[first]) * _BACK[first]) + (a - first).astype(np.uint64) * np.uint64(1009) + (a - last).astype(np.uint64))
-        yield a + at, a - last, a - first, lead.view(np.int64), around.view(np.int64)
+        yield a + at, a - last, a - first, lead.view(np.int64), around.view(np.int64), short.view(np.int64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,7 +85,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if found:
             own = batch[["id", "text_key"]].iloc[np.repeat(np.arange(len(batch)), sizes)].reset_index(drop=True)
             columns = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield own.assign(**dict(zip(("anchor", "lo", "hi", "lead", "around"), columns, strict=True))).astype({"id": "Int64"})
+            yield own.assign(**dict(zip(("anchor", "lo", "hi", "lead", "around", "short"), columns, strict=True))).astype({"id": "Int64"})
 
 
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,14 +161,26 @@ def spans_of(repeated: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    both = [b for b in batches if len(b)]
-    if not both:
-        return
-    rows = pd.concat(both, ignore_index=True)
+    """Spans of repeated windows of suffixes that come in order of their leading bytes; suffixes of several leads are settled at once, those of one lead always together."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if len(held) >= BUCKET:
+            others = np.flatnonzero((held["leading"] != held["leading"].iloc[-1]).to_numpy())
+            if len(others):
+                yield _settle_rows(held.iloc[: others[-1] + 1])
+                held = held.iloc[others[-1] + 1 :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield _settle_rows(held)
+    released()
+
+
+def _settle_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.reset_index(drop=True)
     found = settle(rows["left"].tolist(), rows["suffix"].tolist(), rows["lo"].to_numpy(), rows["hi"].to_numpy())
     found[rows["settled"].to_numpy(bool)] = False
     row, start, end = spans_of(found, rows["anchor"].to_numpy())
-    yield pd.DataFrame({"id": rows["id"].astype("Int64").iloc[row].reset_index(drop=True), "text_key": rows["text_key"].to_numpy()[row], "start": start, "end": end})
+    return pd.DataFrame({"id": rows["id"].astype("Int64").iloc[row].reset_index(drop=True), "text_key": rows["text_key"].to_numpy()[row], "start": start, "end": end})
 
 
 def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,12 +197,25 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": pd.Series([doc] * len(first), dtype="Int64"), "text_key": key, "start": a - hi + first, "h1": hashes[0], "h2": hashes[1]})
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key and spans (array of start, end in bytes; apart from each other, in order) of all texts with a repeated string."""
+def anchor_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table of the anchors of all texts that hold a window: id, text_key, anchor, lo, hi, lead, around, short."""
+    texts = _keyed(short_batches(docs), id_col, text_col)
+    return written(texts.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "id long, text_key long, anchor int, lo int, hi int, lead long, around long, short long"), "anchors")
+
+
+def short_repeats(found: DataFrame) -> DataFrame:
+    """id, text_key and n_short_repeats, the anchors of a text whose first SHORT bytes follow another anchor too."""
+    often = found.groupBy("short").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short")
+    again = found.select("id", "text_key", "short").join(written(often, "shorts"), "short", "left_semi")
+    return again.groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n_short_repeats"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """id, text_key and spans (array of start, end in bytes; apart from each other, in order) of all texts with a repeated string. found: their anchors, if they are made."""
     texts = _keyed(short_batches(docs), id_col, text_col)
-    found = written(texts.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "id long, text_key long, anchor int, lo int, hi int, lead long, around long"), "anchors")
+    found = (anchor_rows(docs, id_col, text_col) if found is None else found).drop("short")
     often = written(found.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead"), "often")
-    found = written(found.join(small(often, often.count()), "lead", "left_semi"), "candidates")
+    found = written(found.join(small(often), "lead", "left_semi"), "candidates")
     classes = found.groupBy("lead", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_key", "anchor", "lo", "hi")).alias("one"))
     classes = written(classes, "classes")
     leads = classes.groupBy("lead").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -195,14 +223,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = found.join(again, ["lead", "around"]).select("id", "text_key", (F.col("anchor") - F.col("hi")).alias("start"), (F.col("anchor") - F.col("lo") + LENGTH).alias("end"))
     unclear = classes.join(leads, "lead").select("one.*", (F.col("kinds") > BUCKET).alias("crowded"), (F.col("n") > 1).alias("settled"))
     spots = written(unclear.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "lo", "hi", "crowded", "settled")).alias("spots")), "unclear")
-    spots = small(spots.withColumnsRenamed({"id": "of", "text_key": "of_key"}), spots.count(), FEW_DOCS)
+    spots = small(spots.withColumnsRenamed({"id": "of", "text_key": "of_key"}))
     with_spots = texts.dropDuplicates(["id", "text_key"]) if _repeats(texts) else texts
     with_spots = with_spots.join(spots, texts["id"].eqNullSafe(spots["of"]) & (texts["text_key"] == spots["of_key"])).select("id", "text_key", "text", "spots")
     bytes_of = with_spots.mapInPandas(_surroundings, "id long, text_key long, anchor int, lo int, hi int, crowded boolean, settled boolean, left binary, suffix binary")
     bytes_of = written(bytes_of, "surroundings")
     place = "id long, text_key long, start int, end int"
     buckets = bytes_of.where("NOT crowded").withColumn("leading", F.substring("suffix", 1, LEAD))
-    spans = spans.unionByName(buckets.repartitionByRange("leading").drop("leading").mapInPandas(_settled, place))
+    spans = spans.unionByName(buckets.repartitionByRange("leading").sortWithinPartitions("leading").mapInPandas(_settled, place))
     crowded = bytes_of.where("crowded").mapInPandas(_window_hashes, "id long, text_key long, start int, h1 long, h2 long")
     if not bytes_of.where("crowded").isEmpty():
         crowded = written(crowded, "windows")
@@ -246,21 +274,24 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (bytes that stay).
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (bytes that stay), n_short_repeats (anchors that start a repeat of at least SHORT bytes).
 
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too, in the same text or another; texts
     are judged as they came. Null texts are empty; shorter texts stay whole. Ids may be null or occur again. Only
     the id and text columns are read.
     """
-    spans = written(repeated_spans(docs, id_col, text_col), "spans").withColumnsRenamed({"id": "of", "text_key": "of_key"})
+    found = anchor_rows(docs, id_col, text_col)
+    marked = repeated_spans(docs, id_col, text_col, found).join(short_repeats(found).withColumnsRenamed({"id": "of", "text_key": "of_key"}), F.col("id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "full")
+    marked = marked.select(F.coalesce("id", "of").alias("of"), F.coalesce("text_key", "of_key").alias("of_key"), "spans", "n_short_repeats")
+    spans = written(marked, "spans")
     texts = _keyed(docs, id_col, text_col)
-    both = texts.join(small(spans, spans.count(), FEW_DOCS), texts["id"].eqNullSafe(spans["of"]) & (texts["text_key"] == spans["of_key"]), "left")
+    both = texts.join(small(spans), texts["id"].eqNullSafe(spans["of"]) & (texts["text_key"] == spans["of_key"]), "left")
     cut_out = F.pandas_udf(_cut, "n_removed long, n_spans long, kept binary")
     cut = both.withColumn("cut", cut_out(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans")))
-    return cut.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans", F.coalesce("cut.kept", "text").alias("kept"))
+    return cut.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans", F.coalesce("cut.kept", "text").alias("kept"), F.coalesce("n_short_repeats", F.lit(0)).alias("n_short_repeats"))
 
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(table(spark, sf_dir, "documents"))
-    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_short_repeats")
