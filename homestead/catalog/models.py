@@ -73,7 +73,7 @@ def als_complete(t: Tables):
 @query()
 def bootstrap_ci(t: Tables):
     """Difference of mean balances between two segments, with its interval."""
-    return models.bootstrap_difference(t.customer, "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", 200)
+    return models.bootstrap_difference(t.customer, "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", 200, key="c_custkey")
 
 
 @query("""WITH m AS (SELECT avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c, avg(l_extendedprice) AS y, covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_tax) AS ac,
@@ -124,8 +124,8 @@ e AS (SELECT 'mean' AS model, f.fold, actual, overall AS estimate FROM f JOIN g
 SELECT model, fold, round(sqrt(avg(pow(actual - estimate, 2))), 2) AS rmse, round(avg((abs((actual - estimate) / actual) <= 0.1)::INT), 6) AS within, avg((estimate IS NOT NULL)::INT) AS coverage FROM e GROUP BY 1, 2""")
 def cross_validation(t: Tables):
     rows = t.orders.select(F.col("o_totalprice").alias("actual"), (F.col("o_orderkey") % 4).cast("int").alias("fold"), "o_orderpriority")
-    overall = lambda train, test: test.crossJoin(F.broadcast(train.agg(F.avg("actual").alias("estimate"))))
-    by = lambda train, test: test.join(train.groupBy("o_orderpriority").agg(F.avg("actual").alias("estimate")), "o_orderpriority", "left")
+    overall = lambda train, test: test.join(train.groupBy("fold").agg(F.avg("actual").alias("estimate")), "fold")
+    by = lambda train, test: test.join(train.groupBy("fold", "o_orderpriority").agg(F.avg("actual").alias("estimate")), ["fold", "o_orderpriority"], "left")
     out = validation.cross_validate(rows, "fold", 4, {"mean": overall, "by priority": by})
     return out.withColumns({"rmse": F.round("rmse", 2), "within": F.round("within", 6)})
 

@@ -101,13 +101,13 @@ def model_rmse(model, df: DataFrame, y: str) -> float:
     return evaluation.RegressionEvaluator(labelCol=y, metricName="rmse").evaluate(model.transform(df))
 
 
-def bootstrap_difference(df: DataFrame, group: str, a: str, b: str, value: str, resamples: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
+def bootstrap_difference(df: DataFrame, group: str, a: str, b: str, value: str, resamples: int = 1000, seed: int = 1, level: float = 0.95, key: str | None = None) -> DataFrame:
     """Mean difference between groups a and b and its percentile interval.
 
-    Each row has a Poisson weight in each resample, drawn from a hash of row and resample, so resamples are sums that
+    Each row has a Poisson weight in each resample, drawn from a hash of row (its key, if one is named, so that partitions don't matter) and resample, so resamples are sums that
     combine before the shuffle; no resample is held anywhere.
     """
-    rows = df.where(F.col(group).isin(a, b)).select(group, value).withColumn("__u", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    rows = df.where(F.col(group).isin(a, b)).select(group, value, F.xxhash64(F.col(key) if key else F.monotonically_increasing_id(), F.lit(seed)).alias("__u"))
     draws = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     u = F.pmod(F.xxhash64("__u", "resample"), F.lit(1 << 53)) / float(1 << 53)
     cut, total = [], 0.0

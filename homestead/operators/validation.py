@@ -49,12 +49,15 @@ def best(df: DataFrame, model: str, loss: str) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, fold: str, folds: int, models: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
-    """model, fold, rmse, within, coverage: each model is given training and test rows and returns actual and estimate."""
-    parts = []
-    for f in range(folds):
-        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        parts += [performance(run(train, test).withColumns({"model": F.lit(name), "fold": F.lit(f)}), ["model", "fold"]) for name, run in models.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """model, fold, rmse, within, coverage of all folds in one pass a model.
+
+    Each model is given training and test rows with a column `fold`, the fold that is tested: a row is in the test rows once and in the training rows
+    once for each other fold. It returns the test rows with actual and estimate, and learns for each fold by grouping.
+    """
+    test = df.withColumn("fold", F.col(fold).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
+    train = test.withColumn("fold", F.explode(others))
+    return reduce(DataFrame.unionByName, [performance(run(train, test).withColumn("model", F.lit(name)), ["model", "fold"]) for name, run in models.items()])
 
 
 def strata(df: DataFrame, value: str, name: str = "stratum") -> DataFrame:
