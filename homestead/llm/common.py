@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 1_000_000
+from homestead.shared import shared_dir, written
+
+__all__ = ["ascii_lower", "free_name", "plain_text", "released", "shared_dir", "short_batches", "small", "table", "written"]
+
+#: A side of a join is broadcast only when it was measured and has no more rows and bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 #: Rows of text that go to a Python worker at once.
@@ -36,29 +39,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below the shared folder of the cluster (spark.checkpoint.dir).
-
-    Where the session names none, as in tests on one machine, a temporary folder is set for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="homestead-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else as it is."""
-    return F.broadcast(df) if rows <= limit else df
+def _bytes(field: T.StructField, c: Column) -> Column:
+    """About the bytes that a value takes."""
+    t = field.dataType
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(t, T.ArrayType):
+        inner = t.elementType
+        each = 8 * (len(inner.fields) if isinstance(inner, T.StructType) else 1)
+        if isinstance(inner, T.StringType):
+            return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.octet_length(x) + 16), F.lit(0))
+        return F.coalesce(F.size(c), F.lit(0)) * each + 16
+    return F.lit(16)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows and their measured bytes are within the limits, else as it is. df is a written table."""
+    if not df.columns:
+        return df
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(sum((_bytes(f, F.col(f"`{f.name}`")) for f in df.schema.fields[1:]), _bytes(df.schema.fields[0], F.col(f"`{df.columns[0]}`"))).cast("long"))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def plain_text(c: str | Column = "text") -> Column:

@@ -159,9 +159,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
     close = f"{OF} * least(a_n, b_n) >= {PER} * greatest(a_n, b_n) AND {may_be_similar('odd', PARITIES)}"
     near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "near")
-    n = near.count()
-    right = sets.select(F.col("cls").alias("b"), F.col("items").alias("b_items")).join(small(near, n), "b")
-    left = sets.select(F.col("cls").alias("a"), F.col("items").alias("a_items")).join(small(near.select("a").distinct(), n), "a", "left_semi")
+    right = sets.select(F.col("cls").alias("b"), F.col("items").alias("b_items")).join(small(near), "b")
+    left = sets.select(F.col("cls").alias("a"), F.col("items").alias("a_items")).join(small(near.select("a").distinct()), "a", "left_semi")
     both = right.join(left, "a").withColumn("common", F.size(F.array_intersect("a_items", "b_items")))
     return both.where(OF * F.col("common") >= PER * (F.size("a_items") + F.size("b_items") - F.col("common"))).select("a", "b")
 
@@ -245,7 +244,7 @@ def _sets_of(texts: DataFrame, members: DataFrame, classes: DataFrame) -> DataFr
     """The sets of the classes, each from the text of one of its documents."""
     one = members.where("cls IS NOT NULL").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id")).alias("one"))
     one = written(one.select(F.col("one.id").alias("one_id")).distinct(), "needed")
-    some = texts.join(small(one, one.count()), texts["id"].eqNullSafe(one["one_id"]), "left_semi")
+    some = texts.join(small(one), texts["id"].eqNullSafe(one["one_id"]), "left_semi")
     sets = written(some.mapInArrow(_sets, "cls long, n int, odd array<long>, few array<long>, items array<long>"), "sets")
     n, distinct = sets.agg(F.count(F.lit(1)), F.count_distinct("cls")).first()
     return sets if n == distinct else written(sets.dropDuplicates(["cls"]), "sets")
@@ -260,13 +259,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(groups(docs, id_col, text_col).where("component IS NOT NULL"), "placed")
     gone, ident = free_name(docs, "gone"), docs[id_col].cast("long")
     gone_ids = written(rows.where("id <> component_id").select(F.col("id").alias(gone)).distinct(), "gone")
-    left = docs.join(small(gone_ids, gone_ids.count()), ident == gone_ids[gone], "left_anti")
+    left = docs.join(small(gone_ids), ident == gone_ids[gone], "left_anti")
     gone_sets = written(rows.where("id IS NULL AND (component_id IS NOT NULL OR cls <> component)").select(F.col("cls").alias(gone)).distinct(), "gone")
-    n = gone_sets.count()
-    if not n:
+    if gone_sets.isEmpty():
         return left
     own = docs.where(ident.isNull())
-    own = own.join(small(gone_sets, n), F.pandas_udf(class_of, "long")(plain_text(F.col(text_col)).cast("binary")) == gone_sets[gone], "left_anti")
+    own = own.join(small(gone_sets), F.pandas_udf(class_of, "long")(plain_text(F.col(text_col)).cast("binary")) == gone_sets[gone], "left_anti")
     return left.where(ident.isNotNull()).unionByName(own)
 
 
