@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, small, table, written
+from homestead.llm.common import free_name, plain_text, small, table, written
 
 DEPTH = 3
 WILD = "<*>"
 #: A template is dropped if it occurs in so many documents; a token is constant if it recurs so often at its place.
 MIN_DOCS = 3
-#: Lines of fewer tokens are left alone, and so are templates with a larger share of variable fields.
-MIN_TOKENS, MAX_WILD = 5, 0.4
+#: Templates with a larger share of variable fields are left alone.
+MAX_WILD = 0.4
 
 
 def masked(tokens: Column) -> Column:
@@ -26,24 +26,24 @@ def masked(tokens: Column) -> Column:
     return F.regexp_replace(tokens, r"[^ ]*[0-9][^ ]*", WILD)
 
 
-def tree_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, line_no, line (white space as one space) and leaf (hash of the path) of all lines of enough tokens."""
+def tree_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 1) -> DataFrame:
+    """id, line_no, line (white space as one space) and leaf (hash of the path) of all lines of at least min_tokens tokens; lines of white space have none."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(plain_text(F.col(text_col)), "\n")).alias("line_no", "line"))
     lines = lines.select("id", "line_no", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line"))
-    lines = lines.withColumn("n_tokens", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    return lines.where(F.col("n_tokens") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("line", " ", DEPTH))))
+    lines = lines.where("line <> ''").withColumn("n_tokens", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return lines.where(F.col("n_tokens") >= min_tokens).withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("line", " ", DEPTH))))
 
 
-def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, max_wild: float = MAX_WILD) -> DataFrame:
+def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, max_wild: float = MAX_WILD, min_tokens: int = 1) -> DataFrame:
     """The lines to drop: id, line_no, template, n_docs.
 
     Null texts have no lines. Ids name documents: rows with one id count as one document, and null ids as
     one document too. Only the id and text columns are read.
     """
-    lines = tree_lines(docs, id_col, text_col)
+    lines = written(tree_lines(docs, id_col, text_col, min_tokens), "lines")
     leaves = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     leaves = written(leaves, "leaves")
-    reached = written(lines.join(small(leaves, leaves.count()), "leaf", "left_semi").withColumn("key", F.xxhash64("line")), "reached")
+    reached = written(lines.join(small(leaves), "leaf", "left_semi").withColumn("key", F.xxhash64("line")), "reached")
     # equal lines are parsed once
     kinds = written(reached.groupBy("leaf", "key").agg(F.any_value("line").alias("line"), F.any_value("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n")), "kinds")
     tokens = kinds.select("leaf", "key", "n", "n_tokens", F.posexplode(F.split(masked(F.col("line")), " ")).alias("place", "token"))
@@ -60,10 +60,15 @@ def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the lines of recurring templates; a text that loses lines keeps the others in order. Null ids keep their text."""
-    gone = template_lines(docs, id_col, text_col, **options).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    return docs.join(gone, docs[id_col] == gone["id"], "left").select(*(F.when(F.col("gone").isNull(), docs[c]).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    """docs without the lines of recurring templates; same columns. A text that loses lines keeps the others in order.
+
+    Rows without id keep their text. Rows with one id are one document, whose rows all lose the lines that any of them loses.
+    """
+    gone, of = free_name(docs, "gone"), free_name(docs, "of_id")
+    lost = template_lines(docs, id_col, text_col, **options).where("id IS NOT NULL").groupBy(F.col("id").alias(of)).agg(F.collect_set("line_no").alias(gone))
+    both = docs.join(lost, docs[id_col] == lost[of], "left")
+    kept = F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.coalesce(F.array_contains(lost[gone], i), F.lit(False)))
+    return both.select(*(F.when(lost[gone].isNull(), docs[c]).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ WITH split AS (
 lines AS (
   SELECT doc_id, line_no, string_split(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM split),
 keyed AS (
-  SELECT *, concat_ws(' ', len(t), t[1], t[2], t[3]) AS leaf FROM lines WHERE len(t) >= 5),
+  SELECT *, concat_ws(' ', len(t), t[1], t[2], t[3]) AS leaf FROM lines WHERE t <> ['']),
 leaves AS (
   SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
 tokens AS (
