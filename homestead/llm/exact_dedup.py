@@ -1,10 +1,10 @@
 """Exact deduplication with disk-backed streaming state.
 
-Arrivals (row number, id, SHA-256 of the text, its length, the file it came from) go through a
-Structured Streaming aggregation keyed by digest. Its state lives in RocksDB on disk, is checkpointed
+Arrivals (id, row number, SHA-256 of the text, its length and the text itself) are kept in the shared folder, a folder for each
+run. They go through a Structured Streaming aggregation keyed by digest. Its state lives in RocksDB on disk, is checkpointed
 in the shared folder and never expires, so later arrivals meet all earlier ones. For each digest it
-keeps the identifier of the row that stays and the locator of its content. Digests that occur more
-than once are hits: their full texts are read again and compared byte for byte before anything is
+keeps the identifier of the row that stays and the locator (run and row number) of the content that came first. Digests that occur more
+than once are hits: the full texts of the new rows and those that the locators name are read and compared byte for byte before anything is
 dropped; texts that differ under one digest form groups of their own.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from homestead.llm.common import free_name, plain_text, shared_dir, small, table, written
 
@@ -23,7 +24,9 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    # state of a stream that has ended leaves the executors' memory soon
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 
@@ -32,48 +35,65 @@ def sha256(text: Column) -> Column:
 
 
 class ExactDeduplicator:
-    """Keyed state over any number of arrivals; a folder of its own below the shared one, or `home`.
+    """Keyed state over any number of arrivals; a folder of its own below the shared one, or `home`, where an earlier one's state is taken up.
 
-    Of equal texts the row with the largest id stays, and of rows with equal text and id the one with
-    the largest row number. A null text is the empty text, and empty texts are equal to each other. A
+    Of equal texts the row with the largest id stays, and of rows with equal text and id the one of
+    the last run with the largest row number. A null text is the empty text, and empty texts are equal to each other. A
     null id is smaller than any other. Only the id and text columns are read.
     """
 
     def __init__(self, spark: SparkSession, home: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000):
         self.spark, self.home, self.id_col, self.text_col, self.digest = spark, home or shared_dir(spark, "dedup"), id_col, text_col, digest
-        self.files_per_batch, self.runs = files_per_batch, 0
+        self.files_per_batch = files_per_batch
 
-    def _keyed(self, docs: DataFrame) -> DataFrame:
-        text = plain_text(F.col(self.text_col))
-        return docs.select(F.col(self.id_col).alias("id"), text.alias("text"), self.digest(text).alias("digest"))
+    def runs(self) -> list[int]:
+        """The runs whose arrivals are complete."""
+        top = self._path("arrivals")
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.listStatus(top) if files.exists(top) else []
+        names = [s.getPath().getName() for s in found]
+        return sorted(int(n.removeprefix("run=")) for n in names if n.startswith("run=") and self._exists(f"arrivals/{n}/_SUCCESS"))
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Takes in docs and returns a row for each: uid, id, digest, keep_id, keep_uid, group_size, kept.
+    def add(self, docs: DataFrame, run: int | None = None) -> DataFrame:
+        """Takes in docs and returns a row for each: run, uid (row number in the run), id, digest, n_bytes, keep_id, keep_run, keep_uid, group_size, kept.
 
-        The decisions hold against all rows that were added so far.
+        The decisions hold against all rows that were added so far. A call that was cut off is made good by another one with its
+        number: arrivals of a run that are complete are not taken in twice.
         """
-        arrivals, self.runs = f"{self.home}/arrivals/run={self.runs}", self.runs + 1
-        fresh = self._keyed(docs).select(
-            (F.monotonically_increasing_id() + F.lit((self.runs - 1) << 60 >> 4)).alias("uid"), "id", "digest",
-            F.octet_length("text").cast("long").alias("n_bytes"), F.input_file_name().alias("file"))
-        fresh.write.parquet(arrivals)
-        fresh = self.spark.read.schema(fresh.schema).parquet(arrivals)
-        self._advance(fresh)
-        decisions = self._decisions()
-        clashes = self._clashes(docs, decisions)
-        joined = fresh.join(decisions, "digest")
+        done = self.runs()
+        run = max(done, default=-1) + 1 if run is None else run
+        text = plain_text(F.col(self.text_col))
+        rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(self.id_col).alias("id"), self.digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+        if run not in done:
+            rows.write.mode("overwrite").parquet(f"{self.home}/arrivals/run={run}")
+        self._advance(self._stored().schema)
+        fresh, decisions = self._stored().where(F.col("run") == run), self._decisions()
+        clashes = self._clashes(fresh, decisions, run)
+        joined = fresh.drop("text").join(decisions.drop("first"), "digest")
         if not clashes.isEmpty():
-            joined = joined.join(clashes, "digest", "left_anti").unionByName(self._by_text(docs, clashes))
-        return joined.select("uid", "id", "digest", "n_bytes", F.col("keep.id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"))
+            joined = joined.join(clashes, "digest", "left_anti").unionByName(self._by_text(clashes).where(F.col("run") == run))
+        same = (F.col("run") == F.col("keep.run")) & (F.col("uid") == F.col("keep.uid"))
+        return joined.select("run", "uid", "id", "digest", "n_bytes", F.col("keep.id").alias("keep_id"), F.col("keep.run").alias("keep_run"), F.col("keep.uid").alias("keep_uid"), "group_size", same.alias("kept"))
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+
+    def _exists(self, name: str) -> bool:
+        path = self._path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def _advance(self, fresh: DataFrame) -> None:
-        """Runs the stream over the arrivals that it has not seen yet."""
+    def _stored(self) -> DataFrame:
+        """All arrivals: run, uid, id, digest, n_bytes, text."""
+        return self.spark.read.option("basePath", f"{self.home}/arrivals").parquet(f"{self.home}/arrivals").withColumn("run", F.col("run").cast("int"))
+
+    def _advance(self, schema: T.StructType) -> None:
+        """Runs the stream over the arrivals that it has not seen yet. It does not read their texts."""
         spark, old = self.spark, {k: self.spark.conf.get(k, None) for k in STATE}
         for k, v in STATE.items():
             spark.conf.set(k, v)
         try:
-            stream = spark.readStream.schema(fresh.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.home}/arrivals/*")
-            state = stream.groupBy("digest").agg(F.max(F.struct("id", "uid", "n_bytes", "file")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+            stream = spark.readStream.schema(schema).option("basePath", f"{self.home}/arrivals").option("maxFilesPerTrigger", self.files_per_batch).parquet(f"{self.home}/arrivals/*")
+            state = stream.groupBy("digest").agg(F.max(F.struct("id", "run", "uid")).alias("keep"), F.min(F.struct("run", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size"))
             put = lambda rows, n: rows.write.mode("overwrite").parquet(f"{self.home}/decisions/batch={n}")
             query = state.writeStream.outputMode("update").option("checkpointLocation", f"{self.home}/state").foreachBatch(put).trigger(availableNow=True).start()
             query.awaitTermination()
@@ -83,34 +103,33 @@ class ExactDeduplicator:
 
     def _decisions(self) -> DataFrame:
         """The last decision of each digest."""
-        schema = "digest binary, keep struct<id: bigint, uid: bigint, n_bytes: bigint, file: string>, group_size bigint"
-        rows = self.spark.read.option("basePath", f"{self.home}/decisions").parquet(f"{self.home}/decisions") if self._started() else self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+        schema = "digest binary, keep struct<id: bigint, run: int, uid: bigint>, first struct<run: int, uid: bigint>, group_size bigint"
+        rows = self.spark.read.option("basePath", f"{self.home}/decisions").parquet(f"{self.home}/decisions") if self._exists("decisions") else self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
         if rows.select("batch").distinct().count() <= 1:
             return rows.drop("batch")
-        last = rows.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("last"))
-        return written(last.select("digest", "last.keep", "last.group_size"), "decisions")
-
-    def _started(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/decisions")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _clashes(self, docs: DataFrame, decisions: DataFrame) -> DataFrame:
-        """Digests of hits whose full texts differ. Map-side combining makes one row of many copies."""
-        hits = decisions.where("group_size > 1").select("digest")
-        hit_texts = self._keyed(docs).join(small(hits, hits.count()), "digest", "left_semi")
-        texts = hit_texts.groupBy("digest", "text").agg(F.max("id").alias("id"))
-        return written(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "clashes")
-
-    def _by_text(self, docs: DataFrame, clashes: DataFrame) -> DataFrame:
+        last = rows.groupBy("digest").agg(F.max_by(F.struct("keep", "first", "group_size"), "batch").alias("last"))
+        return written(last.select("digest", "last.keep", "last.first", "last.group_size"), "decisions")
+
+    def _clashes(self, fresh: DataFrame, decisions: DataFrame, run: int) -> DataFrame:
+        """Digests of different texts, found now or before: the new rows' texts are compared with the one that came first. Map-side combining makes one row of many copies."""
+        hits = written(decisions.where("group_size > 1").join(fresh.select("digest").distinct(), "digest", "left_semi").select("digest", "first.run", "first.uid"), "hits")
+        own = fresh.join(small(hits.select("digest")), "digest", "left_semi").select("digest", "text")
+        runs = [r.run for r in hits.select("run").distinct().collect()]
+        first = self._stored().where(F.col("run").isin(runs)).join(small(hits), ["digest", "run", "uid"], "left_semi").select("digest", "text")
+        texts = own.unionByName(first).groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"))
+        differ = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+        differ.write.mode("overwrite").parquet(f"{self.home}/clashes/run={run}")
+        return self.spark.read.schema(differ.schema).parquet(f"{self.home}/clashes/run=*").distinct()
+
+    def _by_text(self, clashes: DataFrame) -> DataFrame:
         """The rows of clashing digests, grouped by the text itself."""
-        rows = self._keyed(docs).join(clashes, "digest", "left_semi").withColumn("uid", -1 - F.monotonically_increasing_id())
-        rows = written(rows.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("file", F.lit("")), "clashing")
-        groups = rows.groupBy("digest", "text").agg(F.max(F.struct("id", "uid", "n_bytes", "file")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        return rows.join(groups, ["digest", "text"]).select("digest", "uid", "id", "n_bytes", "file", "keep", "group_size")
+        rows = written(self._stored().join(clashes, "digest", "left_semi"), "clashing")
+        groups = rows.groupBy("digest", "text").agg(F.max(F.struct("id", "run", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        return rows.join(groups, ["digest", "text"]).select("digest", "run", "uid", "id", "n_bytes", "keep", "group_size")
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per row of docs: uid, id, digest, n_bytes, keep_id, keep_uid, group_size, kept."""
+    """One row per row of docs: run, uid, id, digest, n_bytes, keep_id, keep_run, keep_uid, group_size, kept."""
     return ExactDeduplicator(docs.sparkSession, id_col=id_col, text_col=text_col, digest=digest).add(docs)
 
 
@@ -123,7 +142,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = decisions.where("NOT kept AND NOT (id <=> keep_id)")
     repeats = decisions.where("NOT kept AND id <=> keep_id").isEmpty()
     key, ident = free_name(docs, "digest"), free_name(docs, "gone")
-    gone = small(gone.select(F.col("digest").alias(key), F.col("id").alias(ident)).distinct(), gone.count())
+    gone = small(written(gone.select(F.col("digest").alias(key), F.col("id").alias(ident)).distinct(), "gone"))
     keyed = docs.withColumn(key, sha256(plain_text(F.col(text_col))))
     out = keyed.join(gone, (keyed[key] == gone[key]) & keyed[id_col].eqNullSafe(gone[ident]), "left_anti")
     return (out if repeats else out.dropDuplicates([key])).drop(key)
