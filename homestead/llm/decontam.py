@@ -11,24 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import BROADCAST_ROWS, plain_text, small, table, written
+from homestead.llm.common import free_name, plain_text, small, table, written
 
 #: By tokens of a stretch, up to which the masks serve (1: the token counts, 0: it is ignored). However the substitutions lie
 #: that a stretch may hold, one in five tokens, one of the masks finds a place in it that has none.
 MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
     9: ("1111", "11011", "10111", "11101"),
     14: ("111011", "11010011", "11111"),
     20: ("1111011", "110100010011", "11001010000011", "1110111"),
 }
-#: Items of fewer tokens match by chance and are not looked for.
-SHORTEST = 5
 #: Tokens of the compared stretch (the whole item if it is shorter), and the share that must be equal.
 WINDOW, SHARE = 20, 0.8
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""
-    return F.split(F.lower(plain_text(text)), r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.split(F.lower(plain_text(text)), r"[^\p{L}\p{N}]+"), "")
 
 
 def seed(words: Column, at: Column, mask: str) -> Column:
@@ -68,33 +70,42 @@ def best_window(words: Column, item: Column, n: Column, shift: Column) -> Column
     return F.array_max(sums)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
+def _searched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, share: float, min_tokens: int) -> DataFrame:
+    """A row for each document, item and way they lie that agree enough. Documents without id are told apart by a hash of their text."""
+    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("words")).withColumn("n", F.size("words"))
+    items = written(items.where(F.col("n") >= max(1, min_tokens)).distinct(), "items")
+    own, masks = item_seeds(items)
+    own = written(own, "seeds")
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(plain_text(F.col(text_col))))
+    texts = docs.select(F.col(id_col).alias("id"), key.alias("text_key"), tokens(F.col(text_col)).alias("words"))
+    hits = seeds(texts, masks).drop("words").join(small(own.withColumnRenamed("at", "item_at")), "seed")
+    hits = written(hits.select("id", "text_key", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    pairs = hits.join(small(items.withColumnRenamed("words", "item_words")), hits["item"].eqNullSafe(items["item"])).drop(items["item"])
+    pairs = small(written(pairs.withColumnsRenamed({"id": "hit_id", "text_key": "hit_key"}), "pairs"))
+    found = texts.join(pairs, texts["id"].eqNullSafe(pairs["hit_id"]) & texts["text_key"].eqNullSafe(pairs["hit_key"])).withColumn("best", best_window(F.col("words"), F.col("item_words"), F.col("n"), F.col("shift")))
+    found = found.select("id", "text_key", "item", F.least("n", F.lit(WINDOW)).alias("width"), F.col("best.equal").alias("equal"), (-F.col("best.back")).alias("item_start"), (F.col("shift") - F.col("best.back")).alias("start"))
+    return found.where(F.col("equal") >= share * F.col("width"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, min_tokens: int = 1) -> DataFrame:
     """A row for each contaminated document and item: id, item, equal, width, start (token of the document), item_start.
 
-    Null texts hold nothing. A document is named by its id: rows with one id, or with null, are reported once. Items with
-    a null id are items too. Only the id and text columns are read. The search is complete down to a share of SHARE.
+    Null texts hold nothing, nor do items without tokens. A document is named by its id: rows with one id, or with null, are reported once. Items with
+    a null id are items too. Items of under min_tokens tokens are not looked for; of very short ones every token must be equal. Of several places
+    the best counts, of equal ones the first. Only the id and text columns are read. The search is complete down to a share of SHARE.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.filter(tokens(F.col(item_text)), lambda w: w != "").alias("words")).withColumn("n", F.size("words"))
-    items = written(items.where(F.col("n") >= SHORTEST).distinct(), "items")
-    own, masks = item_seeds(items)
-    own = written(own, "seeds")
-    texts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    hits = seeds(texts, masks).drop("words").join(small(own.withColumnRenamed("at", "item_at"), own.count()), "seed")
-    hits = written(hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
-    n_items = items.count()
-    pairs = hits.join(small(items.withColumnRenamed("words", "item_words"), n_items, BROADCAST_ROWS // 10), hits["item"].eqNullSafe(items["item"])).drop(items["item"])
-    pairs = small(pairs.withColumnRenamed("id", "hit_id"), hits.count(), BROADCAST_ROWS // 10)
-    found = texts.join(pairs, texts["id"].eqNullSafe(pairs["hit_id"])).withColumn("best", best_window(F.col("words"), F.col("item_words"), F.col("n"), F.col("shift")))
-    found = found.select("id", "item", F.least("n", F.lit(WINDOW)).alias("width"), F.col("best.equal").alias("equal"), (-F.col("best.back")).alias("item_start"), (F.col("shift") - F.col("best.back")).alias("start"))
-    found = found.where(F.col("equal") >= share * F.col("width"))
+    found = _searched(docs, benchmark, id_col, text_col, item_col, item_text, share, min_tokens)
     best = found.groupBy("id", "item").agg(F.max(F.struct("equal", "width", (-F.col("start")).alias("back"), "item_start")).alias("b"))
     return best.select("id", "item", "b.equal", "b.width", (-F.col("b.back")).alias("start"), "b.item_start")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the contaminated ones; same columns. A null id names the rows with null ids."""
-    bad = written(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, min_tokens: int = 1) -> DataFrame:
+    """docs without the contaminated ones; same columns. Rows with one id are one document; a row without id goes only if its own text is contaminated."""
+    found = _searched(docs, benchmark, id_col, text_col, item_col, item_text, share, min_tokens)
+    ident, key = free_name(docs, "bad_id"), free_name(docs, "bad_key")
+    bad = small(written(found.select(F.col("id").alias(ident), F.col("text_key").alias(key)).distinct(), "contaminated"))
+    own = F.when(docs[id_col].isNull(), F.xxhash64(plain_text(docs[text_col])))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[ident]) & own.eqNullSafe(bad[key]), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
