@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import pickle
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, short_batches, table
+from homestead.llm.common import plain_text, released, short_batches, table
 
-#: Pages that are learned from at most, taken by a hash of the id, and layouts made of each.
-TRAIN_PAGES, LAYOUTS = 250, 3
+#: Pages that are learned from at most, taken by a hash of the id, and layouts with and without names made of each.
+TRAIN_PAGES, LAYOUTS, PLAIN_LAYOUTS = 250, 3, 2
 TREES, DEPTH, BINS, RATE = 60, 3, 24, 0.3
+#: Of a learned article, blocks that a layout takes, blocks that serve as text of other parts, and characters of such text; pages that are read are never cut.
+LAYOUT_BLOCKS, OTHER_BLOCKS, OTHER_CHARS = 30, 5, 500
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -47,6 +49,8 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, parts, links, at, end = [(0, "#root")], [], 0, 0, len(source)
+        # places in the stack of its block elements, and of the open elements of each tag, so that no step looks through the whole stack
+        nesting, open_at = [0], defaultdict(list)
 
         def flush() -> None:
             if parts:
@@ -56,15 +60,24 @@ class Page:
                     self.blocks.append((stack_node(), text))
 
         def stack_node() -> int:
-            return next(n for n, _ in reversed(stack) if n >= 0)
+            return stack[nesting[-1]][0]
+
+        def push(node: int, tag: str) -> None:
+            if node >= 0:
+                nesting.append(len(stack))
+            open_at[tag].append(len(stack))
+            stack.append((node, tag))
 
         def close(to: int) -> None:
             nonlocal links
-            for n, tag in stack[to:]:
-                links -= tag == "a"
-            if any(n >= 0 for n, _ in stack[to:]):
+            if nesting[-1] >= to:
                 flush()
-            del stack[to:]
+            while len(stack) > to:
+                node, tag = stack.pop()
+                links -= tag == "a"
+                open_at[tag].pop()
+                if node >= 0:
+                    nesting.pop()
 
         def say(text: str) -> None:
             text = html.unescape(text) if "&" in text else text
@@ -84,8 +97,8 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                where = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag), 0)
-                if where and not (stack[where][0] < 0 and any(n >= 0 for n, _ in stack[where:])):
+                where = open_at[tag][-1] if open_at[tag] else 0
+                if where and not (stack[where][0] < 0 and nesting[-1] > where):
                     close(where)
                 continue
             if tag in RAW:
@@ -98,25 +111,17 @@ class Page:
                 if tag == "br":
                     parts.append(" ")
                 elif tag not in VOID:
-                    stack.append((-1, tag))
+                    push(-1, tag)
                     links += tag == "a"
                 continue
             flush()
             if tag in ENDS:
                 own, stop = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] in stop:
-                        break
-                    if stack[k][1] in own:
-                        close(k)
-                        break
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] >= 0:
-                        break
+                found = max((open_at[t][-1] for t in own if open_at[t]), default=0)
+                if found > max((open_at[t][-1] for t in stop if open_at[t]), default=0):
+                    close(found)
+            elif stack[nesting[-1]][1] == "p":
+                close(nesting[-1])
             if tag in VOID:
                 continue
             node, parent = len(self.tag), stack_node()
@@ -128,7 +133,7 @@ class Page:
             self.linked.append(0)
             self.inline.append(0)
             if not m[3].endswith("/"):
-                stack.append((node, tag))
+                push(node, tag)
         flush()
 
     def text(self, keep: np.ndarray) -> str:
@@ -151,10 +156,11 @@ def node_features(page: Page, weights: dict[str, float]) -> np.ndarray:
             values[up] += values[k]
         below[up] += below[k] + 1
     depth, attr, tag, low, rows = [0] * n, [0.0] * n, [0.0] * n, [0.0] * n, []
-    place = [0] * n
+    place, alike = [0] * n, [1] * n
     for kids in page.children:
+        of_tag = Counter(page.tag[k] for k in kids)
         for i, k in enumerate(kids):
-            place[k] = i
+            place[k], alike[k] = i, of_tag[page.tag[k]]
     for k in range(n):
         up = page.up[k]
         depth[k] = depth[up] + 1 if k else 0
@@ -165,9 +171,8 @@ def node_features(page: Page, weights: dict[str, float]) -> np.ndarray:
         # what the elements above say, the nearest last
         low[k] = (low[up] * 0.7 + (attr[up] + tag[up])) if k else 0.0
         kids = page.children[up]
-        same = sum(page.tag[s] == page.tag[k] for s in kids) if len(kids) < 200 else len(kids)
         before, after = (total[kids[place[k] - 1]] if k and place[k] else 0.0), (total[kids[place[k] + 1]] if k and place[k] + 1 < len(kids) else 0.0)
-        rows.append((tag[k], attr[k], high, least, low[k], depth[k], total[k], own[k], total[k] / (1 + below[k] + inline[k]), linked[k] / (1 + total[k]), stops[k] / (1 + words[k]), total[k] / (1 + total[0]), below[k], blocks[k], place[k] / max(1, len(kids)), len(kids), same, before, after, attr[up], tag[up], len(page.tokens[k])))
+        rows.append((tag[k], attr[k], high, least, low[k], depth[k], total[k], own[k], total[k] / (1 + below[k] + inline[k]), linked[k] / (1 + total[k]), stops[k] / (1 + words[k]), total[k] / (1 + total[0]), below[k], blocks[k], place[k] / max(1, len(kids)), len(kids), alike[k], before, after, attr[up], tag[up], len(page.tokens[k])))
     return np.array(rows)
 
 
@@ -238,9 +243,33 @@ TOP = ("<header>{}</header>", '<div class="site-header">{}</div>', '<div id="mas
 AROUND = ('<div class="ad">{}</div>', '<div class="advert"><p>{}</p></div>', '<div class="sponsored promo">{}</div>', '<div class="banner ads">{}</div>', "<aside>{}</aside>", '<aside class="sidebar"><p>{}</p></aside>', '<div id="sidebar">{}</div>', '<div class="cookie-notice"><p>{}</p></div>', '<div id="cookie-banner" class="consent">{}</div>', '<div class="gdpr popup">{}</div>', '<div class="notice">{}</div>', '<div class="alert"><p>{}</p></div>', '<form action="/s"><p>{}</p><input name="q"></form>', '<form class="newsletter signup"><label>{}</label></form>', '<div class="newsletter subscribe"><p>{}</p></div>', '<div class="search"><form><p>{}</p></form></div>', '<div class="author-bio">{}</div>', '<div class="disclaimer"><p>{}</p></div>', '<div class="login modal"><p>{}</p></div>')
 REPLIES = ('<div id="comments"><h3>Comments</h3>{}</div>', '<section class="comments">{}</section>', '<div class="comment-list">{}</div>', '<div class="discussion responses">{}</div>', '<ol class="commentlist">{}</ol>')
 BOTTOM = ("<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="site-footer"><p>{}</p></div>', '<div class="copyright legal">{}</div>', '<footer class="bottom"><p>{}</p></footer>')
+#: Layouts without any name: what a part is shows only in its text, links and place.
+PLAIN_KINDS, PLAIN_LINKS = ("<div>{}</div>", "<div>{}</div>", "<p>{}</p>", "<div><span>{}</span></div>"), ("<div>{}</div>", "<div><div>{}</div></div>", "<ul>{}</ul>")
 FALLBACK = ("Some words of a first paragraph, which says a little. It ends here.", "Another one.", "A third paragraph is somewhat longer than the others, and it has two sentences. This is the second.")
 
 
+def plain_layout(blocks: list[str], others: list[str], rng: np.random.Generator) -> tuple[str, set[str]]:
+    """A page of nested elements without names around the blocks, and marks of the blocks to keep: links before, the blocks, links and a short line after."""
+    marks, keep = iter(range(10**9)), set()
+
+    def marked(text: str, good: bool = False) -> str:
+        m = f"\x01{next(marks)}\x02"
+        if good:
+            keep.add(m)
+        return m + html.escape(text)
+
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    short = lambda most: pick(others)[: int(rng.integers(8, most))]
+    link = lambda form: form.format(f'<a href="/x">{marked(short(25))}</a>')
+    links = lambda: pick(PLAIN_LINKS).format("".join(link(pick(("<div>{}</div>", "<li>{}</li>"))) for _ in range(int(rng.integers(2, 9)))))
+    kind = pick(PLAIN_KINDS)
+    blocks = blocks if rng.random() < 0.3 else blocks[int(rng.integers(0, len(blocks))) :][: int(rng.integers(1, 5))]
+    main = f"<div>{''.join(kind.format(marked(t, True)) for t in blocks)}</div>"
+    parts = [f"<div>{marked(short(40))}</div>" if rng.random() < 0.5 else "", links() if rng.random() < 0.8 else "", f"<div>{main}</div>" if rng.random() < 0.5 else main, links() if rng.random() < 0.5 else "", f"<div>{marked(short(70))}</div>" if rng.random() < 0.6 else ""]
+    body = "".join(parts)
+    return f"<html><body>{f'<div>{body}</div>' if rng.random() < 0.5 else body}</body></html>", keep
+
+
 def layout(blocks: list[str], others: list[str], rng: np.random.Generator) -> tuple[str, set[str]]:
     """A page around the blocks, and marks of the blocks to keep (each block of the page starts with its own mark)."""
     marks, keep = iter(range(10**9)), set()
@@ -252,7 +281,7 @@ def layout(blocks: list[str], others: list[str], rng: np.random.Generator) -> tu
         return m + html.escape(text)
 
     pick = lambda options: options[int(rng.integers(len(options)))]
-    other = lambda: pick(others)[: int(rng.integers(10, 500))]
+    other = lambda: pick(others)[: int(rng.integers(10, OTHER_CHARS))]
     items = lambda: "".join(f'<li><a href="/x">{marked(other()[:25])}</a></li>' for _ in range(int(rng.integers(2, 9))))
     around = lambda: pick(AROUND).format(marked(other()))
     wrap = lambda s, p: f'<div class="{pick(("wrapper", "container", "page", "row", "col", "inner"))}">{s}</div>' if rng.random() < p else s
@@ -303,10 +332,10 @@ def train(sources: list[str], seed: int = 5, layouts: int = LAYOUTS) -> tuple[di
                 good[page.up[k]] += good[k]
             cases.append((page, np.where(some == 0, -1, good == 0)))
     articles = articles or [list(FALLBACK)]
-    others = [t for a in articles for t in a[:5]] + list(FALLBACK)
+    others = [t for a in articles for t in a[:OTHER_BLOCKS]] + list(FALLBACK)
     for blocks in articles:
-        for _ in range(layouts):
-            source, keep = layout(blocks[:30], others, rng)
+        for make in (*[layout] * layouts, *[plain_layout] * PLAIN_LAYOUTS):
+            source, keep = make(blocks[:LAYOUT_BLOCKS], others, rng)
             page = Page(source)
             cases.append((page, labelled(page, keep)))
     seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -338,15 +367,17 @@ def extract(pages: DataFrame, model: tuple[dict[str, float], Trees], html_col: s
     held = short_batches(pages).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
-    def main_text(sources: pd.Series) -> pd.Series:
+    def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, trees = held.value
-        out: list[str] = []
-        for at in range(0, len(sources), 64):
-            made = [Page(s) for s in sources.iloc[at : at + 64]]
-            rows = [node_features(p, weights) for p in made]
-            odds = np.split(trees.log_odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
-            out += [p.text(decode(p, o)) for p, o in zip(made, odds, strict=True)]
-        return pd.Series(out, dtype="object")
+        for sources in batches:
+            out: list[str] = []
+            for at in range(0, len(sources), 64):
+                made = [Page(s) for s in sources.iloc[at : at + 64]]
+                rows = [node_features(p, weights) for p in made]
+                odds = np.split(trees.log_odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
+                out += [p.text(decode(p, o)) for p, o in zip(made, odds, strict=True)]
+            yield pd.Series(out, dtype="object")
+        released()
 
     return pages.withColumn(name, main_text(plain_text(F.col(html_col))))
 
