@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import near
 from homestead.functions import codes, dates, vectors
-from homestead.operators import frame, imputation, models, resampling, sampling, validation, validity
+from homestead.operators import aggregates, frame, imputation, models, resampling, sampling, validation, validity
 from homestead.shared import shared_dir
 from homestead.sources import delimited
 
@@ -90,7 +90,8 @@ def field_filter_counts(t: Tables):
 @query("""SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, round(median(o_totalprice), 4) AS median_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""")
 def median_by_key_year_month(t: Tables):
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.round(F.median("o_totalprice"), 4).alias("median_price"))
+    rows = rows.select("n_name", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
+    return aggregates.group_quantiles(rows, ["n_name", "year", "month"], "o_totalprice", {"median_price": 0.5}, at_most=t.orders.count()).withColumn("median_price", F.round("median_price", 4))
 
 
 @query("""WITH i AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, avg(o_totalprice) AS level FROM orders GROUP BY 1, 2),

@@ -15,7 +15,8 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 @query(MEDIANS)
 def median_by_year_month(t: Tables):
     rows = t.orders.where("o_totalprice > 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.round(F.median("o_totalprice"), 4).alias("median_price"))
+    rows = rows.select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
+    return agg.group_quantiles(rows, ["year", "month"], "o_totalprice", {"median_price": 0.5}, at_most=t.orders.count()).withColumn("median_price", F.round("median_price", 4))
 
 
 @query("SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, round(median(o_totalprice), 4) AS median_price, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")

@@ -73,3 +73,37 @@ def dense_periods(df: DataFrame, years: list[int]) -> DataFrame:
     spark = df.sparkSession
     grid = spark.range(len(years) * 12).select((F.lit(years[0]) + F.floor(F.col("id") / 12)).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"))
     return F.broadcast(grid).join(df, ["year", "month"], "left")
+
+
+#: Rows of a group that one task may gather for an exact quantile; beyond, groups are ranked over range partitions.
+GATHERED = 2_000_000
+
+
+def group_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float], gathered: int = GATHERED, at_most: int | None = None) -> DataFrame:
+    """keys and the exact, interpolated quantiles of a column under their names, for each group; groups without values have nulls.
+
+    Groups are counted, unless at_most, a bound of all rows, shows that none is large. Where the largest is small Spark's own percentile gathers each in a task; else values are counted, ranked by
+    running counts over range partitions of (keys, value) and picked out, so that no group, however large, meets in one task. Both give the same.
+    """
+    named = df.select(*keys, F.col(column).cast("double").alias("__v"))
+    most = at_most
+    if most is None or most > gathered:
+        most = named.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= gathered:
+        return named.groupBy(*keys).agg(*(F.percentile("__v", q).alias(name) for name, q in shares.items()))
+    counts = named.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")).where("__v IS NOT NULL")
+    upto = running_total(counts, [*keys, "__v"], "__n", "__upto")
+    bounds = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__n")).alias("__base"), F.max("__upto").alias("__top"))
+    right = bounds.select(*(F.col(k).alias(f"__of_{k}") for k in keys), "__base", (F.col("__top") - F.col("__base")).alias("__size"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    ranked = upto.join(right, same).withColumn("__rank", F.col("__upto") - F.col("__base"))
+
+    def quantile(share: float) -> Column:
+        place = (F.col("__size") - 1) * share
+        at = lambda p: F.min(F.when(F.col("__rank") > p, F.col("__v")))
+        low = at(F.floor(place))
+        return low + (at(F.ceil(place)) - low) * F.max(place - F.floor(place))
+
+    found = ranked.groupBy(*keys).agg(*(quantile(q).alias(name) for name, q in shares.items()))
+    every = named.select(*keys).distinct()
+    return every.join(found.select(*(F.col(k).alias(f"__of_{k}") for k in keys), *shares), same, "left").select(*keys, *shares)

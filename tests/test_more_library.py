@@ -176,3 +176,14 @@ def test_nearest_of_many_rows_and_ties(spark, monkeypatch):
         far[q] = np.inf
         assert [r.neighbour for r in sorted((r for r in got if r.query == q), key=lambda r: r.rank)] == np.lexsort((np.arange(3000), far))[:7].tolist()
     assert len(got) == 42
+
+
+def test_group_quantiles_are_the_same_gathered_and_ranked(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if g == 3 else g, "ab"[g % 2], None if g == 4 else float(x)) for g in range(5) for x in rng.integers(0, 40, 50 + g)]
+    df = spark.createDataFrame(rows, "g int, h string, x double").repartition(5)
+    shares = {"low": 0.25, "mid": 0.5, "high": 0.99}
+    gathered, ranked = ({(r.g, r.h): (r.low, r.mid, r.high) for r in aggregates.group_quantiles(df, ["g", "h"], "x", shares, most).collect()} for most in (10**6, 1))
+    assert gathered.keys() == ranked.keys() and gathered[(4, "a")] == ranked[(4, "a")] == (None,) * 3
+    for k, v in gathered.items():
+        assert v == (None,) * 3 or ranked[k] == pytest.approx(v)
