@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import free_name, plain_text, short_batches, table
+from homestead.llm.common import free_name, plain_text, released, short_batches, table
 
 BUCKETS, WIDTH, NGRAMS = 1 << 18, 16, (2, 3, 4)
 #: At most so many labelled rows are learned from, the same ones each time; they are taken by a hash of the id.
@@ -143,6 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         both = pd.concat([*batches, pd.DataFrame({"id": [], "text": [], "label": []})]).sort_values(["id", "text"], kind="stable")
         model = train([t.encode("utf-8", "surrogatepass") for t in both["text"]], both["label"].to_numpy().astype(np.int64), epochs)
         yield pd.DataFrame({"margin": [zlib.compress(model.margin.tobytes(), 1)], "bias": [model.bias], "rows": [model.rows]})
+        del both, model
+        released()
 
     got = texts.repartition(1).mapInPandas(fit, "margin binary, bias double, rows bigint").first()
     if got is None:  # no partition at all
@@ -155,9 +157,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     held = short_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = held.value
-        return pd.Series([1 / (1 + np.exp(-np.clip(model.log_odds(t.encode("utf-8", "surrogatepass")), -60, 60))) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([1 / (1 + np.exp(-np.clip(model.log_odds(t.encode("utf-8", "surrogatepass")), -60, 60))) for t in texts], dtype="float64")
+        released()
 
     return docs.withColumn(name, probability(plain_text(F.col(text_col))))
 
