@@ -3,8 +3,9 @@
 Words are counted over the whole corpus, so that the lattice of a word is walked once and not once an
 occurrence. A forward recursion in log space sums over all ways to cut a word into pieces of the vocabulary
 (bytes are pieces too, so any word can be cut); the probability of a document is the product over its words and its end.
-The scores of the pieces are learned from the counts of the training words by expectation maximisation, from a
-start that falls with a piece's rank in the vocabulary. Words that make up at least a fixed share of all tokens, of which
+The scores of the pieces start from those of the vocabulary and are fitted to the counts of the training words by expectation
+maximisation. A unigram vocabulary's scores are log probabilities; the public vocabulary was made by merges, whose scores
+are no more than ranks, so its start falls with the rank. Words that make up at least a fixed share of all tokens, of which
 there can only be so many, are looked up where the documents are read; the others are joined by a shuffle, in
 which by that bound no word is frequent.
 """
@@ -39,18 +40,24 @@ def default_vocabulary_file() -> str:
 
 
 def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces as bytes (the mark of a word's start as a space) by rank, all 256 bytes among them, and their first log probabilities."""
+    """Pieces as bytes (the mark of a word's start as a space), all 256 bytes among them, and their first log probabilities.
+
+    Scores that sum to about 1 as log probabilities are taken as such; others are taken as ranks, from 0 down.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces: dict[bytes, None] = {}
+    pieces: dict[bytes, float] = {}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            pieces[model.id_to_piece(i).replace("▁", " ").encode()] = None
+            pieces.setdefault(model.id_to_piece(i).replace("▁", " ").encode(), model.get_score(i))
+    least = min(pieces.values(), default=0.0)
     for b in range(256):
-        pieces.setdefault(bytes([b]))
-    ranked = 1 / (np.arange(len(pieces)) + 10.0)
-    return list(pieces), np.log(ranked / ranked.sum())
+        least -= 1
+        pieces.setdefault(bytes([b]), least)
+    scores = np.array(list(pieces.values()))
+    likely = np.exp(scores) if abs(np.exp(scores).sum() - 1) < 0.2 else 1 / (10.0 - scores)
+    return list(pieces), np.log(likely / likely.sum())
 
 
 class Lattice:

@@ -6,9 +6,11 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from homestead.llm import decontam, exact_dedup, html_text, jaccard, lattice, packing, quality, shingles, substring, suffix, templates
@@ -80,6 +82,18 @@ def test_exact_dedup_state_meets_later_arrivals(spark):
     assert {(r.id, r.keep_id, r.kept) for r in d.add(frame(spark, ["a"], [3])).collect()} == {(3, 5, False)}
 
 
+def test_exact_dedup_takes_up_its_state_and_compares_bytes_across_arrivals(spark):
+    from pyspark.sql import functions as F
+
+    first = exact_dedup.ExactDeduplicator(spark, digest=lambda c: F.encode(F.length(c).cast("string"), "utf-8"))
+    first.add(frame(spark, ["aa", "ccc"], [1, 9]))
+    again = exact_dedup.ExactDeduplicator(spark, home=first.home, digest=first.digest)
+    rows = again.add(frame(spark, ["bb", "ccc", "dddd"], [2, 3, 4]))
+    assert {(r.id, r.keep_id, r.group_size, r.kept) for r in rows.collect()} == {(2, 2, 1, True), (3, 9, 2, False), (4, 4, 1, True)}
+    same = again.add(frame(spark, ["bb", "ccc", "dddd"], [2, 3, 4]), run=1)
+    assert {(r.id, r.keep_id, r.group_size) for r in same.collect()} == {(2, 2, 1), (3, 9, 2), (4, 4, 1)} and again.runs() == [0, 1]
+
+
 def test_drop_copies_keeps_columns_and_one_of_repeated_rows(spark):
     docs = frame(spark, ["a", "a", "b", "b", None, "", "c"], [1, 1, 2, 3, None, 7, None])
     left = exact_dedup.drop_copies(docs)
@@ -138,15 +152,16 @@ def test_decontamination_finds_substituted_passages_only(spark):
     texts = [prose(rng, 50) + " " + items[0].upper() + " " + prose(rng, 9), prose(rng, 5) + " " + " ".join(swapped), prose(rng, 30), "so just, seven words are in THIS item.", items[1], None, "", "too short", items[1] * 2, " ".join(items[0].split()[:12])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     found = {(r.id, r.item) for r in decontam.contaminated(frame(spark, texts), bench).collect()}
-    assert found == {(0, 0), (1, 0), (3, 2), (4, 1), (8, 1)}
-    left = decontam.drop_contaminated(frame(spark, texts, [0, 1, 2, None, 4, 5, 6, 7, 8, 9]), bench)
-    assert {r.doc_id for r in left.collect()} == {2, 5, 6, 7, 9}
+    assert found == {(0, 0), (1, 0), (3, 2), (4, 1), (7, 3), (8, 1)}
+    assert (7, 3) not in {(r.id, r.item) for r in decontam.contaminated(frame(spark, texts), bench, min_tokens=5).collect()}
+    left = decontam.drop_contaminated(frame(spark, texts, [0, None, None, None, 4, 5, 6, 7, 8, 9]), bench)
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(None, texts[2]), (5, None), (6, ""), (9, texts[9])}
     assert decontam.contaminated(empty(spark), bench).count() == 0
     assert decontam.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
 def test_decontamination_masks_leave_out_no_pattern():
-    for width in range(decontam.SHORTEST, decontam.WINDOW + 1):
+    for width in range(1, decontam.WINDOW + 1):
         spots = [{at + k for k, c in enumerate(m) if c == "1"} for m in decontam.masks_of(width) for at in range(width - len(m) + 1)]
         for lost in itertools.combinations(range(width), width - math.ceil(decontam.SHARE * width)):
             assert any(spot.isdisjoint(lost) for spot in spots), (width, lost)
@@ -171,6 +186,36 @@ def test_decontamination_finds_any_tolerated_substitutions(spark):
     assert {(r.id, r.item) for r in decontam.contaminated(frame(spark, texts), bench).collect()} == expected
 
 
+def test_decontamination_equals_a_plain_search_with_repeats_ties_and_long_texts(spark):
+    rng = random.Random(9)
+    items = [prose(rng, 30), prose(rng, 16), "w1 w2", "w7"]
+    texts = [f"«{items[0]}» then {items[0]}", items[1], items[1], prose(rng, 30_000) + " " + items[1], prose(rng, 12), "?", "W1, w2!", items[0].rsplit(" ", 12)[0]]
+    ids = [1, 2, 2, 3, 4, 5, 6, 7]
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+
+    def best(text, item):
+        doc, words = split(text), split(item)
+        width = min(len(words), decontam.WINDOW)
+        found = []
+        for shift in range(-len(words), len(doc)):
+            same = [0 <= i + shift < len(doc) and doc[i + shift] == w for i, w in enumerate(words)]
+            found += [(sum(same[k : k + width]), -(k + shift), k) for k in range(len(words) - width + 1)]
+        top = max(found, default=(0, 0, 0))
+        return (top[0], -top[1]) if top[0] >= decontam.SHARE * width else None
+
+    expected = {(i, k): best(t, item) for i, t in zip(ids, texts, strict=True) for k, item in enumerate(items) if best(t, item)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontam.contaminated(frame(spark, texts, ids), bench).collect()
+    assert len(rows) == len(expected) and {(r.id, r.item): (r.equal, r.start) for r in rows} == expected
+
+
+def test_html_of_repeated_rows_and_long_pages(spark):
+    long = PAGE.replace("First", "First " + "and more text. " * 20_000)
+    pages = spark.createDataFrame([(1, PAGE), (1, PAGE), (None, long)], "page_id long, html string")
+    got = html_text.extract(pages, html_text.train([PAGE] * 20), name="t").collect()
+    assert got[0].t == got[1].t != "" and len(got[2].t) > 280_000
+
+
 def test_quality_learns_held_out_labels(spark):
     rng = random.Random(1)
     texts = [prose(rng, 40) if i % 2 else " ".join(f"{w}###" for w in prose(rng, 40).split()) for i in range(400)]
@@ -205,6 +250,22 @@ def test_html_keeps_the_article(spark):
     assert html_text.extract(pages.limit(0), html_text.learn(pages.limit(0)), name="t").count() == 0
 
 
+def test_html_keeps_text_of_pages_without_names_or_closed_tags():
+    model = html_text.train(pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()[:100])
+    read = lambda source: (lambda p: p.text(html_text.decode(p, model[1].log_odds(html_text.node_features(p, model[0])))))(html_text.Page(source))
+    text = "A paragraph of some length, with a first sentence in it. It has a second one, which is as long as the first."
+    assert read(f"<div><div><a href=x>Home</a></div><div><a href=y>About us</a></div></div><div><div>{text}</div><div>{text} {text}</div></div>").count("paragraph") == 3
+    began = time.perf_counter()
+    page = html_text.Page("<b>x" * 60_000 + "<div>" * 20_000 + "<li>y<i>" * 20_000 + "</b>")
+    assert time.perf_counter() - began < 10 and sum(len(t) for _, t in page.blocks) >= 80_000
+
+
+def test_html_page_equals_a_plain_reading(spark):
+    page = html_text.Page("<p>a <b>b</b>&amp;c<p>d<ul><li>e<li>f<script>x</script></ul><table><tr><td>g<td>h</table>i")
+    assert [t for _, t in page.blocks] == ["a b&c", "d", "e", "f", "g", "h", "i"]
+    assert [page.tag[n] for n, _ in page.blocks] == ["p", "p", "li", "li", "td", "td", "#root"]
+
+
 def test_html_decoding_drops_what_lies_in_dropped_elements():
     page = html_text.Page("<div><p>a</p><p>b</p></div><p>c</p>")
     odds = np.array([0.0, 9.0, -1.0, -1.0, -3.0])
@@ -273,6 +334,15 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, bucket):
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(m), m.sum(), (np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
 
 
+def test_suffix_anchors_tell_of_shorter_repeats(spark):
+    rng = random.Random(31)
+    passages = [" ".join(f"p{i}x{k}" for k in range(60))[:290] for i in range(8)]
+    own = lambda: " ".join(f"o{rng.random():.9f}" for _ in range(60))
+    texts = [f"{own()} {p} {own()}" for p in passages for _ in range(2)] + [own() + own() for _ in range(8)]
+    got = {r.id: (r.n_removed, r.n_short_repeats > 0) for r in suffix.remove_repeats(frame(spark, texts)).collect()}
+    assert got == {i: (0, i < 16) for i in range(24)}
+
+
 def test_suffix_dedup_of_repeated_rows_and_empty_tables(spark):
     text = prose(random.Random(2), 200)
     rows = suffix.remove_repeats(frame(spark, [text, text, "short"], [None, None, 1])).collect()
@@ -320,14 +390,40 @@ def test_lm_scores_and_base(spark):
     assert lattice.score(empty(spark)).count() == 0
 
 
+def test_lm_fitting_beats_the_scores_it_starts_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    start, fitted = (lattice.score(docs, em_steps=n).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s").first().s for n in (0, 2))
+    assert fitted > start + 0.1
+
+
+def test_lm_score_of_a_text_is_the_sum_over_its_words(spark):
+    texts = ["ab ab\nzz", "ab", "ab ab\nzz ab", ""]
+    got = {r.id: r.score for r in lattice.score(frame(spark, texts, [1, 3, 5, 6]), em_steps=0).collect()}
+    end = got[6]
+    assert got[5] - end == pytest.approx((got[1] - end) + (got[3] - end))
+
+
+def test_quality_features_and_a_step_of_descent_equal_plain_loops():
+    raw = b"one two one"
+    keys, counts = quality.bag(raw)
+    every = collections.Counter(quality.features(raw).tolist())
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == dict(every)
+    model = quality.train([raw, b"three"], np.array([1, 0]), epochs=30, rate=0.5)
+    assert model.log_odds(raw) == pytest.approx(sum(model.margin[k] * n for k, n in every.items()) / sum(every.values()) + model.bias, abs=1e-5)
+    assert model.log_odds(raw) > 0 > model.log_odds(b"three")
+
+
 def test_templates_generalise_fields(spark):
     texts = [f"user {i} logged in from host h{i}\nsome other line with words {chr(97 + i) * 3}" for i in range(4)] + ["user x logged in from host\nno", None, ""]
     rows = templates.template_lines(frame(spark, texts)).collect()
     assert {(r.id, r.line_no) for r in rows} == {(i, n) for i in range(4) for n in (0, 1)}
     assert {r.template for r in rows} == {"user <*> logged in from host <*>", "some other line with words <*>"}
-    left = {r.doc_id: r.text for r in templates.drop_template_lines(frame(spark, texts, clash=False)).collect()}
+    left = {r.doc_id: r.text for r in templates.drop_template_lines(frame(spark, texts)).collect()}
     assert left[0] == "" and left[4] == texts[4] and left[5] is None
     assert templates.template_lines(empty(spark)).count() == 0
+    odd = ["a b c", "a b c", "a b c", "a b c", None, "", "w " * 20_000 + "\na b c"]
+    assert sorted((str(r.id), r.n_docs) for r in templates.template_lines(frame(spark, odd, [1, 2, None, 2, None, 3, 4])).collect()) == sorted([("1", 4), ("2", 4), ("2", 4), ("None", 4), ("4", 4)])
+    assert {r.text for r in templates.drop_template_lines(frame(spark, odd, [1, 2, None, 2, None, 3, 4])).where("doc_id IS NOT NULL").collect()} == {"", "w " * 20_000}
 
 
 def shingled(text):
