@@ -10,7 +10,7 @@ batches of texts at a time.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,14 +97,15 @@ class Model:
         return total / max(n, 1) + self.bias
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, width: int = WIDTH, seed: int = SEED) -> Model:
+def train(texts: Iterable[bytes], labels: Sequence[int], epochs: int = EPOCHS, rate: float = RATE, width: int = WIDTH, seed: int = SEED) -> Model:
     """Stochastic gradient descent over the vectors and a softmax layer of two classes, with a falling rate."""
+    bags = [(k.astype(np.int32), (c / c.sum()).astype(np.float32)) if len(k) else None for k, c in map(bag, texts)]
+    labels = np.asarray(labels, np.int64)  # may grow as the texts are read
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, width)) - 0.5) / width).astype(np.float32)
     layer = ((rng.random((width, 2)) - 0.5) * 2).astype(np.float32)
     share = np.clip(np.bincount(labels, minlength=2) / max(len(labels), 1), 1e-3, 1)
     bias = np.log(share).astype(np.float32)
-    bags = [(k, (c / c.sum()).astype(np.float32)) if len(k) else None for k, c in map(bag, texts)]
     step, steps = 0, max(1, epochs * len(bags))
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -140,13 +141,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     texts = docs.select(F.col(id_col).alias("id"), plain_text(F.col(text_col)).alias("text")).join(F.broadcast(sample), "id")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = pd.concat([*batches, pd.DataFrame({"id": [], "text": [], "label": []})]).sort_values(["id", "text"], kind="stable")
-        model = train([t.encode("utf-8", "surrogatepass") for t in both["text"]], both["label"].to_numpy().astype(np.int64), epochs)
+        known: list[int] = []
+
+        def read() -> Iterator[bytes]:
+            for batch in batches:
+                known.extend(batch["label"].tolist())
+                yield from (t.encode("utf-8", "surrogatepass") for t in batch["text"])
+
+        model = train(read(), known, epochs)
         yield pd.DataFrame({"margin": [zlib.compress(model.margin.tobytes(), 1)], "bias": [model.bias], "rows": [model.rows]})
-        del both, model
+        del model
         released()
 
-    got = texts.repartition(1).mapInPandas(fit, "margin binary, bias double, rows bigint").first()
+    got = texts.repartition(1).sortWithinPartitions("id", "text").mapInPandas(fit, "margin binary, bias double, rows bigint").first()
     if got is None:  # no partition at all
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0)
     return Model(np.frombuffer(zlib.decompress(got["margin"]), np.float32), got["bias"], got["rows"])
