@@ -3,11 +3,11 @@
 Each task reads its part of the documents once and packs what it reads; nothing is shuffled, so no source,
 group of copies or long document can gather anywhere, and a task that is run again gives the same pieces.
 A document of n tokens first gives n // 2048 full windows, which wait to be dealt. What is left is routed to the smallest
-context tier (256, 512, 1024 or 2048) that holds it and waits in a pool. When the pool is full, the
+context tier (256, 512, 1024 or 2048) that holds it and waits in that tier's queue. When the task's queues are full, the
 tiers are packed from the longest to the shortest: each window opens with the longest piece of its tier and
 its gap is filled with the longest waiting pieces that fit, from its own and all shorter tiers; a gap that
 no piece fits is filled by cutting one. The windows of a pool, with the full ones that wait, are dealt to step groups so that groups get
-like numbers of windows and like sums of squared piece lengths, the cost of attention. The last window of a pool, which alone cannot be
+like numbers of windows and like sums of squared piece lengths, the cost of attention; a group may hold windows of several lengths. The last window of a pool, which alone cannot be
 filled, is cut into powers of two.
 """
 
@@ -23,15 +23,15 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from homestead.llm.common import plain_text, short_batches, table
+from homestead.llm.common import plain_text, released, short_batches, table
 
 TIERS = (256, 512, 1024, 2048)
 #: Pieces that wait in a task before they are packed, and tokens in them and in full windows at most.
 POOL_PIECES, POOL_TOKENS = 4096, 2_000_000
 #: Windows that one step of training takes.
 STEP_WINDOWS = 16
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 1_000_000
+#: Bytes of words and their ids that a worker remembers, with what Python adds to each.
+MEMO_BYTES, MEMO_ENTRY = 64 << 20, 190
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -42,16 +42,23 @@ class Memo(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.room = Tokenizer.from_file(path), MEMO_BYTES
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.ids(word)
-        if len(self) < MEMO_WORDS:
-            self[word] = ids
-        return ids
+    def met(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not remembered, all tokenized at once and told apart by where their tokens start."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        ids, at = np.array(found.ids, "<u4").tobytes(), np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        ends = (np.searchsorted(at, starts) * 4).tolist()
+        new = {w: ids[ends[i] : ends[i + 1]] for i, w in enumerate(words)}
+        for w, own in new.items():
+            if self.room > 0 and len(w) < 100:
+                self[w] = own
+                self.room -= MEMO_ENTRY + 2 * len(w) + len(own)
+        return new
 
 
 _memos: dict[str, Memo] = {}
@@ -72,19 +79,26 @@ def encoder(path: str) -> Callable[[str], bytes]:
     if path not in _memos:
         _memos[path] = Memo(path)
     memo = _memos[path]
-    of = memo.__getitem__
-    return lambda text: memo.ids(text) if ODD_SPACE.search(text) else b"".join(map(of, text.split()))
 
+    def ids(text: str) -> bytes:
+        if ODD_SPACE.search(text):
+            return memo.ids(text)
+        words = text.split()
+        own = list(map(memo.get, words))
+        if None in own:
+            new = memo.met(list(dict.fromkeys(w for w, i in zip(words, own, strict=True) if i is None)))
+            own = [new[w] if i is None else i for w, i in zip(words, own, strict=True)]
+        return b"".join(own)
 
-class Pool:
-    """Waiting pieces (document, start, ids, tokens of the document) of one task, and the windows made of them."""
+    return ids
 
-    def __init__(self, first_sequence: int, tiers: tuple[int, ...] = TIERS):
-        self.tiers, self.next_sequence, self.next_group = tiers, first_sequence, first_sequence
+
+class Queue:
+    """Waiting pieces of one tier by length."""
+
+    def __init__(self) -> None:
         self.by_length: dict[int, list] = {}
-        self.full: list[tuple] = []
         self.lengths: list[int] = []
-        self.pieces = self.tokens = 0
 
     def add(self, piece: tuple) -> None:
         n = len(piece[2])
@@ -92,43 +106,68 @@ class Pool:
             self.by_length[n] = []
             bisect.insort(self.lengths, n)
         self.by_length[n].append(piece)
-        self.pieces, self.tokens = self.pieces + 1, self.tokens + n
-
-    def ready(self) -> bool:
-        return self.pieces + len(self.full) >= POOL_PIECES or self.tokens + len(self.full) * self.tiers[-1] >= POOL_TOKENS
-
-    def take(self, most: int) -> tuple | None:
-        """The longest waiting piece of at most so many tokens."""
-        at = bisect.bisect_right(self.lengths, most) - 1
-        return self.pop(at) if at >= 0 else None
 
     def pop(self, at: int) -> tuple:
         n = self.lengths[at]
         piece = self.by_length[n].pop()
         if not self.by_length[n]:
             del self.by_length[n], self.lengths[at]
-        self.pieces, self.tokens = self.pieces - 1, self.tokens - n
         return piece
 
-    def cut(self, room: int) -> tuple:
-        """So many tokens of the shortest piece that is longer; the rest waits on."""
-        doc, start, ids, total = self.pop(bisect.bisect_right(self.lengths, room))
+    def longest(self, most: int) -> tuple | None:
+        """The longest piece of at most so many tokens."""
+        at = bisect.bisect_right(self.lengths, most) - 1
+        return self.pop(at) if at >= 0 else None
+
+    def longer(self, room: int) -> tuple | None:
+        """The shortest piece of more tokens."""
+        at = bisect.bisect_right(self.lengths, room)
+        return self.pop(at) if at < len(self.lengths) else None
+
+
+class Pool:
+    """Waiting pieces (document, start, ids, tokens of the document) of one task in a queue for each tier, and the windows made of them."""
+
+    def __init__(self, first_sequence: int, tiers: tuple[int, ...] = TIERS):
+        self.tiers, self.next_sequence, self.next_group = tiers, first_sequence, first_sequence
+        self.queues = [Queue() for _ in tiers]
+        self.full: list[tuple] = []
+        self.pieces = self.tokens = 0
+
+    def add(self, piece: tuple) -> None:
+        """Routes a piece to the smallest tier that holds it."""
+        n = len(piece[2])
+        self.queues[bisect.bisect_left(self.tiers, n)].add(piece)
+        self.pieces, self.tokens = self.pieces + 1, self.tokens + n
+
+    def ready(self) -> bool:
+        return self.pieces + len(self.full) >= POOL_PIECES or self.tokens + len(self.full) * self.tiers[-1] >= POOL_TOKENS
+
+    def take(self, tier: int, room: int) -> tuple:
+        """So many tokens at most: the longest piece that fits, from the tier itself or the shorter ones; else the beginning of one that is too long."""
+        down = self.queues[tier::-1]
+        piece = next((p for q in down if (p := q.longest(room))), None)
+        if piece:
+            self.pieces, self.tokens = self.pieces - 1, self.tokens - len(piece[2])
+            return piece
+        doc, start, ids, total = next(p for q in reversed(down) if (p := q.longer(room)))
+        self.pieces, self.tokens = self.pieces - 1, self.tokens - len(ids)
         self.add((doc, start + room, ids[room:], total))
         return doc, start, ids[:room], total
 
     def windows(self) -> Iterator[tuple[int, list]]:
-        """All waiting pieces, as windows (length, pieces)."""
-        while self.pieces:
-            longest = self.lengths[-1]
-            window = next((t for t in self.tiers if t >= longest), self.tiers[-1])
-            if self.tokens < window:  # the last ones: powers of two without a gap
-                window = 1 << (self.tokens.bit_length() - 1)
-            room, inside = window, []
-            while room:
-                piece = self.take(room) or self.cut(room)
-                inside.append(piece)
-                room -= len(piece[2])
-            yield window, inside
+        """All waiting pieces, as windows (length, pieces): tier by tier from the longest, each gap filled from the tier and then the shorter ones."""
+        for tier in range(len(self.tiers) - 1, -1, -1):
+            while self.queues[tier].lengths:
+                window = self.tiers[tier]
+                if self.tokens < window:  # the last ones: powers of two without a gap
+                    window = 1 << (self.tokens.bit_length() - 1)
+                room, inside = window, []
+                while room:
+                    piece = self.take(tier, room)
+                    inside.append(piece)
+                    room -= len(piece[2])
+                yield window, inside
 
     def packed(self) -> list[tuple]:
         """Rows of all waiting pieces and full windows, with step groups of like cost."""
@@ -183,6 +222,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 out = []
         if pool.pieces or pool.full:
             yield frame(pool.packed())
+        del pool
+        released()
 
     return short_batches(docs).select(docs[id_col].cast("long").alias("id"), plain_text(docs[text_col]).alias("text")).mapInPandas(run, SCHEMA)
 
