@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from homestead.llm import decontam, exact_dedup, html_text, jaccard, lattice, packing, quality, substring, suffix, templates
+from homestead.llm import decontam, exact_dedup, html_text, jaccard, lattice, packing, quality, substring, suffix, templates, turns
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_scoring": lattice.op8_lm_scoring,
     "op9_line_templates": templates.op9_line_templates,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op12_turn_repair": turns.op12_turn_repair,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op6_substring_dedup": substring.SQL,
     "op9_line_templates": templates.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op12_turn_repair": turns.SQL,
 }
