@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from homestead.llm import decontam, exact_dedup, html_text, jaccard, lattice, packing, quality, substring, suffix, templates, turns
+from homestead.llm import decontam, exact_dedup, html_text, jaccard, language, lattice, negatives, packing, quality, substring, suffix, templates, turns
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_lm_scoring": lattice.op8_lm_scoring,
     "op9_line_templates": templates.op9_line_templates,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_turn_repair": turns.op12_turn_repair,
+    "op13_language": language.op13_language,
 }
 
 SQL = {
@@ -23,5 +25,6 @@ SQL = {
     "op6_substring_dedup": substring.SQL,
     "op9_line_templates": templates.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op11_hard_negatives": negatives.SQL,
     "op12_turn_repair": turns.SQL,
 }
