@@ -115,8 +115,8 @@ def _positives(held, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, label, a = held.value  # in order of label
         best = Best(len(names), k)
-        starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if len(label) else []
-        groups = [slice(at, min(at + AT_ONCE, end)) for begin, end in zip(starts, [*starts[1:], len(label)], strict=True) for at in range(begin, end, AT_ONCE)]
+        starts = np.searchsorted(label, np.unique(label)).tolist()
+        groups = [slice(at, min(at + AT_ONCE, end)) for begin, end in zip(starts, [*starts, len(label)][1:], strict=True) for at in range(begin, end, AT_ONCE)]
         for ids, labels, v in _chunks(batches, a.shape[1]):
             order = np.argsort(labels, kind="stable")
             ids, labels, v = ids[order], labels[order], v[order]
