@@ -211,12 +211,6 @@ def has_indicators(t: Tables):
     return frame.has_indicators(t.documents.select("doc_id").join(t.labels, "doc_id", "left"), ["quality", "toxic"], ["doc_id"])
 
 
-@query(f"""SELECT "set", round(2 + {lot('"set" || \':k\'', 11)} * 118, 8) AS k, round(exp(ln(1) + {lot('"set" || \':metres\'', 11)} * (ln(10000) - ln(1))), 6) AS metres FROM range(1, 101) r("set")""")
-def random_hp_sets(t: Tables):
-    sets = validation.random_grid(t.spark, 100, {"k": ("uniform", 2, 120), "metres": ("geometric", 1, 10000)}, 11)
-    return sets.select("set", F.round("k", 8).alias("k"), F.round("metres", 6).alias("metres"))
-
-
 @query()
 def completion_ranks(t: Tables):
     """Held-out errors of low-rank completions of price by nation and month."""

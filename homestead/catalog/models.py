@@ -112,11 +112,6 @@ def cv_best_k(t: Tables):
     return validation.best(losses, "k", "loss").withColumn("mean_loss", F.round("mean_loss", 5))
 
 
-@query("SELECT k, width, metres FROM (VALUES (3::BIGINT), (10), (30)) a(k), (VALUES (0.5::DOUBLE), (2.0)) b(width), (VALUES (1000::BIGINT), (10000)) c(metres)")
-def hp_grid(t: Tables):
-    return validation.grid(t.spark, k=[3, 10, 30], width=[0.5, 2.0], metres=[1000, 10000])
-
-
 @query("""WITH f AS (SELECT o_orderkey, o_totalprice AS actual, CAST(o_orderkey % 4 AS INTEGER) AS fold, o_orderpriority AS p FROM orders),
 m AS (SELECT a.fold AS fold, b.p AS p, avg(b.actual) AS by_priority FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY 1, 2),
 g AS (SELECT a.fold AS fold, avg(b.actual) AS overall FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY 1),

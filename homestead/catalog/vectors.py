@@ -107,11 +107,5 @@ def space_time_two_stage(t: Tables):
 
 @query(f"""WITH {BOTH} SELECT query, id, round(sqrt(space2 + time2 * 1e6), 2) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sqrt(space2 + time2 * 1e6), id) AS r FROM d) WHERE r <= 10""")
 def surface_distance_topk(t: Tables):
-    from pyspark.sql import Window
-
     rows = places(t)
-    q = rows.where("id % 100 = 0").select(F.col("id").alias("query"), *(F.col(c).alias(f"q_{c}") for c in ("lat", "lon", "year")))
-    d = numbers.surface_distance(F.col("lat"), F.col("lon"), F.col("year"), F.col("q_lat"), F.col("q_lon"), F.col("q_year"), 1000.0)
-    both = neighbors.with_queries(rows, q).withColumn("distance", d)
-    ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")))
-    return ranked.where("r <= 10").select("query", "id", F.round("distance", 2).alias("distance"))
+    return neighbors.surface_nearest(rows.where("id % 100 = 0"), rows, 10, 1000.0).select("query", F.col("neighbour").alias("id"), F.round("distance", 2).alias("distance"))

@@ -42,9 +42,10 @@ def sigmoid(z: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    """Of an array; shifted by its maximum, so that nothing overflows."""
-    powers = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+    """Of an array; shifted by its maximum, so that nothing overflows. The maximum and the sum are taken once for an array."""
+    shifted = F.transform(F.array(F.struct(a.alias("a"), F.array_max(a).alias("m"))), lambda s: F.transform(s["a"], lambda x: F.exp(x - s["m"])))[0]
+    summed = F.transform(F.array(shifted), lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda s, y: s + y).alias("s")))
+    return F.transform(summed, lambda t: F.transform(t["p"], lambda x: x / t["s"]))[0]
 
 
 def fraction_of(part: Column, rest: Column) -> Column:

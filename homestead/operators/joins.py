@@ -74,3 +74,39 @@ def children(parents: DataFrame, parts: dict[str, DataFrame], key: str) -> DataF
         parents = parents.join(grouped, key, "left")
         parents = parents.withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
     return parents
+
+
+def as_of(df: DataFrame, earlier: DataFrame, key: str, at: str, fields: list[str], order: list[str] = [], tolerance: Column | None = None, strict: bool = True, prefix: str = "prior_", slices: int = 128) -> DataFrame:  # noqa: B006
+    """df with the fields of the latest row of `earlier` of its key before its time `at` (at or before it, if not strict), and that row's time.
+
+    Of rows of one key and time the first in `order` counts. tolerance: an interval; older rows are as none. Null keys and times match nothing; every
+    row of df stays, once. The times of a key are cut into slices that hold about the same number of rows of `earlier` each, and the last row of a
+    slice is carried into the later ones, so that a key with very many rows is dealt over many tasks. Only distinct times of a
+    key are put in order; rows of df get theirs by a join.
+    """
+    named = [F.col(f).alias(prefix + f) for f in fields]
+    given = earlier.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(at).alias("__t"))
+    given = given.agg(F.min_by(F.struct(*named, F.col(at).alias(prefix + at)), F.struct(*(order or fields))).alias("__v"))
+    asked = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("__k"), F.col(at).alias("__t")).distinct()
+    cuts = given.agg(F.percentile_approx("__t", [i / slices for i in range(1, slices)], 10_000).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+
+    def slice_of(low: int, high: int) -> Column:
+        """The number of cuts up to a time, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("__t") < F.lit(cuts[mid]), slice_of(low, mid)).otherwise(slice_of(mid + 1, high))
+
+    place = slice_of(0, len(cuts)).alias("__s")
+    nothing = F.lit(None).cast(given.schema["__v"].dataType).alias("__v")
+    given, asked = given.select("__k", place, "__t", "__v"), asked.select("__k", place, "__t", nothing)
+    ends = given.groupBy("__k", "__s").agg(F.max_by("__v", "__t").alias("__v")).unionByName(asked.select("__k", "__s", nothing)).groupBy("__k", "__s").agg(F.max("__v").alias("__v"))
+    carried = ends.select("__k", "__s", F.last("__v", ignorenulls=True).over(Window.partitionBy("__k").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)).alias("__v"))
+    side = lambda rows, n: rows.withColumn("__side", F.lit(n))
+    rows = side(carried.where("__v IS NOT NULL").select("__k", "__s", F.lit(None).cast(given.schema["__t"].dataType).alias("__t"), "__v"), 0).unionByName(side(given, 2)).unionByName(side(asked, 1 if strict else 3))
+    so_far = Window.partitionBy("__k", "__s").orderBy(F.col("__t").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("__v", F.last("__v", ignorenulls=True).over(so_far)).where(F.col("__side") == (1 if strict else 3)).select("__k", "__t", "__v")
+    out = df.join(found, (df[key] == found["__k"]) & (df[at] == found["__t"]), "left")
+    near = F.lit(True) if tolerance is None else F.col(f"__v.{prefix}{at}") >= F.col(at) - tolerance
+    return out.select(*(df[c] for c in df.columns), *(F.when(near, F.col(f"__v.{prefix}{f}")).alias(prefix + f) for f in (*fields, at)))

@@ -2,12 +2,12 @@
 
 Queries are a stated, bounded set: they are counted, and sent to where the rows are if there are at most MAX_QUERIES; more
 are taken in blocks, each of which reads the rows once. Each task keeps the k nearest of its rows for every query before anything is
-shuffled: by arrays where vectors are compared, by Spark's limit of ranked windows (which sorts and cuts in each task first) where columns are.
+shuffled. The neighbours of all rows among each other are in neighbor_join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,14 +20,19 @@ from homestead.functions import kernels, numbers
 MAX_QUERIES, AT_ONCE = 10_000, 64
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str, keep: list[str] = [], leave_self_out: bool = True) -> DataFrame:  # noqa: B006
+def euclidean(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.sqrt(((rows - one) ** 2).sum(1))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str, keep: list[str] = [], leave_self_out: bool = True, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = euclidean, carry: bool = False) -> DataFrame:  # noqa: B006
     """query, neighbour, distance, rank (from 1) and the columns to keep of the k nearest rows of each query.
 
-    Euclidean distance in double; ties go to the smaller id. Null vectors are left out.
+    metric: distances of some rows' vectors to one query's, in double; ties go to the smaller id. Null vectors are left out. carry: with the
+    neighbour's vector as `at`, which spares a join with all rows.
     """
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("q"))
     blocks = max(1, -(-asked.count() // MAX_QUERIES))
-    parts = [_block(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else asked, rows, k, row_id, vector, leave_self_out) for b in range(blocks)]
+    parts = [_block(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else asked, rows, k, row_id, vector, leave_self_out, metric, carry) for b in range(blocks)]
     best = parts[0]
     for p in parts[1:]:
         best = best.unionByName(p)
@@ -36,7 +41,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id:
     return best.join(rows.select(F.col(row_id).alias("neighbour"), *keep), "neighbour") if keep else best
 
 
-def _block(asked: DataFrame, rows: DataFrame, k: int, row_id: str, vector: str, leave_self_out: bool) -> DataFrame:
+def _block(asked: DataFrame, rows: DataFrame, k: int, row_id: str, vector: str, leave_self_out: bool, metric: Callable, carry: bool) -> DataFrame:
     found = asked.toPandas()  # at most about MAX_QUERIES vectors
     held = asked.sparkSession.sparkContext.broadcast((found["query"].to_numpy(), np.array(found["q"].tolist(), float).reshape(len(found), -1)))
 
@@ -44,30 +49,33 @@ def _block(asked: DataFrame, rows: DataFrame, k: int, row_id: str, vector: str,
         names, q = held.value
         parts = [slice(at, at + AT_ONCE) for at in range(0, len(names), AT_ONCE)]
         best = [(np.empty((len(names[p]), 0), np.int64), np.empty((len(names[p]), 0))) for p in parts]
+        carried = [np.empty((len(names[p]), 0, q.shape[1])) for p in parts]
         for batch in batches:
             batch = batch[batch["v"].notna()]
             if not len(batch):
                 continue
             own, v = batch["id"].to_numpy(), np.array(batch["v"].tolist(), float)
             for i, p in enumerate(parts):
-                d = np.stack([np.sqrt(((v - one) ** 2).sum(1)) for one in q[p]])
+                d = np.stack([metric(v, one) for one in q[p]])
                 if leave_self_out:
                     d[names[p][:, None] == own[None]] = np.inf
-                near = np.broadcast_to(own, d.shape)
+                near, at = np.broadcast_to(own, d.shape), np.broadcast_to(np.arange(len(own)), d.shape)
                 if d.shape[1] > 4 * k:  # all that are as near as the k-th, and few others
                     edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
                     most = int((d <= edge).sum(1).max())
                     some = np.argpartition(d, min(most, d.shape[1]) - 1, axis=1)[:, :most]
-                    d, near = np.take_along_axis(d, some, 1), np.take_along_axis(near, some, 1)
+                    d, near, at = (np.take_along_axis(x, some, 1) for x in (d, near, at))
                 ids, far = np.concatenate([best[i][0], near], 1), np.concatenate([best[i][1], d], 1)
                 order = np.lexsort((ids, far), axis=1)[:, :k]
                 best[i] = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
-        for p, (ids, far) in zip(parts, best, strict=True):
+                if carry:
+                    carried[i] = np.take_along_axis(np.concatenate([carried[i], v[at]], 1), order[:, :, None], 1)
+        for i, (p, (ids, far)) in enumerate(zip(parts, best, strict=True)):
             where = np.isfinite(far)
             which, _ = np.nonzero(where)
-            yield pd.DataFrame({"query": names[p][which], "neighbour": ids[where], "distance": far[where]})
+            yield pd.DataFrame({"query": names[p][which], "neighbour": ids[where], "distance": far[where]} | ({"at": list(carried[i][where])} if carry else {}))
 
-    return rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).mapInPandas(top, "query bigint, neighbour bigint, distance double")
+    return rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).mapInPandas(top, "query bigint, neighbour bigint, distance double" + (", at array<double>" if carry else ""))
 
 
 def knn_average(neighbours: DataFrame, y: str, k: int) -> DataFrame:
@@ -106,22 +114,48 @@ def smooth(neighbours: DataFrame, own: DataFrame, y: str, k: int) -> DataFrame:
     return own.join(near, "query").where(F.col("__n") == k - 1).select("query", ((F.col(y) + F.col("__s")) / k).alias("estimate"))
 
 
-def with_queries(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Each of the rows with each query (column query): the queries are counted, and sent to the rows in blocks of about MAX_QUERIES."""
-    blocks = max(1, -(-asked.count() // MAX_QUERIES))
-    parts = [rows.crossJoin(F.broadcast(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b) if blocks > 1 else asked)) for b in range(blocks)]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both
+def space2(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Squared metres between (latitude, longitude, ...) rows and one; as numbers.space_distance2."""
+    mean = np.radians((rows[:, 0] + one[0]) / 2)
+    bend = 1 - numbers.ECC2 * np.sin(mean) ** 2
+    north = np.pi * numbers.AXIS * (1 - numbers.ECC2) / 180 / bend**1.5
+    east = np.pi * numbers.AXIS / 180 * np.cos(mean) / np.sqrt(bend)
+    return ((rows[:, 0] - one[0]) * north) ** 2 + ((rows[:, 1] - one[1]) * east) ** 2
+
+
+def time2(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Squared years between (latitude, longitude, year, ...) rows and one."""
+    return (rows[:, 2] - one[2]) ** 2
+
+
+def surface(metres_per_year: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Distance in space and time, a year being so many metres."""
+    return lambda rows, one: np.sqrt(space2(rows, one) + time2(rows, one) * metres_per_year**2)
+
+
+def places(df: DataFrame) -> DataFrame:
+    """id and place: latitude, longitude, year and y (NaN if it is null or missing) of rows with a known place and year."""
+    y = F.coalesce(F.col("y").cast("double"), F.lit(float("nan"))) if "y" in df.columns else F.lit(float("nan"))
+    known = df.where("lat IS NOT NULL AND lon IS NOT NULL AND year IS NOT NULL")
+    return known.select("id", F.array(F.col("lat").cast("double"), F.col("lon").cast("double"), F.col("year").cast("double"), y).alias("place"))
+
+
+def surface_nearest(queries: DataFrame, rows: DataFrame, k: int, metres_per_year: float) -> DataFrame:
+    """query, neighbour, distance, rank of the k nearest rows in space and time; lat, lon, year in both."""
+    return nearest(places(queries), places(rows), k, "id", "id", "place", leave_self_out=False, metric=surface(metres_per_year))
 
 
 def space_time_candidates(queries: DataFrame, rows: DataFrame, max_k: int) -> DataFrame:
-    """query, id, space2, time2, y of the max_k nearest rows in space and in time (the union). lat, lon, year, y in both."""
-    q = queries.select(F.col("id").alias("query"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.col("year").alias("q_year"))
-    both = with_queries(rows, q).select("query", "id", "y", numbers.space_distance2(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon")).alias("space2"), numbers.time_distance2(F.col("year"), F.col("q_year"), 1.0).alias("time2"))
-    top = lambda by: both.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy(by, "id"))).where(F.col("__r") <= max_k).drop("__r")
-    return top("space2").union(top("time2")).distinct()
+    """query, id, space2, time2, y of the max_k nearest rows in space and in time (the union). lat, lon, year, y in both.
+
+    Each task keeps its nearest rows, with their places, for each query.
+    """
+    asked, given = places(queries), places(rows)
+    near = [nearest(asked, given, max_k, "id", "id", "place", leave_self_out=False, metric=m, carry=True).select("query", "neighbour", "at") for m in (space2, time2)]
+    both = near[0].unionByName(near[1]).groupBy("query", "neighbour").agg(F.first("at").alias("at"))
+    own = asked.select(F.col("id").alias("query"), F.col("place").alias("q"))
+    at, q = F.col("at"), F.col("q")
+    return both.join(own, "query").select("query", F.col("neighbour").alias("id"), numbers.space_distance2(at[0], at[1], q[0], q[1]).alias("space2"), numbers.time_distance2(at[2], q[2], 1.0).alias("time2"), F.nanvl(at[3], F.lit(None)).alias("y"))
 
 
 def space_time_nearest(candidates: DataFrame, k: int, metres_per_year: float) -> DataFrame:

@@ -20,15 +20,19 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
     return spark.createDataFrame(list(product(*values.values())), list(values))
 
 
-def random_grid(spark: SparkSession, n: int, ranges: dict[str, tuple[str, float, float]], seed: int = 1) -> DataFrame:
-    """n random settings, numbered in `set` from 1: each name uniform between its bounds, or geometric, that is uniform in its logarithm."""
-    rows = spark.range(1, n + 1).select(F.col("id").alias("set"))
+def random_settings(df: DataFrame, key: str, ranges: dict[str, tuple[str, float, float]], seed: int = 1) -> DataFrame:
+    """Random settings for each key: each name uniform between its bounds, or geometric, that is uniform in its logarithm."""
 
     def drawn(name: str, kind: str, low: float, high: float):
-        u = sampling.uniform(F.concat_ws(":", "set", F.lit(name)), seed)
+        u = sampling.uniform(F.concat_ws(":", F.col(key), F.lit(name)), seed)
         return (low + u * (high - low) if kind == "uniform" else F.exp(math.log(low) + u * (math.log(high) - math.log(low)))).alias(name)
 
-    return rows.select("set", *(drawn(name, *how) for name, how in ranges.items()))
+    return df.select(key, *(drawn(name, *how) for name, how in ranges.items()))
+
+
+def random_grid(spark: SparkSession, n: int, ranges: dict[str, tuple[str, float, float]], seed: int = 1) -> DataFrame:
+    """n random settings, numbered in `set` from 1."""
+    return random_settings(spark.range(1, n + 1).select(F.col("id").alias("set")), "set", ranges, seed)
 
 
 def is_best(df: DataFrame, model: str, loss: str, expected) -> DataFrame:
