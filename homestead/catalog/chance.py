@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import near
 from homestead.functions import codes, dates, vectors
-from homestead.operators import aggregates, frame, imputation, models, resampling, sampling, validation, validity
+from homestead.operators import aggregates, completion, frame, imputation, models, resampling, sampling, validation, validity
 from homestead.shared import shared_dir
-from homestead.sources import delimited
+from homestead.sources import delimited, observed
 
 
 def lot(key: str, seed: int) -> str:
@@ -215,4 +215,33 @@ def has_indicators(t: Tables):
 def completion_ranks(t: Tables):
     """Held-out errors of low-rank completions of price by nation and month."""
     cells = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("row"), F.month("o_orderdate").alias("column")).agg((F.avg("o_totalprice") / 1e5).alias("value"))
-    return models.completion_search(cells, "row", "column", "value", [1, 3], [0.1])
+    return completion.completion_search(cells, "row", "column", "value", [1, 3], [0.1])
+
+
+@query("""WITH r AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'fields' WHEN o_orderkey % 13 = 0 THEN 'price' WHEN o_totalprice > 400000 THEN 'not huge' WHEN o_orderpriority = '5-LOW' THEN 'urgent' END AS reason FROM orders),
+m AS (SELECT 0 AS place, 'lines' AS metric, count(*) AS value FROM r UNION ALL SELECT 1, 'kept', count(*) FILTER (reason IS NULL) FROM r UNION ALL SELECT 2, 'rejected', count(*) FILTER (reason IS NOT NULL) FROM r
+UNION ALL SELECT 3 + i, 'rejected by ' || n, (SELECT count(*) FROM r WHERE reason = n) FROM (VALUES (0, 'fields'), (1, 'key'), (2, 'price'), (3, 'priority'), (4, 'not huge'), (5, 'urgent')) v(i, n)
+UNION ALL SELECT 9, 'kept rows', count(*) FILTER (reason IS NULL) FROM r UNION ALL SELECT 10, 'reject rows', count(*) FILTER (reason IS NOT NULL) FROM r)
+SELECT 'orders' AS section, CAST(place AS INTEGER) AS place, metric, value FROM m""")
+def scan_report(t: Tables):
+    """What a scan of order lines kept and rejected, counted while it ran, and the rows of both tables that it wrote."""
+    path = shared_dir(t.spark, "lines")
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    k = F.col("o_orderkey")
+    t.orders.select(F.when(k % 11 == 0, F.concat_ws("\t", key, price)).otherwise(F.concat_ws("\t", key, F.when(k % 13 == 0, "?").otherwise(price), "o_orderpriority")).alias("value")).write.text(path)
+    rules = {"not huge": F.col("price") <= 400000, "urgent": F.col("priority") != "5-LOW"}
+    good, bad, counts = observed.checked_scan(t.spark, path, "key long, price double, priority string", rules)
+    return observed.report(t.spark, {"orders": counts | {"kept rows": good.count(), "reject rows": bad.count()}})
+
+
+@query("""SELECT c_custkey, c_name, c_acctbal, coalesce(n, 0) AS n_orders, round(coalesce(total, 0), 2) AS total, first_order, coalesce(s, 0) AS n_suppliers FROM customer
+LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total, min(o_orderkey) AS first_order FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = c_custkey""")
+def record_types_round_trip(t: Tables):
+    """Customers with their orders and the suppliers of the nation of that number, written as files of three kinds of records and read again."""
+    path = shared_dir(t.spark, "groups")
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    near = t.supplier.select(F.col("s_nationkey").cast("long").alias("c_custkey"), "s_suppkey")
+    observed.write_groups(t.customer.select("c_custkey", "c_name", "c_acctbal"), {"B": orders, "C": near}, "c_custkey", path)
+    rows = observed.read_groups(t.spark, path, "c_custkey long, c_name string, c_acctbal double", {"B": "o_orderkey long, o_totalprice double", "C": "s_suppkey long"})
+    total = F.aggregate("B", F.lit(0.0), lambda s, x: s + x["o_totalprice"])
+    return rows.select("c_custkey", "c_name", "c_acctbal", F.size("B").cast("long").alias("n_orders"), F.round(total, 2).alias("total"), F.get("B", F.lit(0))["o_orderkey"].alias("first_order"), F.size("C").cast("long").alias("n_suppliers"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import NEAR, near
-from homestead.operators import frame, models, neighbors, validation
+from homestead.operators import completion, dictionary, frame, models, neighbors, validation
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_returnflag")
@@ -66,8 +66,37 @@ def multinomial_logit(t: Tables):
 def als_complete(t: Tables):
     """Price by nation and month, completed at low rank: residuals of the known cells."""
     cells = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("row"), F.month("o_orderdate").alias("column")).agg((F.avg("o_totalprice") / 1e5).alias("value"))
-    fitted = models.complete_matrix(cells, "row", "column", "value", rank=3, ridge=0.05)
-    return fitted.transform(cells.withColumn("column", F.col("column").cast("int"))).select("row", "column", F.round("value", 4).alias("value"), F.round("prediction", 4).alias("prediction"))
+    fitted = completion.complete_matrix(cells, "row", "column", "value", rank=3, ridge=0.05)
+    return fitted.transform(cells).select("row", "column", F.round("value", 4).alias("value"), F.round("prediction", 4).alias("prediction"))
+
+
+def low_rank(t: Tables):
+    """A matrix of rank 2 over parcels (numbers of ten digits) and months, of which a part of the cells is known."""
+    k, m = F.col("c_custkey"), F.col("m")
+    value = (1 + k % 7) * (10 + m) + (k % 5) * (m % 4)
+    cells = t.customer.select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
+    return cells.select((7_000_000_000 + k).alias("parcel"), m.alias("month"), value.cast("double").alias("price"), ((k * 31 + m * 17) % 10 < 7).alias("known"))
+
+
+@query("SELECT 7000000000 + c_custkey AS parcel, CAST(m AS INTEGER) AS month, true AS close FROM customer, range(1, 13) r(m)")
+def completed_errors(t: Tables):
+    """Errors of a constant estimate, known for seven cells in ten, completed at rank 3: every corrected estimate is close to the price."""
+    rows = low_rank(t)
+    estimates = rows.select("parcel", "month", F.lit(40.0).alias("estimate"))
+    cells = completion.errors(rows.where("known"), estimates, "parcel", "month")
+    fitted = completion.complete_matrix(cells, "parcel", "month", "error", rank=3, ridge=1e-4, iterations=20)
+    out = completion.corrected(estimates, fitted).join(rows, ["parcel", "month"])
+    return out.select("parcel", "month", (F.abs(F.col("corrected") - F.col("price")) < 2).alias("close"))
+
+
+@query("""WITH d AS (SELECT 'b' AS c, p_brand AS v, row_number() OVER (ORDER BY p_brand) AS code FROM (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 50 <> 0)
+UNION ALL SELECT 't', p_type, row_number() OVER (ORDER BY p_type) FROM (SELECT DISTINCT p_type FROM part WHERE p_partkey % 50 <> 0) UNION ALL SELECT 'n', p_name, row_number() OVER (ORDER BY p_name) FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 50 <> 0))
+SELECT p_partkey, coalesce(b.code, 0) AS brand_code, coalesce(t.code, 0) AS type_code, coalesce(n.code, 0) AS name_code FROM part LEFT JOIN d b ON b.c = 'b' AND b.v = p_brand LEFT JOIN d t ON t.c = 't' AND t.v = p_type LEFT JOIN d n ON n.c = 'n' AND n.v = p_name""")
+def coded_columns(t: Tables):
+    """Three text columns coded by a dictionary learned from a part of the rows; values it hasn't are 0."""
+    rows = t.part.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
+    known = dictionary.dictionary(rows.where("p_partkey % 50 <> 0"), ["brand", "type", "name"])
+    return dictionary.coded(rows, known, ["brand", "type", "name"], "zero").select("p_partkey", "brand_code", "type_code", "name_code")
 
 
 @query()

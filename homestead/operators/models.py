@@ -1,8 +1,8 @@
-"""Regression, classification, completion and resampling."""
+"""Regression, classification and resampling."""
 
 from __future__ import annotations
 
-from pyspark.ml import classification, evaluation, feature, recommendation, regression
+from pyspark.ml import classification, evaluation, feature, regression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,25 +78,6 @@ def naive_bayes_predict(df: DataFrame, params: DataFrame, key: str, label: str,
     return df.crossJoin(F.broadcast(classes)).select(key, F.array_min(F.transform("__classes", loss))["l"].alias("predicted"))
 
 
-def complete_matrix(cells: DataFrame, row: str, column: str, value: str, rank: int = 5, ridge: float = 0.1, iterations: int = 10, seed: int = 1, order: str | None = None):
-    """Low-rank completion of (row, column, value) cells; of several values of a cell the first in `order`, or the smallest, counts."""
-    of = F.col(value).cast("float")
-    first = cells.groupBy(F.col(row).cast("int").alias("row"), F.col(column).cast("int").alias("column")).agg((F.min_by(of, order) if order else F.min(of)).alias("value"))
-    return recommendation.ALS(rank=rank, maxIter=iterations, regParam=ridge, userCol="row", itemCol="column", ratingCol="value", seed=seed, nonnegative=False, coldStartStrategy="drop").fit(first)
-
-
-def completion_search(cells: DataFrame, row: str, column: str, value: str, ranks: list[int], ridges: list[float], held: float = 0.2, seed: int = 1) -> DataFrame:
-    """rank, ridge and rmse over held-out cells, drawn by a hash of row and column, of a completion for each setting; unknown rows and columns are left out."""
-    lot = sampling.uniform(F.concat_ws(":", F.col(row), F.col(column)), seed)
-    known = cells.where(F.col(value).isNotNull())
-    train, test = known.where(lot >= held), known.where(lot < held).select(F.col(row).cast("int").alias("row"), F.col(column).cast("int").alias("column"), F.col(value).alias("actual"))
-    parts = [complete_matrix(train, row, column, value, rank, ridge, seed=seed).transform(test).agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("prediction"), 2))).alias("rmse")).select(F.lit(rank).alias("rank"), F.lit(ridge).alias("ridge"), "rmse") for rank in ranks for ridge in ridges]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def model_rmse(model, df: DataFrame, y: str) -> float:
     return evaluation.RegressionEvaluator(labelCol=y, metricName="rmse").evaluate(model.transform(df))
 
