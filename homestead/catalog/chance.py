@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from homestead.catalog.registry import Tables, query
@@ -131,16 +133,63 @@ def distribution_fits(t: Tables):
     return fits.select("distribution", F.round("first", 6).alias("first"), digits.alias("second"))
 
 
-@query()
+LOT = "(('0x' || left(md5('1:' || k || ':' || r), 13))::BIGINT / 4503599627370496::DOUBLE)"
+_CUTS = [sum(0.36787944117144233 / math.factorial(j) for j in range(i + 1)) for i in range(8)]
+WEIGHT = "(" + " + ".join(f"(u >= {c!r})::INT" for c in _CUTS) + ")"
+TWO = "(SELECT c_custkey AS k, c_mktsegment = 'BUILDING' AS a, c_acctbal AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))"
+
+
+@query(f"""WITH rows AS {TWO}, w AS (SELECT r, a, v, u, {WEIGHT} AS w FROM (SELECT r, a, v, {LOT} AS u FROM rows, range(1, 201) s(r))),
+d AS (SELECT r, sum(v * w) FILTER (a) / sum(w) FILTER (a) - sum(v * w) FILTER (NOT a) / sum(w) FILTER (NOT a) AS d FROM w GROUP BY r)
+SELECT round(avg(d), 4) AS difference, round(quantile_cont(d, 0.025), 4) AS low, round(quantile_cont(d, 0.975), 4) AS high FROM d""")
+def bootstrap_ci(t: Tables):
+    """Difference of mean balances between two segments, with its interval."""
+    out = resampling.bootstrap_difference(t.customer, "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", 200, key="c_custkey")
+    return out.select(*(F.round(c, 4).alias(c) for c in out.columns))
+
+
+@query(f"""WITH rows AS {TWO}, o AS (SELECT avg(v) FILTER (a) - avg(v) FILTER (NOT a) AS observed, avg(a::INT) AS share FROM rows),
+d AS (SELECT r, observed, avg(v) FILTER (u < share) - avg(v) FILTER (u >= share) AS d FROM (SELECT r, v, {LOT} AS u FROM rows, range(1, 201) s(r)), o GROUP BY r, observed)
+SELECT round(observed, 4) AS observed, round(avg((CASE WHEN observed < 0 THEN d <= observed ELSE d >= observed END)::INT), 6) AS probability FROM d GROUP BY observed""")
 def mean_difference_significance(t: Tables):
     """How often rows dealt anew to two segments differ as much in mean balance."""
-    return resampling.difference_significance(t.customer, "c_custkey", "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", 200)
+    out = resampling.difference_significance(t.customer, "c_custkey", "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", 200)
+    return out.select(F.round("observed", 4).alias("observed"), F.round("probability", 6).alias("probability"))
 
 
-@query()
+def normal(z: str) -> str:
+    """The SQL of resampling.normal_cdf."""
+    return f"(CASE WHEN {z} > 8 THEN 1.0 WHEN {z} < -8 THEN 0.0 ELSE 0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_reduce([{{'n': 0, 't': CAST({z} AS DOUBLE), 's': CAST({z} AS DOUBLE)}}] || list_transform(range(1, 201), lambda n: {{'n': n, 't': 0.0::DOUBLE, 's': 0.0::DOUBLE}}), lambda s, n: {{'n': n.n, 't': s.t * {z} * {z} / (2 * n.n + 1), 's': s.s + s.t * {z} * {z} / (2 * n.n + 1)}}).s END)"
+
+
+def quantile(p: str) -> str:
+    """The SQL of resampling.normal_quantile."""
+    e = lambda c: f"list_transform([{c}], lambda m: {normal('m')})[1]"
+    return f"list_transform([list_reduce([{{'a': -8.0::DOUBLE, 'b': 8.0::DOUBLE}}] || list_transform(range(60), lambda n: {{'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE}}), lambda q, n: CASE WHEN {e('(q.a + q.b) / 2')} < {p} THEN {{'a': (q.a + q.b) / 2, 'b': q.b}} ELSE {{'a': q.a, 'b': (q.a + q.b) / 2}} END)], lambda q: (q.a + q.b) / 2)[1]"
+
+
+@query(f"""WITH w AS (SELECT r, v, {WEIGHT} AS w FROM (SELECT r, v, {LOT} AS u FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal IS NOT NULL), range(1, 201) s(r))),
+m AS (SELECT r, sum(v * w) / sum(w) AS m FROM w GROUP BY r), o AS (SELECT avg(c_acctbal) AS mean FROM customer),
+k AS (SELECT mean, avg((m < mean)::INT) AS below, list_sort(list(m)) AS ms FROM m, o GROUP BY mean), q AS (SELECT *, {quantile('below')} AS z0, {quantile('0.95')} AS z FROM k),
+e AS (SELECT *, 2 * z0 - z AS zl, 2 * z0 + z AS zh FROM q), c AS (SELECT *, {normal('zl')} AS sl, {normal('zh')} AS sh FROM e)
+SELECT round(mean, 4) AS mean, round(ms[1 + least(len(ms) - 1, floor(sl * len(ms)))::BIGINT], 4) AS low, round(ms[1 + least(len(ms) - 1, floor(sh * len(ms)))::BIGINT], 4) AS high FROM c""")
 def mean_bias_corrected(t: Tables):
     """The mean balance and its bias-corrected interval."""
-    return resampling.mean_interval(t.customer, "c_custkey", "c_acctbal", 200)
+    out = resampling.mean_interval(t.customer, "c_custkey", "c_acctbal", 200)
+    return out.select(*(F.round(c, 4).alias(c) for c in out.columns))
+
+
+@query(f"""WITH v AS (SELECT o_totalprice AS x FROM orders WHERE o_totalprice > 0), s AS (SELECT avg(x) AS m, avg(ln(x)) AS ml, stddev_pop(ln(x)) AS sl FROM v), g AS (SELECT *, ln(m) - ml AS gap FROM s),
+k AS (SELECT *, (3 - gap + sqrt(pow(gap - 3, 2) + 24 * gap)) / (12 * gap) AS shape, 1.2825498301618641 / sl AS steep FROM g),
+c AS (SELECT x, count(*) AS n FROM v GROUP BY x), e AS (SELECT x, (sum(n) OVER (ORDER BY x) - n) / sum(n) OVER () AS below, sum(n) OVER (ORDER BY x) / sum(n) OVER () AS upto FROM c),
+p AS (SELECT e.*, (ln(x) - ml) / sl AS z, x * shape / m AS y, shape, 1 - exp(-pow(x / exp(ml + 0.5772156649015329 / steep), steep)) AS weibull FROM e, k),
+f AS (SELECT below, upto, weibull, {normal('z')} AS lognormal, CASE WHEN y > shape + 8 * sqrt(shape) + 40 THEN 1.0 ELSE exp(shape * ln(y) - y - lgamma(shape + 1)) *
+list_reduce([{{'n': 0, 't': 1.0::DOUBLE, 's': 1.0::DOUBLE}}] || list_transform(range(1, 201), lambda n: {{'n': n, 't': 0.0::DOUBLE, 's': 0.0::DOUBLE}}), lambda s, n: {{'n': n.n, 't': s.t * y / (shape + n.n), 's': s.s + s.t * y / (shape + n.n)}}).s END AS gamma FROM p)
+SELECT 'lognormal' AS distribution, round(max(greatest(abs(lognormal - below), abs(lognormal - upto))), 6) AS distance FROM f UNION ALL SELECT 'gamma', round(max(greatest(abs(gamma - below), abs(gamma - upto))), 6) FROM f
+UNION ALL SELECT 'weibull', round(max(greatest(abs(weibull - below), abs(weibull - upto))), 6) FROM f""")
+def fit_distance(t: Tables):
+    """How far each fitted distribution of prices is from the empirical one at most."""
+    return resampling.fit_distances(t.orders, "o_totalprice").withColumn("distance", F.round("distance", 6))
 
 
 def weighted_near(t: Tables):

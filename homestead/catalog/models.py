@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import NEAR, near
-from homestead.operators import completion, dictionary, frame, models, neighbors, validation
+from homestead.operators import aggregates, completion, dictionary, frame, models, neighbors, validation
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY l_returnflag")
@@ -24,7 +24,7 @@ def ols_through_origin(t: Tables):
 @query("""WITH m AS (SELECT year(o_orderdate) AS y, median(o_totalprice) AS i FROM orders GROUP BY 1)
 SELECT o_orderkey, round(lag(o_totalprice) OVER w * i / lag(i) OVER w, 2) AS estimate FROM orders JOIN m ON year(o_orderdate) = y WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def index_scaled_price(t: Tables):
-    index = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.median("o_totalprice").alias("i"))
+    index = aggregates.group_quantiles(t.orders.select(F.year("o_orderdate").alias("y"), "o_totalprice"), ["y"], "o_totalprice", {"i": 0.5}, at_most=t.orders.count())
     rows = t.orders.withColumn("y", F.year("o_orderdate")).join(index, "y")
     return models.index_scaled(rows, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", "i").select("o_orderkey", F.round("estimate", 2).alias("estimate"))
 
@@ -99,12 +99,6 @@ def coded_columns(t: Tables):
     return dictionary.coded(rows, known, ["brand", "type", "name"], "zero").select("p_partkey", "brand_code", "type_code", "name_code")
 
 
-@query()
-def bootstrap_ci(t: Tables):
-    """Difference of mean balances between two segments, with its interval."""
-    return models.bootstrap_difference(t.customer, "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", 200, key="c_custkey")
-
-
 @query("""WITH m AS (SELECT avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c, avg(l_extendedprice) AS y, covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_tax) AS ac,
 covar_pop(l_discount, l_discount) AS bb, covar_pop(l_discount, l_tax) AS bc, covar_pop(l_tax, l_tax) AS cc, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS by_, covar_pop(l_tax, l_extendedprice) AS cy FROM lineitem),
 d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),

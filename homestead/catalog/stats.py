@@ -22,7 +22,9 @@ def median_by_year_month(t: Tables):
 @query("SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, round(median(o_totalprice), 4) AS median_price, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def median_by_key_year(t: Tables):
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name", F.year("o_orderdate").alias("year")).agg(F.round(F.median("o_totalprice"), 4).alias("median_price"), F.count(F.lit(1)).alias("n"))
+    rows = rows.select("n_name", F.year("o_orderdate").alias("year"), "o_totalprice")
+    out = agg.with_quantiles(rows, ["n_name", "year"], "o_totalprice", {"median_price": 0.5}, F.count(F.lit(1)).alias("n"), at_most=t.orders.count())
+    return out.withColumn("median_price", F.round("median_price", 4))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -50,14 +52,19 @@ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def excess_stats_by_year(t: Tables):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("excess", excess())
     share = F.avg((F.abs(F.col("excess") / F.col("l_extendedprice")) <= 0.1).cast("int"))
-    return rows.groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("excess"), 3).alias("mean"), F.round(F.stddev_samp("excess"), 3).alias("sd"), F.round(F.median("excess"), 3).alias("median"), F.round(share, 6).alias("within"))
+    rows = rows.select(F.year("l_shipdate").alias("year"), "excess", "l_extendedprice")
+    others = [F.count(F.lit(1)).alias("n"), F.round(F.avg("excess"), 3).alias("mean"), F.round(F.stddev_samp("excess"), 3).alias("sd"), F.round(share, 6).alias("within")]
+    out = agg.with_quantiles(rows, ["year"], "excess", {"median": 0.5}, *others, at_most=t.lineitem.count())
+    return out.select("year", "n", "mean", "sd", F.round("median", 3).alias("median"), "within")
 
 
 @query("""SELECT c_nationkey, round(median((o_totalprice - c_acctbal) / c_acctbal), 5) AS median_relative, CAST(len(list_distinct(list(c_mktsegment))) AS INTEGER) AS n_segments
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1""")
 def relative_excess_by_place(t: Tables):
     rows = t.orders.join(t.customer.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy("c_nationkey").agg(F.round(F.median((F.col("o_totalprice") - F.col("c_acctbal")) / F.col("c_acctbal")), 5).alias("median_relative"), F.size(F.collect_set("c_mktsegment")).alias("n_segments"))
+    rows = rows.select("c_nationkey", ((F.col("o_totalprice") - F.col("c_acctbal")) / F.col("c_acctbal")).alias("relative"), "c_mktsegment")
+    out = agg.with_quantiles(rows, ["c_nationkey"], "relative", {"median_relative": 0.5}, F.count_distinct("c_mktsegment").cast("int").alias("n_segments"), at_most=t.orders.count())
+    return out.withColumn("median_relative", F.round("median_relative", 5))
 
 
 @query("""SELECT x AS "limit", round(avg((abs((l_extendedprice - l_quantity * p_retailprice) / l_extendedprice) <= x)::INT), 6) AS fraction
@@ -122,24 +129,30 @@ def argmin_key(t: Tables):
     return t.part.groupBy("p_brand").agg(F.min_by("p_partkey", by).alias("cheapest"), F.max_by("p_partkey", by).alias("dearest"))
 
 
+def monthly(t: Tables):
+    """Median prices by month."""
+    rows = t.orders.select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
+    return agg.group_quantiles(rows, ["year", "month"], "o_totalprice", {"price": 0.5}, at_most=t.orders.count())
+
+
 @query("""WITH m AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, median(o_totalprice) AS price FROM orders GROUP BY 1, 2)
 SELECT year, month, round(price, 3) AS price, round(price / lag(price) OVER (ORDER BY year, month), 6) AS ratio FROM m""")
 def lag_ratio(t: Tables):
-    months = t.orders.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.median("o_totalprice").alias("price"))
+    months = monthly(t)
     return agg.declines(months, ["year", "month"], "price").select("year", "month", F.round("price", 3).alias("price"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("""WITH m AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, median(o_totalprice) AS price FROM orders GROUP BY 1, 2),
 r AS (SELECT price / lag(price) OVER (ORDER BY y, m) AS ratio FROM m) SELECT count(*) AS n, count(*) FILTER (ratio < 1) AS declines FROM r""")
 def decline_count(t: Tables):
-    months = t.orders.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.median("o_totalprice").alias("price"))
+    months = monthly(t)
     return agg.declines(months, ["year", "month"], "price").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ratio") < 1).alias("declines"))
 
 
 @query("""WITH m AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, median(o_totalprice) AS price FROM orders GROUP BY 1)
 SELECT year, round(price / (SELECT price FROM m WHERE year = 1995), 6) AS "index" FROM m""")
 def index_to_base_year(t: Tables):
-    years = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.median("o_totalprice").alias("price"))
+    years = agg.group_quantiles(t.orders.select(F.year("o_orderdate").alias("year"), "o_totalprice"), ["year"], "o_totalprice", {"price": 0.5}, at_most=t.orders.count())
     return agg.index_to_base(years, "price", F.col("year") == 1995).select("year", F.round("index", 6).alias("index"))
 
 

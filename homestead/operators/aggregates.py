@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homestead.operators.frame import running_total
+from homestead.shared import written
 
 
 def rmse(actual: Column, estimate: Column) -> Column:
@@ -82,16 +83,17 @@ GATHERED = 2_000_000
 def group_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float], gathered: int = GATHERED, at_most: int | None = None) -> DataFrame:
     """keys and the exact, interpolated quantiles of a column under their names, for each group; groups without values have nulls.
 
-    Groups are counted, unless at_most, a bound of all rows, shows that none is large. Where the largest is small Spark's own percentile gathers each in a task; else values are counted, ranked by
-    running counts over range partitions of (keys, value) and picked out, so that no group, however large, meets in one task. Both give the same.
+    at_most: a bound of all rows that is known beforehand. Where it shows that no group is large, Spark's own percentile gathers each in a task. Else values are counted by group, once, into
+    a table. If no group has many different values, percentiles come from its counts; else they are ranked by running counts over range partitions of
+    (keys, value) and picked out, so that no group, however large, meets in one task. All give the same.
     """
     named = df.select(*keys, F.col(column).cast("double").alias("__v"))
-    most = at_most
-    if most is None or most > gathered:
-        most = named.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if most <= gathered:
+    if at_most is not None and at_most <= gathered:
         return named.groupBy(*keys).agg(*(F.percentile("__v", q).alias(name) for name, q in shares.items()))
-    counts = named.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")).where("__v IS NOT NULL")
+    counted = written(named.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    if (counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= gathered:
+        return counted.groupBy(*keys).agg(*(F.percentile("__v", q, F.col("__n")).alias(name) for name, q in shares.items()))
+    counts = counted.where("__v IS NOT NULL")
     upto = running_total(counts, [*keys, "__v"], "__n", "__upto")
     bounds = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__n")).alias("__base"), F.max("__upto").alias("__top"))
     right = bounds.select(*(F.col(k).alias(f"__of_{k}") for k in keys), "__base", (F.col("__top") - F.col("__base")).alias("__size"))
@@ -105,5 +107,15 @@ def group_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[st
         return low + (at(F.ceil(place)) - low) * F.max(place - F.floor(place))
 
     found = ranked.groupBy(*keys).agg(*(quantile(q).alias(name) for name, q in shares.items()))
-    every = named.select(*keys).distinct()
+    every = counted.select(*keys).distinct()
     return every.join(found.select(*(F.col(k).alias(f"__of_{k}") for k in keys), *shares), same, "left").select(*keys, *shares)
+
+
+def with_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float], *others: Column, gathered: int = GATHERED, at_most: int | None = None) -> DataFrame:
+    """keys, quantiles as of group_quantiles and other aggregates of each group; one pass where no group is large."""
+    if at_most is not None and at_most <= gathered:
+        return df.groupBy(*keys).agg(*(F.percentile(F.col(column).cast("double"), q).alias(name) for name, q in shares.items()), *others)
+    found = group_quantiles(df, keys, column, shares, gathered)
+    right = found.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *shares)
+    rest = df.groupBy(*keys).agg(*others)
+    return rest.join(right, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]).drop(*(f"__key_{k}" for k in keys))

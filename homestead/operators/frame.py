@@ -158,8 +158,10 @@ def fold_of(key: Column, folds: int) -> Column:
 
 
 def bernoulli_split(df: DataFrame, fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    a, b = df.randomSplit([fraction, 1 - fraction], seed)
-    return a, b
+    """Rows whose lot, a hash of the seed and of all their values, is below the fraction, and the others; equal rows go together."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})).cast("binary"))
+    lot = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
+    return df.where(lot < fraction), df.where(lot >= fraction)
 
 
 def rows_at(df: DataFrame, order: list[str], places: DataFrame, place: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Regression, classification and resampling."""
+"""Regression and classification."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homestead.operators import sampling
+from homestead.operators.resampling import bootstrap_difference  # noqa: F401
 
 
 def line(df: DataFrame, y: str, x: str, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -82,27 +83,6 @@ def model_rmse(model, df: DataFrame, y: str) -> float:
     return evaluation.RegressionEvaluator(labelCol=y, metricName="rmse").evaluate(model.transform(df))
 
 
-def bootstrap_difference(df: DataFrame, group: str, a: str, b: str, value: str, resamples: int = 1000, seed: int = 1, level: float = 0.95, key: str | None = None) -> DataFrame:
-    """Mean difference between groups a and b and its percentile interval.
-
-    Each row has a Poisson weight in each resample, drawn from a hash of row (its key, if one is named, so that partitions don't matter) and resample, so resamples are sums that
-    combine before the shuffle; no resample is held anywhere.
-    """
-    rows = df.where(F.col(group).isin(a, b)).select(group, value, F.xxhash64(F.col(key) if key else F.monotonically_increasing_id(), F.lit(seed)).alias("__u"))
-    draws = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = F.pmod(F.xxhash64("__u", "resample"), F.lit(1 << 53)) / float(1 << 53)
-    cut, total = [], 0.0
-    p = 0.36787944117144233
-    for k in range(8):
-        total += p
-        cut.append(total)
-        p /= k + 1
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cut[1:]), F.when(u >= cut[0], 1).otherwise(0))
-    means = draws.groupBy("resample").agg(*(F.try_divide(F.sum(F.when(F.col(group) == g, F.col(value) * weight)), F.sum(F.when(F.col(group) == g, weight))).alias(n) for g, n in ((a, "a"), (b, "b"))))
-    tail = (1 - level) / 2
-    return means.agg(F.avg(F.col("a") - F.col("b")).alias("difference"), F.percentile(F.col("a") - F.col("b"), tail).alias("low"), F.percentile(F.col("a") - F.col("b"), 1 - tail).alias("high"))
-
-
 def index_scaled(df: DataFrame, key: str, order: list[str], price: str, index: str) -> DataFrame:
     """The row before's price, times the ratio of the index now to then."""
     w = Window.partitionBy(key).orderBy(*order)

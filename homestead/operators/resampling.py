@@ -6,18 +6,21 @@ are sums that combine before the shuffle.
 
 from __future__ import annotations
 
-from statistics import NormalDist
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from homestead.operators import sampling
+from homestead.operators.frame import running_total
+
 #: Resamples that one pass takes; rows are read once for each block of them.
 BLOCK = 250
 
 
 def lots(key: Column, resample: Column, seed: int) -> Column:
     """A number in [0, 1) for each key and resample."""
-    return F.pmod(F.xxhash64(key, resample, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return sampling.uniform(F.concat_ws(":", key.cast("string"), resample.cast("string")), seed)
 
 
 def poisson_weight(u: Column) -> Column:
@@ -55,18 +58,90 @@ def mean_interval(df: DataFrame, key: str, value: str, resamples: int = 1000, se
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("__k"), F.col(value).alias("__v"))
     sums = _sums(rows, resamples, seed, lambda u: [F.try_divide(F.sum(poisson_weight(u) * F.col("__v")), F.sum(poisson_weight(u))).alias("m")])
     whole = rows.agg(F.avg("__v").alias("mean"))
-    kept = sums.crossJoin(F.broadcast(whole)).groupBy("mean").agg(F.avg((F.col("m") < F.col("mean")).cast("double")).alias("below"), F.array_sort(F.collect_list("m")).alias("ms"))  # one number a resample
-    normal = NormalDist()
-
-    @F.udf("array<double>")
-    def ends(below, ms):
-        if not ms or not 0 < below < 1:
-            return [ms[0], ms[-1]] if ms else None
-        z0, z = normal.inv_cdf(below), normal.inv_cdf(0.5 + level / 2)
-        low, high = normal.cdf(2 * z0 - z), normal.cdf(2 * z0 + z)
-        return [ms[min(len(ms) - 1, int(low * len(ms)))], ms[min(len(ms) - 1, int(high * len(ms)))]]
-
-    return kept.withColumn("e", ends("below", "ms")).select("mean", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+    kept = sums.where("m IS NOT NULL").crossJoin(F.broadcast(whole)).groupBy("mean").agg(F.avg((F.col("m") < F.col("mean")).cast("double")).alias("below"), F.array_sort(F.collect_list("m")).alias("ms"))  # one number a resample
+    z0, z = normal_quantile(F.col("below")), normal_quantile(F.lit(0.5 + level / 2))
+    some = (F.col("below") > 0) & (F.col("below") < 1)
+
+    def end(sign: int) -> Column:
+        share = F.when(some, normal_cdf(2 * z0 + sign * z)).otherwise(F.lit(float(sign > 0)))
+        return F.get("ms", F.least(F.size("ms") - 1, F.floor(share * F.size("ms"))).cast("int"))
+
+    return kept.select("mean", end(-1).alias("low"), end(1).alias("high"))
+
+
+def bootstrap_difference(df: DataFrame, group: str, a: str, b: str, value: str, resamples: int = 1000, seed: int = 1, level: float = 0.95, key: str | None = None) -> DataFrame:
+    """Mean difference between groups a and b over the resamples and its percentile interval. key: names rows; without one their places do, which depend on partitions."""
+    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select((F.col(key) if key else F.monotonically_increasing_id()).alias("__k"), F.col(group).alias("__g"), F.col(value).alias("__v"))
+    mean = lambda u, g: F.try_divide(F.sum(F.when(F.col("__g") == g, poisson_weight(u) * F.col("__v"))), F.sum(F.when(F.col("__g") == g, poisson_weight(u))))
+    means = _sums(rows, resamples, seed, lambda u: [(mean(u, a) - mean(u, b)).alias("d")])
+    tail = (1 - level) / 2
+    return means.agg(F.avg("d").alias("difference"), F.percentile("d", tail).alias("low"), F.percentile("d", 1 - tail).alias("high"))
+
+
+#: Terms of the series below. A place where more would be needed is so far out that the function is 0 or 1.
+TERMS = 200
+
+
+def normal_cdf(z: Column) -> Column:
+    """The normal distribution function, by its series around 0; 0 or 1 beyond 8 deviations."""
+    step = lambda s, n: F.struct((s["t"] * s["z"] * s["z"] / (2 * n + 1)).alias("t"), (s["s"] + s["t"] * s["z"] * s["z"] / (2 * n + 1)).alias("s"), s["z"].alias("z"))
+    start = F.struct(z.cast("double").alias("t"), z.cast("double").alias("s"), z.cast("double").alias("z"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: 0.5 + F.exp(-s["z"] * s["z"] / 2) / math.sqrt(2 * math.pi) * s["s"])
+    return F.when(z > 8, 1.0).when(z < -8, 0.0).otherwise(found)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The place where the normal distribution function is p, by halving; for p in (0, 1) and places within 8 deviations."""
+    step = lambda s, n: F.transform(F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"), ((s["a"] + s["b"]) / 2).alias("m"), s["p"].alias("p"))), lambda t: F.when(normal_cdf(t["m"]) < t["p"], F.struct(t["m"].alias("a"), t["b"].alias("b"), t["p"].alias("p"))).otherwise(F.struct(t["a"].alias("a"), t["m"].alias("b"), t["p"].alias("p"))))[0]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(-8.0).alias("a"), F.lit(8.0).alias("b"), p.cast("double").alias("p")), step, lambda s: (s["a"] + s["b"]) / 2)
+
+
+# The coefficients of the approximation of the gamma function with g = 7 and 9 terms, good to about 1e-15.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function, for x > 0.5."""
+    base = x - 1 + 7.5
+    total = sum((F.lit(c) / (x - 1 + i) for i, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
+    return 0.5 * math.log(2 * math.pi) + (x - 0.5) * F.log(base) - base + F.log(total)
+
+
+def gamma_cdf(x: Column, shape: Column) -> Column:
+    """The distribution function of a gamma variable with rate 1, by its series; 1 where x is beyond what the series reaches."""
+    step = lambda s, n: F.struct((s["t"] * s["x"] / (s["a"] + n)).alias("t"), (s["s"] + s["t"] * s["x"] / (s["a"] + n)).alias("s"), s["x"].alias("x"), s["a"].alias("a"))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"), x.cast("double").alias("x"), shape.cast("double").alias("a"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["s"])
+    return F.when(x <= 0, 0.0).when(x > shape + 8 * F.sqrt(shape) + 40, 1.0).otherwise(F.exp(shape * F.log(x) - x - log_gamma(shape + 1)) * series)
+
+
+def empirical(df: DataFrame, value: str) -> DataFrame:
+    """value, n, below and upto: how many rows have each value, and the shares of rows below it and up to it.
+
+    Values are counted before they are put in order, over range partitions; null and NaN are no values.
+    """
+    known = df.select(F.col(value).cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
+    upto = running_total(known.groupBy("value").agg(F.count(F.lit(1)).alias("n")), ["value"], "n", "__upto")
+    whole = upto.agg(F.max("__upto").alias("__all"))
+    return upto.crossJoin(F.broadcast(whole)).select("value", "n", ((F.col("__upto") - F.col("n")) / F.col("__all")).alias("below"), (F.col("__upto") / F.col("__all")).alias("upto"))
+
+
+def fit_distances(df: DataFrame, value: str) -> DataFrame:
+    """distribution, distance: the greatest distance between the empirical distribution of the positive values and each fitted one (of fitted_distributions).
+
+    Fits are three rows that are sent to where the values are; distances combine before the shuffle.
+    """
+    positive = df.where(F.col(value) > 0)
+    fits = fitted_distributions(positive, value).agg(*(F.max(F.when(F.col("distribution") == d, F.struct("first", "second"))).alias(d) for d in ("lognormal", "gamma", "weibull")))
+    x = F.col("value")
+    cdf = {
+        "lognormal": normal_cdf((F.log(x) - F.col("lognormal.first")) / F.col("lognormal.second")),
+        "gamma": gamma_cdf(x * F.col("gamma.second"), F.col("gamma.first")),
+        "weibull": 1 - F.exp(-F.pow(x / F.col("weibull.second"), F.col("weibull.first"))),
+    }
+    placed = empirical(positive, value).crossJoin(F.broadcast(fits)).select("below", "upto", *(c.alias(d) for d, c in cdf.items()))
+    far = placed.agg(*(F.max(F.greatest(F.abs(F.col(d) - F.col("below")), F.abs(F.col(d) - F.col("upto")))).alias(d) for d in cdf))
+    return far.select(F.explode(F.array(*(F.struct(F.lit(d).alias("distribution"), F.col(d).alias("distance")) for d in cdf))).alias("r")).select("r.*")
 
 
 def fitted_distributions(df: DataFrame, value: str) -> DataFrame:
