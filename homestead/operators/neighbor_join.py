@@ -24,7 +24,7 @@ from pyspark.taskcontext import TaskContext
 
 from homestead.shared import written
 
-#: Rows of a chunk by number and bytes; pivots by number and bytes (they are broadcast); chunks that one task compares with another; rows compared at once.
+#: Rows of a chunk by number and bytes; pivots by number and bytes (they are broadcast); full chunks that one task compares with another; rows compared at once.
 CHUNK_ROWS, CHUNK_BYTES = 4096, 4 << 20
 PIVOTS, PIVOT_BYTES = 1024, 8 << 20
 PART, AT_ONCE = 32, 512
@@ -214,7 +214,7 @@ def nearest_of_all(rows: DataFrame, k: int, row_id: str, vector: str, planned: P
     Euclidean distance in double. What takes part: see `plan`.
     """
     p = planned or plan(rows, k, row_id, vector)
-    parts = max(1, -(-p.chunks.count() // PART))
+    parts = max(1, -(-(p.chunks.agg(F.sum("n")).first()[0] or 0) // (PART * CHUNK_ROWS)))  # by rows, since chunks may be small
     pairs = p.pairs.withColumn("part", F.pmod(F.xxhash64("d"), F.lit(parts)).cast("int"))
     given = pairs.join(p.chunks, pairs["d"] == p.chunks["chunk"]).select("q", "part", F.lit(1).alias("role"), "bound", "ids", F.lit(None).cast("binary").alias("asks"), F.lit(None).cast("binary").alias("thetas"), "vectors")
     asking = pairs.groupBy("q", "part").agg(F.min("bound").alias("bound"))
