@@ -20,14 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import plain_text, released, short_batches, table
+from homestead.llm.common import first_by_hash, free_name, plain_text, released, short_batches, table
 
 #: Pages that are learned from at most, taken by a hash of the id, and layouts with and without names made of each.
 TRAIN_PAGES, LAYOUTS, PLAIN_LAYOUTS = 250, 3, 2
 TREES, DEPTH, BINS, RATE = 60, 3, 24, 0.3
 #: Of a learned article, blocks that a layout takes, blocks that serve as text of other parts, and characters of such text; pages that are read are never cut.
 LAYOUT_BLOCKS, OTHER_BLOCKS, OTHER_CHARS = 30, 5, 500
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
+#: A quote opens a value only after "=", and closes it only before white space, "/" or ">"; where it never does, the value ends as one without quotes.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s>]*+))?+)*+)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,7 +242,8 @@ MAIN = ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</di
 LISTS = ("<nav><ul>{}</ul></nav>", '<ul class="menu">{}</ul>', '<div class="breadcrumbs"><ul>{}</ul></div>', '<div id="navbar"><ul>{}</ul></div>', '<div class="related-links"><ul>{}</ul></div>', '<div class="pagination"><ul>{}</ul></div>', '<div class="tags"><ul>{}</ul></div>', '<aside class="widget"><h3>More</h3><ul>{}</ul></aside>', '<div class="share social"><ul>{}</ul></div>')
 TOP = ("<header>{}</header>", '<div class="site-header">{}</div>', '<div id="masthead"><p>{}</p></div>', '<div class="topbar">{}</div>', '<header class="page-header"><div class="logo">{}</div></header>')
 AROUND = ('<div class="ad">{}</div>', '<div class="advert"><p>{}</p></div>', '<div class="sponsored promo">{}</div>', '<div class="banner ads">{}</div>', "<aside>{}</aside>", '<aside class="sidebar"><p>{}</p></aside>', '<div id="sidebar">{}</div>', '<div class="cookie-notice"><p>{}</p></div>', '<div id="cookie-banner" class="consent">{}</div>', '<div class="gdpr popup">{}</div>', '<div class="notice">{}</div>', '<div class="alert"><p>{}</p></div>', '<form action="/s"><p>{}</p><input name="q"></form>', '<form class="newsletter signup"><label>{}</label></form>', '<div class="newsletter subscribe"><p>{}</p></div>', '<div class="search"><form><p>{}</p></form></div>', '<div class="author-bio">{}</div>', '<div class="disclaimer"><p>{}</p></div>', '<div class="login modal"><p>{}</p></div>')
-REPLIES = ('<div id="comments"><h3>Comments</h3>{}</div>', '<section class="comments">{}</section>', '<div class="comment-list">{}</div>', '<div class="discussion responses">{}</div>', '<ol class="commentlist">{}</ol>')
+REPLIES = ('<div id="comments"><h3>Comments</h3>{}</div>', '<section class="comments">{}</section>', '<div class="comment-list">{}</div>', '<div class="discussion responses">{}</div>', '<ol class="commentlist">{}</ol>', '<div id="disqus_thread">{}</div>', '<section class="replies"><h3>3 replies</h3>{}</section>', '<div class="user-feedback">{}</div>', '<div class="reader-reactions">{}</div>', '<div id="respond" class="reviews">{}</div>', '<ul class="talkback">{}</ul>', '<div class="conversation thread">{}</div>', "<section>{}</section>", "<div>{}</div>")
+REPLY = ('<div class="comment"><p>{}</p></div>', "<p>{}</p>", '<li class="reply"><p>{}</p></li>', "<div><b>{}</b><p>{}</p></div>", '<div class="post-reply"><span class="user">{}</span><p>{}</p></div>', "<div><p>{}</p></div>")
 BOTTOM = ("<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="site-footer"><p>{}</p></div>', '<div class="copyright legal">{}</div>', '<footer class="bottom"><p>{}</p></footer>')
 #: Layouts without any name: what a part is shows only in its text, links and place.
 PLAIN_KINDS, PLAIN_LINKS = ("<div>{}</div>", "<div>{}</div>", "<p>{}</p>", "<div><span>{}</span></div>"), ("<div>{}</div>", "<div><div>{}</div></div>", "<ul>{}</ul>")
@@ -290,7 +292,12 @@ def layout(blocks: list[str], others: list[str], rng: np.random.Generator) -> tu
     inside[:1] = [f"<h1>{marked(blocks[0][:60], True)}</h1>", *inside[:1]]
     for _ in range(int(rng.integers(0, 3))):
         inside.insert(int(rng.integers(1, len(inside) + 1)), around() if rng.random() < 0.8 else pick(LISTS).format(items()))
-    replies = lambda: pick(REPLIES).format("".join(pick(('<div class="comment"><p>{}</p></div>', "<p>{}</p>", '<li class="reply"><p>{}</p></li>')).format(marked(other())) for _ in range(int(rng.integers(1, 5)))))
+
+    def replies() -> str:
+        """Short texts after the article, all of one form, some with a line that says who."""
+        form = pick(REPLY)
+        return pick(REPLIES).format("".join(form.format(*([marked(other()[:12])] if form.count("{}") == 2 else []), marked(other()[: int(rng.integers(20, 160))])) for _ in range(int(rng.integers(1, 6)))))
+
     if rng.random() < 0.3:
         inside.append(replies())
     parts = [pick(TOP).format(marked(other()[:80])) if rng.random() < 0.6 else "", pick(LISTS).format(items()) if rng.random() < 0.8 else "", around() if rng.random() < 0.7 else ""]
@@ -352,18 +359,21 @@ def train(sources: list[str], seed: int = 5, layouts: int = LAYOUTS) -> tuple[di
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = TRAIN_PAGES) -> tuple[dict[str, float], Trees]:
-    """Learns from at most `rows` pages, the same ones each time, in one task."""
-    sample = pages.select(F.col(id_col).alias("id"), plain_text(F.col(html_col)).alias("html")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    """Learns from at most `rows` pages, the same ones each time, in one task. They are chosen by their ids; of pages of one id the least counts, and pages without id are not learned from."""
+    known = pages.select(F.col(id_col).alias("id"), plain_text(F.col(html_col)).alias("html")).where("id IS NOT NULL")
+    chosen = first_by_hash(known.select("id").distinct(), "id", rows)
+    sample = known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("html").alias("html")).orderBy(F.xxhash64("id"), "id")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"model": [pickle.dumps(train([h for b in batches for h in b["html"].tolist()]))]})
 
-    got = sample.repartition(1).mapInPandas(fit, "model binary").first()
+    got = sample.select("html").coalesce(1).mapInPandas(fit, "model binary").first()
     return pickle.loads(got["model"]) if got else train([])
 
 
 def extract(pages: DataFrame, model: tuple[dict[str, float], Trees], html_col: str = "html", name: str = "main_text") -> DataFrame:
-    """pages with the main text: the kept blocks in page order, one a line. A null or empty page has an empty text."""
+    """pages with the main text: the kept blocks in page order, one a line. A null or empty page has an empty text. Where pages has a column of that name, the new one has underscores before it."""
+    name = free_name(pages, name)
     held = short_batches(pages).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
@@ -383,6 +393,7 @@ def extract(pages: DataFrame, model: tuple[dict[str, float], Trees], html_col: s
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages. A null html is an empty page; repeated pages each have a row; of other columns than page_id, url and html nothing is read."""
     pages = table(spark, sf_dir, "pages")
     done = extract(pages.select("page_id", "url", "html"), learn(pages), name="main")
     return done.select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
