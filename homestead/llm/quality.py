@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homestead.llm.common import free_name, plain_text, released, short_batches, table
+from homestead.llm.common import first_by_hash, free_name, plain_text, released, short_batches, table, written
 
 BUCKETS, WIDTH, NGRAMS = 1 << 18, 16, (2, 3, 4)
 #: At most so many labelled rows are learned from, the same ones each time; they are taken by a hash of the id.
@@ -32,15 +32,14 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
 with np.errstate(over="ignore"):
     _POWER, _BACK = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK + 2, x, np.uint64)])) for x in (_P, _INV))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def features(raw: bytes) -> np.ndarray:
-    """Buckets of all words and of all n-grams inside words of a text in UTF-8, with a mark at word ends."""
-    b = _LOWER[np.frombuffer(b" " + raw + b" ", np.uint8)]
+    """Buckets of all words and of all n-grams of characters inside words of a text in UTF-8, with a mark at word ends."""
+    b = np.frombuffer((" " + raw.decode("utf-8", "surrogatepass") + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    b = b + np.uint32(32) * ((b >= 65) & (b <= 90))
     space = (b == 32) | ((b >= 9) & (b <= 13))
-    b = np.where(space, np.uint8(32), b)
+    b = np.where(space, np.uint32(32), b)
     starts, ends = np.flatnonzero(~space[1:] & space[:-1]) + 1, np.flatnonzero(space[1:] & ~space[:-1]) + 1
     if not len(starts):
         return np.empty(0, np.int64)
@@ -66,7 +65,11 @@ def features(raw: bytes) -> np.ndarray:
 def pieces(raw: bytes) -> Iterator[bytes]:
     """The text in chunks that end between words where there is room between words."""
     while len(raw) > CHUNK:
-        at = raw.rfind(b" ", 0, CHUNK) + 1 or CHUNK
+        at = raw.rfind(b" ", 0, CHUNK) + 1
+        if not at:  # between two characters
+            at = CHUNK
+            while raw[at] & 0xC0 == 0x80:
+                at -= 1
         yield raw[:at]
         raw = raw[at:]
     yield raw
@@ -133,12 +136,16 @@ def fold(id_col: str, folds: int):
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
     """Learns from at most `rows` labelled documents, outside the held-out fold (crc32 of the id modulo 5 is 0).
 
-    Labels that are null, ids that are null and labels without a document are not used; of several labels of one id the largest counts.
+    Labels that are null, ids that are null and labels without a document are not used; of several labels of one id the largest counts, of several
+    documents of one id the least text.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     known = known.where(fold("id", 5) != 0).groupBy("id").agg(F.max("label").alias("label"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), plain_text(F.col(text_col)).alias("text")).join(F.broadcast(sample), "id")
+    known = written(known, "labels")
+    own = docs.select(F.col(id_col).alias("id"), plain_text(F.col(text_col)).alias("text"))
+    there = known.join(own.select("id").distinct(), "id", "left_semi")
+    sample = known.join(F.broadcast(first_by_hash(there.select("id"), "id", rows)), "id")
+    texts = own.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: list[int] = []
@@ -160,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the probability of class 1 from the whole text. A null text counts as empty; an empty one gets the prior."""
+    """docs with the probability of class 1 from the whole text. A null text counts as empty; an empty one gets the prior. Where docs has a column of that name, the new one has underscores before it."""
+    name = free_name(docs, name)
     held = short_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -180,7 +188,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents. Null and empty texts get the prior; repeated rows each have a row; a null id is in no fold and is not learned from; of other columns than doc_id and text nothing is read."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

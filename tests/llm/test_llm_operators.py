@@ -506,3 +506,43 @@ def test_word_hashes_do_not_depend_on_where_a_text_is_cut(monkeypatch):
     monkeypatch.setattr(shingles, "_AT_ONCE", 200)
     cut = shingles.word_hashes(raw)
     assert len(cut) == len(whole) and (cut[:500] == whole[:500]).all() and cut[-1] == whole[-1]
+
+
+def test_html_tags_with_odd_quotes():
+    """Quotes open a value only after "=" and close it only at its end; comments go wherever they are told by place and form."""
+    model = html_text.train(pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()[:100])
+    read = lambda source: (lambda p: p.text(html_text.decode(p, model[1].log_odds(html_text.node_features(p, model[0])))))(html_text.Page(source))
+    paragraphs = ["The farmer's field was wide, and it didn't end at the river.", "He said that it wouldn't rain before the evening came.", "So they went on, and the work was done by noon, as it had to be."]
+    body, whole = "".join(f"<p>{p}</p>" for p in paragraphs), "\n".join(paragraphs)
+    for opening in ("<article data-author=O'Brien>", "<article><img alt='the boy's hat'>", '<article data-x="<b>q</b>" title=\'a > b\'>', "<article class = x data-y='' z>"):
+        assert read(f"<html><body>{opening}{body}</article></body></html>") == whole
+    assert read("<div class=o'neil><p>First text.</p></div><p>It's here, don't go.</p>") == "First text.\nIt's here, don't go."
+    assert read(f'<body><article><p class="foo>{paragraphs[0]}</p><p class="bar">{paragraphs[1]}</p></article></body>') == "\n".join(paragraphs[:2])
+    replies = "".join(f"<div><p>{x}</p></div>" for x in ("I think this is wrong, sorry.", "Nice text, thanks for it!", "Who wrote that? Not me."))
+    for form in ('<div id="disqus_thread">{}</div>', '<section class="replies">{}</section>', '<div class="user-feedback">{}</div>'):
+        assert read(f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Of fields</h1>{body}</article>{form.format(replies)}<footer>c 2020</footer></body></html>") == f"Of fields\n{whole}"
+
+
+def test_html_learns_from_a_bounded_number_of_pages(spark, monkeypatch):
+    pages = spark.createDataFrame([(i % 40, PAGE.replace("t</title>", f"{i}</title>"), "kept") for i in range(400)] + [(None, PAGE, "kept")], "page_id long, html string, main_text string")
+    seen = []
+    monkeypatch.setattr(html_text, "train", lambda sources: seen.append(len(sources)) or ({}, seen))
+    assert html_text.learn(pages, rows=7)[1] == [7] and html_text.learn(pages.limit(0), rows=7)[1] is seen
+    monkeypatch.undo()
+    got = html_text.extract(pages, html_text.train([PAGE] * 20))
+    assert got.columns == ["page_id", "html", "main_text", "_main_text"] and got.where("main_text = 'kept'").count() == 401
+
+
+def test_quality_characters_and_bounds(spark):
+    """N-grams are of characters; what is learned from is bounded though ids repeat; a caller's score stays."""
+    two = set(quality.features("é".encode()).tolist())
+    assert len(two) == 3 and not two & set(quality.features("è".encode()).tolist()) - set(quality.features(b"").tolist())
+    assert len(quality.features("дом".encode())) == len(quality.features(b"dom"))
+    long = ("ж" * quality.CHUNK).encode()
+    assert b"".join(quality.pieces(long)) == long and all(p.decode() for p in quality.pieces(long))
+    docs = spark.createDataFrame([(i % 30, f"good text {i}" if i % 30 < 15 else f"bad stuff {i}", "mine") for i in range(900)], "doc_id long, text string, Score string")
+    labels = spark.createDataFrame([(i, int(i < 15), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.learn(docs, labels, rows=2)
+    assert model.rows == 2
+    out = quality.score(docs, model)
+    assert out.columns == ["doc_id", "text", "Score", "_score"] and out.where("Score = 'mine'").count() == 900
