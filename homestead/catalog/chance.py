@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from homestead.catalog.registry import Tables, query
-from homestead.catalog.vectors import near
+from homestead.catalog.vectors import NEAR, near
 from homestead.functions import codes, dates, vectors
 from homestead.operators import aggregates, completion, frame, imputation, models, resampling, sampling, validation, validity
 from homestead.shared import shared_dir
@@ -193,13 +193,17 @@ def fit_distance(t: Tables):
 
 
 def weighted_near(t: Tables):
-    rows = t.embeddings.select("vec_id", F.slice("embedding", 1, 4).alias("x"))
-    found = near(t).select("query", "neighbour", "distance", "rank").where("rank <= 20")
-    found = found.join(rows.select(F.col("vec_id").alias("neighbour"), "x"), "neighbour").join(t.embeddings.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour")
+    """The ten neighbours of each stated query with their whole vectors, labels and equal weights."""
+    rows = t.embeddings.select("vec_id", F.col("embedding").alias("x"))
+    found = near(t).select("query", "neighbour", "label")
+    found = found.join(rows.withColumnRenamed("vec_id", "neighbour"), "neighbour")
     return found.join(rows.select(F.col("vec_id").alias("query"), F.col("x").alias("at")), "query").withColumn("w", F.lit(1.0))
 
 
-@query()
+@query(f"""WITH {NEAR}, x AS (SELECT query, near.label, unnest(range(1, len(e.embedding) + 1)) AS i, unnest(CAST(e.embedding AS DOUBLE[])) AS x, unnest(CAST(q.embedding AS DOUBLE[])) AS place FROM near JOIN embeddings e ON e.vec_id = neighbour JOIN embeddings q ON q.vec_id = query),
+d AS (SELECT query, label, i, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s, any_value(place) AS place FROM x GROUP BY 1, 2, 3),
+o AS (SELECT query, label, ln(any_value(n)) + sum(CASE WHEN s > 0 THEN -ln(s) - pow((place - m) / s, 2) / 2 WHEN place = m THEN 0.0 ELSE -1e6 END) AS z FROM d GROUP BY 1, 2)
+SELECT query, CAST(arg_min(label, (-z, label)) AS BIGINT) AS predicted, round(1 / sum(exp(z - top)), 6) AS probability FROM (SELECT *, max(z) OVER (PARTITION BY query) AS top FROM o) GROUP BY query""")
 def impute_naive_bayes(t: Tables):
     """The label of each stated query from its neighbours, by local naive Bayes."""
     return imputation.impute(weighted_near(t), "x", "at", "label", "w").withColumn("probability", F.round("probability", 6))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from homestead.catalog.chance import lot
 from homestead.catalog.registry import Tables, query
-from homestead.catalog.vectors import BOTH, NEAR, places
-from homestead.operators import joins, neighbor_cache, neighbor_join, neighbors, search, validation
+from homestead.catalog.vectors import BOTH, NEAR, near, places
+from homestead.functions import dates
+from homestead.operators import aggregates, comparison, joins, neighbor_cache, neighbor_join, neighbors, search, validation
+from homestead.shared import shared_dir
+from homestead.sources import delimited, typed_table
 
 ALL = NEAR.replace("a.vec_id % 100 = 0 AND ", "")
 EVERY_TENTH = BOTH.replace("% 100 = 0", "% 10 = 0")
@@ -77,3 +80,55 @@ def random_hp_sets(t: Tables):
     """Random settings for each supplier."""
     sets = validation.random_settings(t.supplier, "s_suppkey", {"k": ("uniform", 2, 120), "metres": ("geometric", 1, 10000)}, 11)
     return sets.select("s_suppkey", F.round("k", 8).alias("k"), F.round("metres", 6).alias("metres"))
+
+
+@query(f"""WITH {NEAR}, w AS (SELECT query, rank, label, greatest(0, 0.75 * (1 - pow(distance / CASE WHEN max(distance) OVER q = 0 THEN 1e-10 ELSE max(distance) OVER q END, 2))) AS w FROM near WINDOW q AS (PARTITION BY query)),
+v AS (SELECT query, label, CASE WHEN max(w) OVER (PARTITION BY query) > 0 THEN w WHEN rank < 10 THEN 1 / 9.0 ELSE 0 END AS w FROM w)
+SELECT query, round(sum(w * label) / sum(w), 5) AS estimate FROM v GROUP BY query""")
+def kernel_epan_always(t: Tables):
+    return neighbors.kernel_average_always(near(t), "label", 10).withColumn("estimate", F.round("estimate", 5))
+
+
+@query("SELECT arg_max(o_orderpriority, o_orderkey) AS o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_totalprice > 1000")
+def bare_column_count(t: Tables):
+    """A code of the last row beside the number of rows."""
+    rows = t.orders.where("o_totalprice > 1000")
+    return aggregates.with_bare(rows, [F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean")], ["o_orderpriority"], ["o_orderkey"])
+
+
+@query("""WITH a AS (SELECT o_custkey, make_date(CAST(year(o_orderdate) AS BIGINT), CAST(quarter(o_orderdate) * 3 - 1 AS BIGINT), 15) AS day, ln(o_totalprice) AS a, year(o_orderdate) BETWEEN 1993 AND 1997 AS asked FROM orders),
+g AS (SELECT DISTINCT o_custkey, day FROM a), b AS (SELECT a.*, CASE WHEN a.o_custkey % 5 <> 0 THEN ln(100000 + 10 * a.o_custkey) END AS f, CASE WHEN a.o_custkey % 7 <> 0 THEN ln(120000 + month(day) * 1000) END AS s FROM a)
+SELECT count(*) AS actual, count(*) FILTER (NOT asked) AS not_asked_for, count(*) FILTER (asked AND f IS NULL AND s IS NOT NULL) AS not_in_first, count(*) FILTER (asked AND f IS NOT NULL AND s IS NULL) AS not_in_second,
+count(*) FILTER (asked AND f IS NULL AND s IS NULL) AS in_neither, count(*) FILTER (asked AND f IS NOT NULL AND s IS NOT NULL) AS compared,
+count(*) FILTER (asked AND abs(a - f) < abs(a - s)) AS first_closer, count(*) FILTER (asked AND abs(a - f) > abs(a - s)) AS second_closer, count(*) FILTER (asked AND abs(a - f) = abs(a - s)) AS equal,
+round(sqrt(avg(pow(a - f, 2)) FILTER (asked AND f + s IS NOT NULL)), 6) AS first_rmse, round(sqrt(avg(pow(a - s, 2)) FILTER (asked AND f + s IS NOT NULL)), 6) AS second_rmse,
+round(avg((abs(exp(a) - exp(f)) / exp(a) < 0.1)::INT) FILTER (asked AND f + s IS NOT NULL), 6) AS first_within, round(avg((abs(exp(a) - exp(s)) / exp(a) < 0.1)::INT) FILTER (asked AND f + s IS NOT NULL), 6) AS second_within FROM b""")
+def estimates_compared(t: Tables):
+    """Two estimates of each customer's orders, on the grid of mid-quarter days, and which is closer."""
+    rows = t.orders.select("o_custkey", "o_orderdate", F.log("o_totalprice").alias("price"))
+    grid = rows.select("o_custkey", dates.mid_quarter(F.col("o_orderdate").cast("date")).alias("day")).distinct()
+    k = F.col("o_custkey")
+    first = grid.where(k % 5 != 0).withColumn("estimate", F.log(100000 + 10 * k))
+    second = grid.where(k % 7 != 0).withColumn("estimate", F.log(120000 + F.month("day") * 1000))
+    out = comparison.compared(rows, first, second, "o_custkey", "day", "price", F.year("o_orderdate").between(1993, 1997), dates.mid_quarter(F.col("o_orderdate").cast("date")))
+    return out.select(*(F.round(c, 6).alias(c) if c.endswith(("rmse", "within")) else F.col(c) for c in out.columns))
+
+
+@query("""SELECT o_orderkey, o_totalprice, o_orderpriority, CAST(o_orderkey % 8 + 1 AS INTEGER) AS file_number, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) AS record_number
+FROM orders QUALIFY o_orderpriority <> '5-LOW'""")
+def numbered_records(t: Tables):
+    """Orders written as eight tab files and read with the number of their file and record; then one priority is left out."""
+    path = shared_dir(t.spark, "files")
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", (F.col("o_orderkey") % 8).alias("file"))
+    rows.repartition(8, "file").sortWithinPartitions("file", "o_orderkey").write.partitionBy("file").csv(path, sep="\t", header=True)
+    read = delimited.read_numbered(t.spark, [f"{path}/file={i}" for i in range(8)], "o_orderkey long, o_totalprice double, o_orderpriority string")
+    return read.where("o_orderpriority <> '5-LOW'").drop("file_name")
+
+
+@query("SELECT c_name, c_acctbal, CAST(c_custkey AS DOUBLE) AS c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'")
+def typed_table_round_trip(t: Tables):
+    """Customers as records of a typed table, of which one column is not read and two are compared in the source."""
+    path = shared_dir(t.spark, "typed")
+    typed_table.write_typed_table(t.customer.select("c_name", "c_acctbal", "c_custkey", "c_mktsegment", "c_nationkey"), path)
+    rows = typed_table.read_typed_table(t.spark, path, "tmmtx", ["c_name", "c_acctbal", "c_custkey", "c_mktsegment", "c_nationkey"])
+    return rows.where("c_acctbal > 0 AND c_mktsegment = 'BUILDING'").select("c_name", "c_acctbal", "c_custkey")

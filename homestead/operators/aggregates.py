@@ -119,3 +119,9 @@ def with_quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str
     right = found.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *shares)
     rest = df.groupBy(*keys).agg(*others)
     return rest.join(right, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]).drop(*(f"__key_{k}" for k in keys))
+
+
+def with_bare(df: DataFrame, aggregates: list[Column], bare: list[str], order: list[str], keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Aggregates beside columns that are not aggregated: those have their values in the group's last row of the order. One row without keys, as long as there are rows."""
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max_by(F.struct(*bare), F.struct(*order)).alias("__last"), *aggregates)
+    return out.where("__n > 0").select(*keys, "__last.*", *(c for c in out.columns if c not in (*keys, "__last", "__n")))

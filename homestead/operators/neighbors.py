@@ -95,6 +95,15 @@ def kernel_average(neighbours: DataFrame, y: str, k: int) -> DataFrame:
     return weighted.groupBy("query").agg(F.try_divide(F.sum(F.col("w") * F.col(y)), F.sum("w")).alias("estimate"))
 
 
+def kernel_average_always(neighbours: DataFrame, y: str, k: int, least: float = 1e-10) -> DataFrame:
+    """As kernel_average, but a width of 0 becomes `least`, and where all weights vanish (k neighbours at one distance) the first k - 1 weigh the same. Null with fewer than k."""
+    w = Window.partitionBy("query")
+    width = F.max(F.when(F.col("rank") == k, F.col("distance"))).over(w)
+    weighted = neighbours.where(F.col("rank") <= k).withColumn("w", kernels.epanechnikov(F.col("distance"), F.when(width == 0, least).otherwise(width)))
+    weighted = weighted.withColumn("w", F.when(F.max("w").over(w) > 0, F.col("w")).when(F.col("rank") < k, 1 / (k - 1)).otherwise(0.0))
+    return weighted.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.try_divide(F.sum(F.col("w") * F.col(y)), F.sum("w"))).alias("estimate"))
+
+
 def gaussian_weights(neighbours: DataFrame, bandwidth: float) -> DataFrame:
     """Weights that sum to 1 for each query; equal ones if all underflow."""
     w = Window.partitionBy("query")

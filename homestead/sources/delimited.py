@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homestead.shared import written
 
 # Month names of index files.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -54,6 +55,35 @@ def read_many(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     return out
 
 
+def read_numbered(spark: SparkSession, paths: list[str], schema: str | T.StructType, sep: str = "\t", na: tuple[str, ...] = ("", "NA"), header: bool = True) -> DataFrame:
+    """Several files (or folders of one file each) as one frame, with file_name, file_number (from 1, in the list) and record_number (from 1, in the file).
+
+    Lines are read once, with the block of their file and their place in the task, into a table; the number of lines in each block, one row a block,
+    gives the records before it. The header is no record. Quoting is not known here; a field that its type cannot hold is null.
+    """
+    types = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = written(spark.read.text(paths).select("value", file.alias("__file"), block.alias("__block"), F.monotonically_increasing_id().alias("__at")), "lines")
+    sizes = lines.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    names = written(lines.select("__file").distinct().withColumn("__number", _number_of(paths)), "files")
+    rows = lines.join(F.broadcast(placed), ["__file", "__block"]).join(F.broadcast(names), "__file")
+    rows = rows.withColumn("__record", F.col("__before") + F.col("__at") - F.col("__first") + (0 if header else 1)).where("__record > 0")
+    fields = F.split("value", re.escape(sep), -1)
+    typed = [F.when(~F.get(fields, F.lit(i)).isin(*na), F.get(fields, F.lit(i))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(types)]
+    return rows.select(*typed, F.element_at(F.split("__file", "/"), -1).alias("file_name"), F.col("__number").alias("file_number"), F.col("__record").alias("record_number"))
+
+
+def _number_of(paths: list[str]):
+    """The place in the list of the path that a file is or lies in."""
+    number = F.lit(None).cast("int")
+    for i, path in enumerate(paths):
+        plain = re.sub("^[a-z]+:/*", "/", path).rstrip("/")
+        number = F.when(F.endswith("__file", F.lit(plain)) | F.contains("__file", F.lit(plain + "/")), i + 1).otherwise(number)
+    return number
+
+
 def read_after_lines(spark: SparkSession, path: str, skip: int, names_line: int, sep: str = ",") -> DataFrame:
     """A file whose first `skip` lines are no data; line `names_line` (from 1) has the names.
 
