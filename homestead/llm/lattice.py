@@ -3,8 +3,8 @@
 Words are counted over the whole corpus, so that the lattice of a word is walked once and not once an
 occurrence. A forward recursion in log space sums over all ways to cut a word into pieces of the vocabulary
 (bytes are pieces too, so any word can be cut); the probability of a document is the product over its words and its end.
-The scores of the pieces start from those of the vocabulary and are fitted to the counts of the training words by expectation
-maximisation. A unigram vocabulary's scores are log probabilities; the public vocabulary was made by merges, whose scores
+Each training word is one more piece of its own, so what is gathered grows with the corpus. The scores of the pieces start from those of
+the vocabulary and are fitted to the counts of the training words by expectation maximisation. A unigram vocabulary's scores are log probabilities; the public vocabulary was made by merges, whose scores
 are no more than ranks, so its start falls with the rank. Words that make up at least a fixed share of all tokens, of which
 there can only be so many, are looked up where the documents are read; the others are joined by a shuffle, in
 which by that bound no word is frequent.
@@ -30,6 +30,10 @@ EM_STEPS = 2
 COUNT_AT_ONCE = 400_000
 #: Cells of the table that the recursion fills at once.
 CELLS = 1 << 20
+#: Places times words whose edges are held at once.
+EDGES = 1 << 18
+#: Share of the pieces of whole words before the first step.
+WHOLE = 0.5
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -80,9 +84,9 @@ class Lattice:
         root = self.keys < 256
         self.first[self.keys[root]] = self.child[root]
 
-    def edges(self, cells: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, words, pieces) for all pieces that lie in words; cells: a row of bytes a word."""
-        for i in range(cells.shape[1]):
+    def edges(self, cells: np.ndarray, lengths: np.ndarray, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words, pieces) for all pieces that lie in words and start at a place from begin to before end; cells: a row of bytes a word."""
+        for i in range(begin, cells.shape[1] if end is None else end):
             rows = np.flatnonzero(lengths > i)
             at, to = self.first[cells[rows, i]], i + 1
             while len(rows):
@@ -109,21 +113,31 @@ class Lattice:
 
     def expected(self, cells: np.ndarray, lengths: np.ndarray, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used in counts[i] occurrences of word i, on average over segmentations."""
-        alpha = np.full((cells.shape[1] + 1, len(cells)), -np.inf)
+        return self.uses(cells, lengths, logp, counts, np.full(len(cells), -np.inf))[0]
+
+    def uses(self, cells: np.ndarray, lengths: np.ndarray, logp: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, float]:
+        """How often each piece, and how often the piece of a whole word, is used in counts[i] occurrences of word i, on average over segmentations.
+
+        whole: the log probability of the piece that is the whole word. The way back goes over blocks of places, so a word of any length needs
+        the edges of one block only.
+        """
+        n, width = len(cells), cells.shape[1]
+        alpha = np.full((width + 1, n), -np.inf)
         alpha[0] = 0
-        kept = []
         for i, to, rows, number in self.edges(cells, lengths):
             alpha[to, rows] = np.logaddexp(alpha[to, rows], alpha[i, rows] + logp[number])
-            kept.append((i, to, rows, number))
-        total = alpha[lengths, np.arange(len(cells))]
+        total = np.logaddexp(alpha[lengths, np.arange(n)], whole)
+        own = float((counts * np.exp(whole - total)).sum())
         beta = np.full(alpha.shape, -np.inf)
-        beta[lengths, np.arange(len(cells))] = 0
+        beta[lengths, np.arange(n)] = 0
         out = np.zeros(len(logp))
-        for i, to, rows, number in reversed(kept):
-            on = beta[to, rows] + logp[number]
-            out += np.bincount(number, counts[rows] * np.exp(alpha[i, rows] + on - total[rows]), len(logp))
-            beta[i, rows] = np.logaddexp(beta[i, rows], on)
-        return out
+        block = max(1, EDGES // max(n, 1))
+        for begin in range((width - 1) // block * block, -1, -block):
+            for i, to, rows, number in reversed(list(self.edges(cells, lengths, begin, min(begin + block, width)))):
+                on = beta[to, rows] + logp[number]
+                out += np.bincount(number, counts[rows] * np.exp(alpha[i, rows] + on - total[rows]), len(logp))
+                beta[i, rows] = np.logaddexp(beta[i, rows], on)
+        return out, own
 
 
 def tabled(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,28 +185,39 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def learn_pieces(words: DataFrame, lattice, logp: np.ndarray, n_ends: int, steps: int) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces, and of the end, from the counts of all training words."""
+def learn_pieces(words: DataFrame, lattice, logp: np.ndarray, n_words: int, n_ends: int, steps: int) -> tuple[np.ndarray, float, float]:
+    """Log probabilities of the pieces and of the end, and the share of the pieces of whole words, from the counts of all training words.
+
+    In these steps an occurrence of a word sees the others only (the word has c - 1 of n_words - 1): else every word would be its own
+    best piece, and nothing be left for words that were not seen.
+    """
     spark = words.sparkSession
-    end = 0.0
+    end, share = 0.0, WHOLE if steps else 0.0
+    logp = logp + (np.log1p(-share) if steps else 0.0)
     for _ in range(steps):
-        held = spark.sparkContext.broadcast(logp)
+        held = spark.sparkContext.broadcast((logp, share))
 
         def expect(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(held.value))
+            logp, share = held.value
+            total, whole = np.zeros(len(logp)), 0.0
             for batch in batches:
                 words, counts = batch["word"].tolist(), batch["c"].to_numpy(float)
+                with np.errstate(divide="ignore"):
+                    others = np.log(share * (counts - 1) / max(n_words - 1, 1))
                 for part, cells, lengths in tabled(words):
-                    total += lattice.value.expected(cells, lengths, held.value, counts[part])
+                    times, own = lattice.value.uses(cells, lengths, logp, counts[part], others[part])
+                    total += times
+                    whole += own
             used = np.flatnonzero(total)
-            yield pd.DataFrame({"piece": used, "times": total[used]})
+            yield pd.DataFrame({"piece": np.append(used, -1), "times": np.append(total[used], whole)})
 
         sums = words.where("c > 0").select("word", "c").mapInPandas(expect, "piece bigint, times double").groupBy("piece").agg(F.sum("times").alias("times")).toPandas()
+        own, sums = float(sums["times"][sums["piece"] < 0].sum()), sums[sums["piece"] >= 0]
         times = np.full(len(logp), 0.1)
         times[sums["piece"].to_numpy(int)] += sums["times"].to_numpy(float)
-        whole = times.sum() + n_ends + 0.1
-        logp, end = np.log(times / whole), float(np.log((n_ends + 0.1) / whole))
-    return logp, end
+        every = times.sum() + own + n_ends + 0.1
+        logp, end, share = np.log(times / every), float(np.log((n_ends + 0.1) / every)), own / every
+    return logp, end, share
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_file: str | None = None, em_steps: int = EM_STEPS, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -210,7 +235,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     n_all, n_train, distinct = (seen[0] or 0), (seen[1] or 0) + ends, (seen[2] or 0) + (ends > 0)
     pieces, logp = read_vocabulary(vocabulary_file or default_vocabulary_file())
     lattice = spark.sparkContext.broadcast(Lattice(pieces))
-    logp, end = learn_pieces(words, lattice, logp, ends, em_steps)
+    n_words = n_train - ends
+    logp, end, share = learn_pieces(words, lattice, logp, n_words, ends, em_steps)
     held = spark.sparkContext.broadcast(logp)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +244,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             found = np.empty(len(batch))
             for part, cells, lengths in tabled(batch["word"].tolist()):
                 found[part] = lattice.value.score(cells, lengths, held.value)
-            yield batch.assign(logp=found / np.log(10))
+            with np.errstate(divide="ignore"):
+                whole = np.log(share * batch["c"].to_numpy(float) / max(n_words, 1))
+            yield batch.assign(logp=np.logaddexp(found, whole) / np.log(10))
 
     words = written(words.mapInPandas(walk, "word binary, n bigint, c bigint, logp double"), "scored-words")
     frequent = words.where(F.col("n") >= max(1.0, n_all * FREQUENT)).toPandas()

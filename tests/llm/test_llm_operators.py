@@ -546,3 +546,30 @@ def test_quality_characters_and_bounds(spark):
     assert model.rows == 2
     out = quality.score(docs, model)
     assert out.columns == ["doc_id", "text", "Score", "_score"] and out.where("Score = 'mine'").count() == 900
+
+
+def test_lattice_with_pieces_of_whole_words(monkeypatch):
+    """What pieces and whole words explain sums to the counts; the way back over blocks gives the same as in one go."""
+    pieces = [b" a", b"ab", b" ab", b"ba", b"abab"] + [bytes([i]) for i in range(256)]
+    logp = np.log(np.random.default_rng(5).dirichlet(np.ones(len(pieces))))
+    words, counts, whole = [b"abab" * 40, b"a", b"bababab"], np.array([2.0, 3, 4]), np.log(np.array([1e-9, 0.2, 1e-30]))
+    out = []
+    for edges in (1 << 18, 7):
+        monkeypatch.setattr(lattice, "EDGES", edges)
+        used, own = 0, 0.0
+        for part, cells, lengths in lattice.tabled(words):
+            times, more = lattice.Lattice(pieces).uses(cells, lengths, logp, counts[part], whole[part])
+            used, own = used + times, own + more
+        out.append((used, own))
+    assert np.allclose(out[0][0], out[1][0]) and out[0][1] == pytest.approx(out[1][1])
+    alone = [lattice.Lattice(pieces).score(c, n, logp)[0] for w in words for _, c, n in lattice.tabled([w])]
+    assert own == pytest.approx(sum(c * np.exp(v) / (np.exp(v) + np.exp(s)) for c, v, s in zip(counts, whole, alone, strict=True)))
+
+
+def test_lm_words_that_were_seen_are_likelier(spark):
+    """A word of the training texts is one piece; new words still have a probability."""
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    held = next(i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2)
+    docs = frame(spark, ["zqxjzq kvwzzq"] * 60 + ["zqxjzq", "qzjxqz"], [*train, held, held])
+    got = sorted(r.score for r in lattice.score(docs).where(f"id = {held}").collect())
+    assert got[1] - got[0] > 3 and np.isfinite(got[0])
