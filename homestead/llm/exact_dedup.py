@@ -149,6 +149,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for every row of documents. Null texts are empty and equal to each other, a null id is smaller than any other; see `decide`. Other columns are not read."""
     rows = decide(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "n_bytes")
 

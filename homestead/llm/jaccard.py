@@ -275,6 +275,7 @@ def class_of(texts: pd.Series) -> pd.Series:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of similar documents. A document without words is linked with nothing, rows of one text are one class, ids may be null or occur again; other columns are not read."""
     rows = groups(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 

@@ -286,4 +286,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. A null text is its end alone, a null id is in no fold, each row has a row; other columns are not read."""
     return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("uid")

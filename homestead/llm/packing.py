@@ -234,4 +234,5 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents. A null text has the end id alone, every row its own pieces, ids may be null or occur again; other columns are not read."""
     return pack(table(spark, sf_dir, "documents"))

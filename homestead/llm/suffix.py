@@ -293,5 +293,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated stretches of 400 bytes. Null texts are empty, repeated rows repeat each other, ids may be null; other columns are not read."""
     rows = remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_short_repeats")

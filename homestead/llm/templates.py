@@ -72,6 +72,7 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of recurring templates. Null texts have no lines, rows of one id (null ids too) are one document; other columns are not read."""
     return template_lines(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
