@@ -198,7 +198,7 @@ def mine(rows: DataFrame, asked: Column, id_col: str = "vec_id", label: str | Co
 
     Anchors are the rows for which `asked` holds. An anchor's positives are the best rows of its label with another id, its negatives for a
     positive the best rows of other labels whose score lies between the two shares, in hundredths, of the positive's. Ties go to the smaller id.
-    Rows with a null id, label, vector or component, or with a component that is not finite, take no part. A component is floor(256 * x), held
+    Ids and labels are whole numbers. Rows with a null id, label, vector or component, or with a component that is not finite, take no part. A component is floor(256 * x), held
     within 2^20 (x within 4096). Vectors may differ in length: what one lacks counts as 0. Each of several rows with one id counts, also
     as an anchor. Without anchors or rows there are no results.
     """

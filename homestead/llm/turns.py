@@ -146,7 +146,7 @@ def decoded(rows: list[tuple], way: list[tuple[str, str]], tail: str) -> list[tu
 def ordered(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: Column | None = None) -> DataFrame:
     """conv, turn, role, text, copies, fault: one row for equal turns, with the first fault of each: 2 blank, 3 duplicate, 1 truncated, 0 none.
 
-    A null role or text counts as one space. A turn is a duplicate if its role and text stand earlier in its conversation (by turn, nulls first;
+    conv_id and turn are whole numbers. A null role or text counts as one space. A turn is a duplicate if its role and text stand earlier in its conversation (by turn, nulls first;
     of one turn by role and text). Which occurrence is the first is found by aggregation, so a turn that half of a conversation repeats is no hot key.
     """
     own = [F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(" ")).alias("role"), F.coalesce(F.col(text), F.lit(" ")).alias("text")]
