@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
+from homestead.operators.neighbors import keep_nearest, matrix, squares
 from homestead.shared import written
 
 #: Rows of a chunk by number and bytes; pivots by number and bytes (they are broadcast); full chunks that one task compares with another; rows compared at once.
@@ -41,28 +42,13 @@ class Plan:
     kind: str
 
 
-def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of a and b, to about 1e-12 of the squared lengths."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
-
-
-def _slack(a: np.ndarray, b: np.ndarray) -> float:
-    """More than the error of _square."""
-    return 1e-11 * (float((a * a).sum(1).max(initial=0)) + float((b * b).sum(1).max(initial=0))) + 1e-300
-
-
-def _matrix(column: pa.Array, kind: str) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0), kind)
-
-
 def _assign(pivots: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column("vector"), kind).astype(float)
+            v = matrix(b.column("vector"), kind).astype(float)
             cell = np.empty(len(v), np.int32)
             for at in range(0, len(v), AT_ONCE):
-                cell[at : at + AT_ONCE] = _square(v[at : at + AT_ONCE], pivots).argmin(1)
+                cell[at : at + AT_ONCE] = squares(v[at : at + AT_ONCE], pivots)[0].argmin(1)
             r = np.sqrt(((v - pivots[cell]) ** 2).sum(1)) if len(v) else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(r, pa.float64())], [*b.schema.names, "cell", "r"])
 
@@ -86,9 +72,9 @@ def _pack(k: int, kind: str):
             radius = float(np.sqrt(((wide - middle) ** 2).sum(1).max()))
             thetas = np.full(len(ids), np.inf)
             if len(ids) > k:
-                slack = _slack(wide, wide)
                 for at in range(0, len(ids), AT_ONCE):
-                    thetas[at : at + AT_ONCE] = np.sqrt(np.partition(_square(wide[at : at + AT_ONCE], wide), k, axis=1)[:, k] + slack)
+                    d2, slack = squares(wide[at : at + AT_ONCE], wide)
+                    thetas[at : at + AT_ONCE] = np.sqrt(np.partition(d2, k, axis=1)[:, k] + slack)
             reach = float(np.partition(r, k)[k]) if len(r) > k else None
             row = {"chunk": part + nth, "cell": int(cell), "n": len(ids), "low": float(r.min()), "high": float(r.max()), "reach": reach, "middle": middle.tolist(), "radius": radius, "theta": float(thetas[asks].max(initial=0))}
             nth += 1
@@ -104,7 +90,7 @@ def _pack(k: int, kind: str):
         for b in batches:
             if not b.num_rows:
                 continue
-            v = _matrix(b.column("vector"), kind)
+            v = matrix(b.column("vector"), kind)
             ids, asks, cells, r = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "asks", "cell", "r"))
             most = max(1, min(CHUNK_ROWS, CHUNK_BYTES // max(1, v.shape[1] * v.itemsize)))
             at = 0
@@ -182,26 +168,14 @@ def _tile(k: int, kind: str):
         for ids, vectors in zip(df["ids"][df["role"] == 1], df["vectors"][df["role"] == 1], strict=True):
             ids = np.frombuffer(ids, np.int64)
             v = np.frombuffer(vectors, kind).reshape(len(ids), -1).astype(float)
-            slack = _slack(q, v)
             for at in range(0, len(q), AT_ONCE):
                 rows = slice(at, at + AT_ONCE)
-                d2 = _square(q[rows], v)
+                d2, slack = squares(q[rows], v)
                 edge = np.minimum(edge2[rows], best[rows, -1] ** 2)
                 if len(ids) > k:
                     edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
                 i, j = np.nonzero(d2 <= edge[:, None] * (1 + 1e-9) + slack)
-                if not len(i):
-                    continue
-                exact = np.sqrt(((q[at + i] - v[j]) ** 2).sum(1))
-                # the best so far and the new ones of the rows that have any, in order
-                some = np.unique(i)
-                old = np.repeat(some, k)
-                who, far, which = np.concatenate([old, i]), np.concatenate([best[at + some].ravel(), exact]), np.concatenate([best_ids[at + some].ravel(), ids[j]])
-                order = np.lexsort((which, far, who))
-                who, far, which = who[order], far[order], which[order]
-                begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                take = begin[:, None] + np.arange(k)
-                best[at + some], best_ids[at + some] = far[take], which[take]
+                keep_nearest(best_ids, best, at, i, ids[j], np.sqrt(((q[at + i] - v[j]) ** 2).sum(1)))
         r, c = np.nonzero(np.isfinite(best))
         return pd.DataFrame({"rep": names[r], "neighbour": best_ids[r, c], "distance": best[r, c]})
 

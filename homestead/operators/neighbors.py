@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homestead.functions import kernels, numbers
 
 #: Queries that one block, and so one pass over the rows, holds; queries whose distances to a batch of rows are held at once.
-MAX_QUERIES, AT_ONCE = 10_000, 64
+MAX_QUERIES, AT_ONCE = 10_000, 256
 
 
 def euclidean(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -41,41 +42,67 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id:
     return best.join(rows.select(F.col(row_id).alias("neighbour"), *keep), "neighbour") if keep else best
 
 
+def matrix(column: pa.Array, kind: str = "f8") -> np.ndarray:
+    """The rows of a column of arrays of one length; a null component is NaN."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0), kind)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances of all rows of a and b by a matrix product, and more than their error."""
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    return np.maximum(aa[:, None] + bb[None] - 2 * (a @ b.T), 0), 1e-11 * float(aa.max(initial=0) + bb.max(initial=0)) + 1e-300
+
+
+def keep_nearest(ids: np.ndarray, far: np.ndarray, start: int, i: np.ndarray, new_ids: np.ndarray, new_far: np.ndarray, places: np.ndarray | None = None, new_places: np.ndarray | None = None) -> None:
+    """Puts new neighbours, new_ids of the queries start + i, among the best of each query so far, by distance and then id."""
+    if not len(i):
+        return
+    some, k = np.unique(i), far.shape[1]
+    at = start + some
+    who, dist, which = np.concatenate([np.repeat(some, k), i]), np.concatenate([far[at].ravel(), new_far]), np.concatenate([ids[at].ravel(), new_ids])
+    order = np.lexsort((which, dist, who))
+    who = who[order]
+    begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+    take = order[begin[:, None] + np.arange(k)]
+    if places is not None:
+        places[at] = np.concatenate([places[at].reshape(-1, places.shape[2]), new_places])[take]
+    far[at], ids[at] = dist[take], which[take]
+
+
 def _block(asked: DataFrame, rows: DataFrame, k: int, row_id: str, vector: str, leave_self_out: bool, metric: Callable, carry: bool) -> DataFrame:
     found = asked.toPandas()  # at most about MAX_QUERIES vectors
-    held = asked.sparkSession.sparkContext.broadcast((found["query"].to_numpy(), np.array(found["q"].tolist(), float).reshape(len(found), -1)))
+    held = asked.sparkSession.sparkContext.broadcast((found["query"].to_numpy(np.int64), np.array(found["q"].tolist(), float).reshape(len(found), -1)))
+    product = metric is euclidean
 
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = held.value
-        parts = [slice(at, at + AT_ONCE) for at in range(0, len(names), AT_ONCE)]
-        best = [(np.empty((len(names[p]), 0), np.int64), np.empty((len(names[p]), 0))) for p in parts]
-        carried = [np.empty((len(names[p]), 0, q.shape[1])) for p in parts]
-        for batch in batches:
-            batch = batch[batch["v"].notna()]
-            if not len(batch):
+        ids, far = np.full((len(names), k), np.iinfo(np.int64).max), np.full((len(names), k), np.inf)
+        places = np.zeros((len(names), k, q.shape[1])) if carry else None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            own, v = batch["id"].to_numpy(), np.array(batch["v"].tolist(), float)
-            for i, p in enumerate(parts):
-                d = np.stack([metric(v, one) for one in q[p]])
+            own, v = b.column("id").to_numpy(zero_copy_only=False), matrix(b.column("v"))
+            for at in range(0, len(names), AT_ONCE):
+                part = slice(at, at + AT_ONCE)
+                d, slack = squares(q[part], v) if product else (np.stack([metric(v, one) for one in q[part]]), 0.0)
                 if leave_self_out:
-                    d[names[p][:, None] == own[None]] = np.inf
-                near, at = np.broadcast_to(own, d.shape), np.broadcast_to(np.arange(len(own)), d.shape)
-                if d.shape[1] > 4 * k:  # all that are as near as the k-th, and few others
-                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    most = int((d <= edge).sum(1).max())
-                    some = np.argpartition(d, min(most, d.shape[1]) - 1, axis=1)[:, :most]
-                    d, near, at = (np.take_along_axis(x, some, 1) for x in (d, near, at))
-                ids, far = np.concatenate([best[i][0], near], 1), np.concatenate([best[i][1], d], 1)
-                order = np.lexsort((ids, far), axis=1)[:, :k]
-                best[i] = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
-                if carry:
-                    carried[i] = np.take_along_axis(np.concatenate([carried[i], v[at]], 1), order[:, :, None], 1)
-        for i, (p, (ids, far)) in enumerate(zip(parts, best, strict=True)):
-            where = np.isfinite(far)
-            which, _ = np.nonzero(where)
-            yield pd.DataFrame({"query": names[p][which], "neighbour": ids[where], "distance": far[where]} | ({"at": list(carried[i][where])} if carry else {}))
-
-    return rows.select(F.col(row_id).alias("id"), F.col(vector).alias("v")).mapInPandas(top, "query bigint, neighbour bigint, distance double" + (", at array<double>" if carry else ""))
+                    d[names[part][:, None] == own[None]] = np.inf
+                edge = far[part, -1] ** 2 if product else far[part, -1]
+                if np.isinf(edge).any() and len(own) > k:
+                    edge = np.minimum(edge, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
+                i, j = np.nonzero((d <= edge[:, None] * (1 + 1e-9) + slack) & (d < np.inf))
+                exact = np.sqrt(((q[at + i] - v[j]) ** 2).sum(1)) if product else d[i, j]
+                keep_nearest(ids, far, at, i, own[j], exact, places, v[j] if carry else None)
+        where = np.isfinite(far)
+        which, _ = np.nonzero(where)
+        columns = {"query": pa.array(names[which]), "neighbour": pa.array(ids[where]), "distance": pa.array(far[where])}
+        if carry:
+            columns["at"] = pa.FixedSizeListArray.from_arrays(pa.array(places[where].ravel()), max(q.shape[1], 1)).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_pydict(columns)
+
+    given = rows.select(F.col(row_id).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v") if carry else F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return given.mapInArrow(top, "query bigint, neighbour bigint, distance double" + (", at array<double>" if carry else ""))
 
 
 def knn_average(neighbours: DataFrame, y: str, k: int) -> DataFrame:
