@@ -10,7 +10,7 @@ from homestead.catalog.chance import lot
 from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import BOTH, NEAR, near, places
 from homestead.functions import dates
-from homestead.operators import aggregates, comparison, joins, neighbor_cache, neighbor_join, neighbors, search, validation
+from homestead.operators import aggregates, comparison, joins, models, neighbor_cache, neighbor_join, neighbors, search, validation
 from homestead.shared import shared_dir
 from homestead.sources import delimited, typed_table
 
@@ -46,6 +46,18 @@ def prior_sale_as_of(t: Tables):
     return out.select("o_orderkey", "prior_o_orderkey", "prior_o_totalprice", "prior_o_orderdate")
 
 
+@query("""WITH i AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, avg(o_totalprice) AS level FROM orders GROUP BY 1, 2),
+given AS (SELECT o_custkey, o_orderdate, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1, 2)
+SELECT o_orderkey, round(price * now.level / past.level, 2) AS estimate FROM (SELECT a.*, g.price, g.o_orderdate AS d FROM orders a ASOF LEFT JOIN given g ON a.o_custkey = g.o_custkey AND a.o_orderdate > g.o_orderdate) s
+LEFT JOIN i now ON now.y = year(s.o_orderdate) AND now.m = month(s.o_orderdate) LEFT JOIN i past ON past.y = year(d) AND past.m = month(d)""")
+def index_model_as_of(t: Tables):
+    """Each order's price from the customer's last order before it and the index of both months."""
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    index = rows.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("level"))
+    out = models.index_model_as_of(rows.drop("o_totalprice"), rows, index, "o_custkey", "o_orderdate", ["o_orderkey"], "o_totalprice")
+    return out.select("o_orderkey", F.round("estimate", 2).alias("estimate"))
+
+
 def settings(t: Tables):
     """Numbers of neighbours and metres a year, from the regions."""
     return search.combined(t.region.select((2 + 3 * F.col("r_regionkey")).cast("int").alias("k")), t.nation.select((2000.0 * (1 + F.col("n_regionkey"))).alias("metres")))

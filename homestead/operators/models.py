@@ -6,7 +6,7 @@ from pyspark.ml import classification, evaluation, feature, regression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homestead.operators import sampling
+from homestead.operators import joins, sampling
 from homestead.operators.resampling import bootstrap_difference  # noqa: F401
 
 
@@ -104,6 +104,18 @@ def index_model(queries: DataFrame, sales: DataFrame, index: DataFrame, key: str
     return queries.join(priced, key, "left")
 
 
+def index_model_as_of(queries: DataFrame, sales: DataFrame, index: DataFrame, key: str, at: str, order: list[str], price: str) -> DataFrame:
+    """queries with prior_<price>, prior_<at> and estimate: the price of the key's last sale before the query's time, times the index of the query's month to that of the sale's.
+
+    Null without an earlier sale, or where the index (year, month, level) lacks a month. Of sales at one time the first in `order` counts.
+    """
+    rows = joins.as_of(queries, sales, key, at, [price], order)
+    for name, day in (("__now", at), ("__then", f"prior_{at}")):
+        months = index.select(F.col("year").alias("__y"), F.col("month").alias("__m"), F.col("level").alias(name))
+        rows = rows.join(months, (F.year(day) == F.col("__y")) & (F.month(day) == F.col("__m")), "left").drop("__y", "__m")
+    return rows.withColumn("estimate", F.try_divide(F.col(f"prior_{price}") * F.col("__now"), F.col("__then"))).drop("__now", "__then")
+
+
 def by_formula(df: DataFrame, formula: str):
     """Least squares by a formula like "y ~ a + b"; text columns become indicators of their values but the rarest. Returns the fitted formula and model."""
     shape = feature.RFormula(formula=formula, handleInvalid="skip").fit(df)
