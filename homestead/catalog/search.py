@@ -11,7 +11,7 @@ from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import BOTH, NEAR, near, places
 from homestead.functions import dates
 from homestead.operators import aggregates, comparison, joins, models, neighbor_cache, neighbor_join, neighbors, search, validation
-from homestead.shared import shared_dir
+from homestead.shared import shared_dir, written
 from homestead.sources import delimited, typed_table
 
 ALL = NEAR.replace("a.vec_id % 100 = 0 AND ", "")
@@ -29,7 +29,7 @@ def cache_reestimate(t: Tables):
     """Neighbours of every row kept in shards with their labels, one shard of them stale and then replaced; estimates from the table."""
     name = f"neighbours_{uuid.uuid4().hex[:12]}"
     labels = t.embeddings.select(F.col("vec_id").alias("neighbour"), "label")
-    found = neighbor_join.nearest_of_all(t.embeddings, 10, "vec_id", "embedding").join(labels, "neighbour")
+    found = written(neighbor_join.nearest_of_all(t.embeddings, 10, "vec_id", "embedding").join(labels, "neighbour"), "neighbours")
     stale = neighbor_cache.shard_of(F.col("query"), 8) == 3
     neighbor_cache.keep(found.withColumn("label", F.when(stale, F.col("label") + 100).otherwise(F.col("label"))), name, 8, 16)
     table = neighbor_cache.replace(t.spark, name, found.where(stale), 8, 16)
