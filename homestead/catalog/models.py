@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from homestead.catalog.chance import low_rank
 from homestead.catalog.registry import Tables, query
 from homestead.catalog.vectors import NEAR, near
 from homestead.operators import aggregates, completion, dictionary, frame, models, neighbors, validation
@@ -70,14 +71,6 @@ def als_complete(t: Tables):
     return fitted.transform(cells).select("row", "column", F.round("value", 4).alias("value"), F.round("prediction", 4).alias("prediction"))
 
 
-def low_rank(t: Tables):
-    """A matrix of rank 2 over parcels (numbers of ten digits) and months, of which a part of the cells is known."""
-    k, m = F.col("c_custkey"), F.col("m")
-    value = (1 + k % 7) * (10 + m) + (k % 5) * (m % 4)
-    cells = t.customer.select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
-    return cells.select((7_000_000_000 + k).alias("parcel"), m.alias("month"), value.cast("double").alias("price"), ((k * 31 + m * 17) % 10 < 7).alias("known"))
-
-
 @query("SELECT 7000000000 + c_custkey AS parcel, CAST(m AS INTEGER) AS month, true AS close FROM customer, range(1, 13) r(m)")
 def completed_errors(t: Tables):
     """Errors of a constant estimate, known for seven cells in ten, completed at rank 3: every corrected estimate is close to the price."""
