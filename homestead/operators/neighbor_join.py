@@ -172,7 +172,7 @@ def _tile(k: int, kind: str):
                 rows = slice(at, at + AT_ONCE)
                 d2, slack = squares(q[rows], v)
                 edge = np.minimum(edge2[rows], best[rows, -1] ** 2)
-                if len(ids) > k:
+                if np.isinf(edge).any() and len(ids) > k:  # without a bound from the chunk itself
                     edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
                 i, j = np.nonzero(d2 <= edge[:, None] * (1 + 1e-9) + slack)
                 keep_nearest(best_ids, best, at, i, ids[j], np.sqrt(((q[at + i] - v[j]) ** 2).sum(1)))
