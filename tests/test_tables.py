@@ -10,6 +10,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from homestead import catalog
 from homestead.operators import aggregates, comparison, completion, dictionary, neighbors, resampling
 from homestead.sources import delimited, observed, typed_table
 
@@ -51,6 +52,11 @@ def test_completion_finds_a_matrix_of_known_rank(spark):
     assert [tuple(r) for r in completion.first_cells(twice, "r", "c", "v", "o").collect()] == [(1, "a", 3.0)]
 
 
+def test_completion_does_not_depend_on_its_first_start(spark):
+    """On these customers the first start of the solver ends far from the best fit."""
+    assert catalog.QUERIES["completed_errors"](spark, "/root/testdata/sf0.1").where("close").count() == 180_000
+
+
 def test_scans_count_and_write_rejects_beside_in_one_pass(spark, tmp_path):
     lines = ["1\t2.5\tx", "2\t\ty", "3\tz\tx", "4\t1", "", "5\t9.0\tx\t", "6\t50\tx", "7\t1\t"]
     (tmp_path / "in.txt").write_text("\n".join(lines) + "\n")
