@@ -282,7 +282,7 @@ def completion_ranks(t: Tables):
     """Completions of a matrix of rank 2: over the same held-out cells that of rank 2 is close, that of rank 1 is not."""
     cells = low_rank(t).where("known").select("parcel", "month", "price")
     out = completion.completion_search(cells, "parcel", "month", "price", [1, 2], [1e-4], iterations=20)
-    return out.select("rank", "ridge", "cells", (F.col("rmse") < 0.1).alias("close"))
+    return out.select("rank", "ridge", "cells", (F.col("rmse_determined") < 0.1).alias("close"))
 
 
 @query("""WITH r AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'fields' WHEN o_orderkey % 13 = 0 THEN 'price' WHEN o_totalprice > 400000 THEN 'not huge' WHEN o_orderpriority = '5-LOW' THEN 'urgent' END AS reason FROM orders),

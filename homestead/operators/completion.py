@@ -95,16 +95,25 @@ def _starts(solver: recommendation.ALS, cells: DataFrame, seed: int, good: float
 
 
 def completion_search(cells: DataFrame, row: str, column: str, value: str, ranks: list[int], ridges: list[float], held: float = 0.2, seed: int = 1, iterations: int = 10) -> DataFrame:
-    """rank, ridge, cells, rmse for each setting over the same held-out cells, drawn by a hash of row and column key; those of unknown rows and columns are left out."""
+    """rank, ridge, cells, rmse, rmse_determined for each setting over the same held-out cells, drawn by a hash of row and column key; those of unknown rows and columns are left out.
+
+    rmse_determined is that of the cells whose row and column have as many learned cells as the largest rank; with fewer,
+    many completions fit equally well.
+    """
     first = first_cells(cells, row, column, value)
     lot = sampling.uniform(F.concat_ws(":", F.col(row).cast("string"), F.col(column).cast("string")), seed)
     train, test = first.where(lot >= held), first.where(lot < held).withColumnRenamed(value, "__actual")
     keys = keys_of(train, row, column)
+    for c in (row, column):
+        test = test.join(keys.where((F.col("column") == c) & (F.col("n") >= max(ranks))).select(F.col("value").alias(f"__{c}_known")), F.col(c).cast("string") == F.col(f"__{c}_known"), "left")
+    test = test.select(row, column, "__actual", (F.col(f"__{row}_known").isNotNull() & F.col(f"__{column}_known").isNotNull()).alias("__determined"))
     parts = []
     for rank in ranks:
         for ridge in ridges:
             made = complete_matrix(train, row, column, value, rank, ridge, iterations, seed, keys=keys).transform(test)
-            parts.append(made.agg(F.count(F.lit(1)).alias("cells"), F.sqrt(F.avg(F.pow(F.col("__actual") - F.col("prediction"), 2))).alias("rmse")).select(F.lit(rank).alias("rank"), F.lit(ridge).alias("ridge"), "cells", "rmse"))
+            off = F.pow(F.col("__actual") - F.col("prediction"), 2)
+            errors_of = made.agg(F.count(F.lit(1)).alias("cells"), F.sqrt(F.avg(off)).alias("rmse"), F.sqrt(F.avg(F.when(F.col("__determined"), off))).alias("rmse_determined"))
+            parts.append(errors_of.select(F.lit(rank).alias("rank"), F.lit(ridge).alias("ridge"), "cells", "rmse", "rmse_determined"))
     return reduce(DataFrame.unionByName, parts)
 
 

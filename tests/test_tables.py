@@ -57,6 +57,17 @@ def test_completion_does_not_depend_on_its_first_start(spark):
     assert catalog.QUERIES["completed_errors"](spark, "/root/testdata/sf0.1").where("close").count() == 180_000
 
 
+def test_held_out_cells_that_no_learned_cells_determine_are_told_apart(spark):
+    """One row has a single learned cell; at rank 2 nothing says what its others are."""
+    k, m = F.col("k"), F.col("m")
+    df = spark.range(1, 301).withColumnRenamed("id", "k").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("v", ((1 + k % 7) * (10 + m) + (k % 5) * (m % 4) * 5).cast("double"))
+    lot = completion.sampling.uniform(F.concat_ws(":", k.cast("string"), m.cast("string")), 1)
+    one = df.where((lot < 0.2) & (k % 5 > 1)).groupBy("k").count().orderBy(F.desc("count"), "k").first()["k"]
+    first = df.where(k == one).where(lot >= 0.2).agg(F.min("m")).first()[0]
+    rows = completion.completion_search(df.where((k != one) | (lot < 0.2) | (m == first)), "k", "m", "v", [2], [1e-4], iterations=20).collect()
+    assert rows[0]["cells"] == df.where(lot < 0.2).count() and rows[0]["rmse_determined"] < 0.1 and rows[0]["rmse_determined"] < rows[0]["rmse"]
+
+
 def test_scans_count_and_write_rejects_beside_in_one_pass(spark, tmp_path):
     lines = ["1\t2.5\tx", "2\t\ty", "3\tz\tx", "4\t1", "", "5\t9.0\tx\t", "6\t50\tx", "7\t1\t"]
     (tmp_path / "in.txt").write_text("\n".join(lines) + "\n")
