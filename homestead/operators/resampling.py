@@ -18,25 +18,36 @@ from homestead.operators.frame import running_total
 BLOCK = 250
 
 
+def _name(key: Column, resample: Column) -> Column:
+    return F.concat_ws(":", key.cast("string"), resample.cast("string"))
+
+
 def lots(key: Column, resample: Column, seed: int) -> Column:
     """A number in [0, 1) for each key and resample."""
-    return sampling.uniform(F.concat_ws(":", key.cast("string"), resample.cast("string")), seed)
+    return sampling.uniform(_name(key, resample), seed)
 
 
-def poisson_weight(u: Column) -> Column:
-    """How often a row is in a bootstrap resample: a Poisson number of mean 1."""
+def poisson_weight(digits: Column) -> Column:
+    """How often a row is in a bootstrap resample: a Poisson number of mean 1, from the digits of a lot (of sampling.digits), which are compared as they are."""
     term, total, weight = 0.36787944117144233, 0.0, F.lit(0)
     for k in range(8):
         total += term
-        weight = weight + (u >= total).cast("int")
+        weight = weight + (digits >= f"{math.ceil(total * (1 << 52)):013x}").cast("int")
         term /= k + 1
     return weight
 
 
+def _resampled(rows: DataFrame, resamples: int) -> DataFrame:
+    """Each row once for each resample. Rows are dealt over all tasks first: a file that one task reads may give many times its rows here."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+
+
 def _sums(rows: DataFrame, resamples: int, seed: int, parts) -> DataFrame:
-    """resample and the sums that `parts` (a function of lot) names."""
-    numbered = rows.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    return numbered.withColumn("__u", lots(F.col("__k"), F.col("resample"), seed)).groupBy("resample").agg(*parts(F.col("__u")))
+    """resample and the sums that `parts` (a function of the weight) names."""
+    lot = _resampled(rows, resamples).withColumn("__d", sampling.digits(_name(F.col("__k"), F.col("resample")), seed))
+    return lot.withColumn("__w", poisson_weight(F.col("__d"))).groupBy("resample").agg(*parts(F.col("__w")))
 
 
 def difference_significance(df: DataFrame, key: str, group: str, a: str, b: str, value: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
@@ -47,7 +58,7 @@ def difference_significance(df: DataFrame, key: str, group: str, a: str, b: str,
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(key).alias("__k"), F.col(group).alias("__g"), F.col(value).alias("__v"))
     observed = rows.agg((F.avg(F.when(F.col("__g") == a, F.col("__v"))) - F.avg(F.when(F.col("__g") == b, F.col("__v")))).alias("observed"), F.avg((F.col("__g") == a).cast("double")).alias("share"))
     first = F.col("__u") < F.col("share")
-    dealt = rows.crossJoin(F.broadcast(observed)).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("__u", lots(F.col("__k"), F.col("resample"), seed))
+    dealt = _resampled(rows.crossJoin(F.broadcast(observed)), resamples).withColumn("__u", lots(F.col("__k"), F.col("resample"), seed))
     means = dealt.groupBy("resample", "observed").agg((F.avg(F.when(first, F.col("__v"))) - F.avg(F.when(~first, F.col("__v")))).alias("d"))
     beyond = F.when(F.col("observed") < 0, F.col("d") <= F.col("observed")).otherwise(F.col("d") >= F.col("observed"))
     return means.groupBy("observed").agg(F.avg(beyond.cast("double")).alias("probability"))
@@ -56,7 +67,7 @@ def difference_significance(df: DataFrame, key: str, group: str, a: str, b: str,
 def mean_interval(df: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 1, level: float = 0.9) -> DataFrame:
     """mean, low and high: the bias-corrected percentile interval of a mean."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("__k"), F.col(value).alias("__v"))
-    sums = _sums(rows, resamples, seed, lambda u: [F.try_divide(F.sum(poisson_weight(u) * F.col("__v")), F.sum(poisson_weight(u))).alias("m")])
+    sums = _sums(rows, resamples, seed, lambda w: [F.try_divide(F.sum(w * F.col("__v")), F.sum(w)).alias("m")])
     whole = rows.agg(F.avg("__v").alias("mean"))
     kept = sums.where("m IS NOT NULL").crossJoin(F.broadcast(whole)).groupBy("mean").agg(F.avg((F.col("m") < F.col("mean")).cast("double")).alias("below"), F.array_sort(F.collect_list("m")).alias("ms"))  # one number a resample
     z0, z = normal_quantile(F.col("below")), normal_quantile(F.lit(0.5 + level / 2))
@@ -72,8 +83,8 @@ def mean_interval(df: DataFrame, key: str, value: str, resamples: int = 1000, se
 def bootstrap_difference(df: DataFrame, group: str, a: str, b: str, value: str, resamples: int = 1000, seed: int = 1, level: float = 0.95, key: str | None = None) -> DataFrame:
     """Mean difference between groups a and b over the resamples and its percentile interval. key: names rows; without one their places do, which depend on partitions."""
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select((F.col(key) if key else F.monotonically_increasing_id()).alias("__k"), F.col(group).alias("__g"), F.col(value).alias("__v"))
-    mean = lambda u, g: F.try_divide(F.sum(F.when(F.col("__g") == g, poisson_weight(u) * F.col("__v"))), F.sum(F.when(F.col("__g") == g, poisson_weight(u))))
-    means = _sums(rows, resamples, seed, lambda u: [(mean(u, a) - mean(u, b)).alias("d")])
+    mean = lambda w, g: F.try_divide(F.sum(F.when(F.col("__g") == g, w * F.col("__v"))), F.sum(F.when(F.col("__g") == g, w)))
+    means = _sums(rows, resamples, seed, lambda w: [(mean(w, a) - mean(w, b)).alias("d")])
     tail = (1 - level) / 2
     return means.agg(F.avg("d").alias("difference"), F.percentile("d", tail).alias("low"), F.percentile("d", 1 - tail).alias("high"))
 

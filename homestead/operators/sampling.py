@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from homestead.operators.frame import global_ordinal
 
 
+def digits(key: Column, seed: int) -> Column:
+    """52 random bits for each key and seed, as 13 hexadecimal digits; null for a null key."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 13)
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) with 52 random bits for each key and seed; null for a null key."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
+    return F.conv(digits(key, seed), 16, 10).cast("long") / float(1 << 52)
 
 
 def labelled(df: DataFrame, key: str, shares: dict[str, float], seed: int = 1, name: str = "part") -> DataFrame:

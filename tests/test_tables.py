@@ -128,6 +128,14 @@ def test_typed_tables_are_split_and_filtered_in_the_source(spark, tmp_path):
         typed_table.read_typed_table(spark, str(tmp_path / "t"), "tq", ["a", "b"]).count()
 
 
+def test_resamples_of_one_small_file_are_dealt_over_tasks(spark):
+    rows = spark.range(0, 100, 1, 1).select(F.col("id").alias("__k"), F.col("id").cast("double").alias("__v"))
+    assert resampling._resampled(rows, 50).rdd.getNumPartitions() >= 4
+    own = rows.select(resampling.poisson_weight(resampling.sampling.digits(F.col("__k"), 3)).alias("w"), resampling.sampling.uniform(F.col("__k"), 3).alias("u")).collect()
+    cuts = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(8)]
+    assert [r["w"] for r in own] == [sum(r["u"] >= c for c in cuts) for r in own]
+
+
 def test_distribution_functions(spark):
     one = spark.createDataFrame([(z,) for z in (-9.0, -3.0, -0.5, 0.0, 1.0, 2.5, 7.5, 9.0)], "z double")
     for r in one.select("z", resampling.normal_cdf(F.col("z")).alias("p")).collect():
