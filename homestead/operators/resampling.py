@@ -7,7 +7,10 @@ are sums that combine before the shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +129,36 @@ def gamma_cdf(x: Column, shape: Column) -> Column:
     return F.when(x <= 0, 0.0).when(x > shape + 8 * F.sqrt(shape) + 40, 1.0).otherwise(F.exp(shape * F.log(x) - x - log_gamma(shape + 1)) * series)
 
 
+def _in_batches(step) -> Callable[..., Column]:
+    """The sum of a series of at most TERMS terms, from 1, over Arrow batches; step(x, n, shape) gives the ratio of a term to the one before. A batch stops where no term counts any more."""
+
+    def run(x: pd.Series, shape: pd.Series) -> pd.Series:
+        at, a = x.to_numpy(float), shape.to_numpy(float)
+        term, total = np.ones(len(at)), np.ones(len(at))
+        for n in range(1, TERMS + 1):
+            term = term * step(at, n, a)
+            total += term
+            if not (term > 1e-18 * total).any():
+                break
+        return pd.Series(total)
+
+    return F.pandas_udf(run, "double")
+
+
+def many_normal_cdf(z: Column) -> Column:
+    """normal_cdf for a column of many rows."""
+    series = _in_batches(lambda x, n, a: x * x / (2 * n + 1))
+    near = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
+    return F.when(z > 8, 1.0).when(z < -8, 0.0).otherwise(0.5 + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * z * series(near, F.lit(0.0)))
+
+
+def many_gamma_cdf(x: Column, shape: Column) -> Column:
+    """gamma_cdf for a column of many rows."""
+    series = _in_batches(lambda x, n, a: x / (a + n))
+    near = F.least(F.greatest(x, F.lit(0.0)), shape + 8 * F.sqrt(shape) + 40)
+    return F.when(x <= 0, 0.0).when(x > shape + 8 * F.sqrt(shape) + 40, 1.0).otherwise(F.exp(shape * F.log(x) - x - log_gamma(shape + 1)) * series(near, shape))
+
+
 def empirical(df: DataFrame, value: str) -> DataFrame:
     """value, n, below and upto: how many rows have each value, and the shares of rows below it and up to it.
 
@@ -146,8 +179,8 @@ def fit_distances(df: DataFrame, value: str) -> DataFrame:
     fits = fitted_distributions(positive, value).agg(*(F.max(F.when(F.col("distribution") == d, F.struct("first", "second"))).alias(d) for d in ("lognormal", "gamma", "weibull")))
     x = F.col("value")
     cdf = {
-        "lognormal": normal_cdf((F.log(x) - F.col("lognormal.first")) / F.col("lognormal.second")),
-        "gamma": gamma_cdf(x * F.col("gamma.second"), F.col("gamma.first")),
+        "lognormal": many_normal_cdf((F.log(x) - F.col("lognormal.first")) / F.col("lognormal.second")),
+        "gamma": many_gamma_cdf(x * F.col("gamma.second"), F.col("gamma.first")),
         "weibull": 1 - F.exp(-F.pow(x / F.col("weibull.second"), F.col("weibull.first"))),
     }
     placed = empirical(positive, value).crossJoin(F.broadcast(fits)).select("below", "upto", *(c.alias(d) for d, c in cdf.items()))

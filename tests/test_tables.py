@@ -149,6 +149,13 @@ def test_distribution_functions(spark):
         assert r["l"] == pytest.approx(math.lgamma(r["a"] + 1), abs=1e-10) and r["p"] == pytest.approx(area, abs=2e-3 if r["a"] < 1 else 1e-6)
 
 
+def test_distribution_functions_of_many_rows(spark):
+    df = spark.range(0, 400).select(((F.col("id") - 200) / 20).alias("z"), (F.col("id") / 4).alias("x"), F.lit(2.3).alias("a"))
+    z, x, a = F.col("z"), F.col("x"), F.col("a")
+    off = df.agg(F.max(F.abs(resampling.normal_cdf(z) - resampling.many_normal_cdf(z))), F.max(F.abs(resampling.gamma_cdf(x, a) - resampling.many_gamma_cdf(x, a)))).first()
+    assert max(off) < 1e-12
+
+
 def test_empirical_distributions(spark):
     df = spark.createDataFrame([(x,) for x in (2.0, 1.0, 2.0, 5.0, None, float("nan"))], "x double")
     assert [tuple(r) for r in resampling.empirical(df, "x").orderBy("value").collect()] == [(1.0, 1, 0.0, 0.25), (2.0, 2, 0.25, 0.75), (5.0, 1, 0.75, 1.0)]
