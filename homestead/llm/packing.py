@@ -14,7 +14,9 @@ filled, is cut into powers of two.
 from __future__ import annotations
 
 import bisect
+import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,38 +32,80 @@ TIERS = (256, 512, 1024, 2048)
 POOL_PIECES, POOL_TOKENS = 4096, 2_000_000
 #: Windows that one step of training takes.
 STEP_WINDOWS = 16
-#: Bytes of words and their ids that a worker remembers, with what Python adds to each.
-MEMO_BYTES, MEMO_ENTRY = 64 << 20, 190
+#: Bytes of words and of pieces of words, with their ids, that a worker remembers; what Python adds to each; strings met once that are told apart.
+WORD_BYTES, PIECE_BYTES, MEMO_ENTRY, MARKS = 128 << 20, 128 << 20, 190, 1 << 22
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint"
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: White space for Python, but not for the tokenizer.
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: How a tokenizer is made whose words fall into pieces as PIECE says, when they are in lower case and of PLAIN letters only.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+LETTERS = "a-zß-öø-ÿа-яё"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+PLAIN = "\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿА-яЁё«»‘’“”–—…€"
+#: The letters that a tokenizer of bytes has for them.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
 
 class Memo(dict):
-    """The ids (little-endian unsigned 32-bit) of words; those met first are remembered."""
+    """The ids of strings; the first are remembered, with `twice` the first of those that are met again."""
+
+    def __init__(self, ids: Callable[[str], bytes], room: int, twice: bool):
+        super().__init__()
+        self.ids, self.room, self.met = ids, room, bytearray(b"\0" if twice else b"\1") * MARKS
+
+    def __missing__(self, text: str) -> bytes:
+        own, mark = self.ids(text), hash(text) % MARKS
+        if not self.met[mark]:
+            self.met[mark] = 1
+        elif self.room > 0 and len(text) < 100:
+            self[text] = own
+            self.room -= MEMO_ENTRY + 2 * len(text) + len(own)
+        return own
+
+
+class Encoder:
+    """The token ids (little-endian unsigned 32-bit) of texts.
+
+    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its
+    words in order. A new word of plain letters, where the tokenizer is made as stated above, has those of its pieces, for which only
+    the tokenizer's model is asked; other words go to the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.room = Tokenizer.from_file(path), MEMO_BYTES
-
-    def ids(self, text: str) -> bytes:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        first, *more = (made["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+        plain = made["model"]["type"] == "BPE" and (made["normalizer"] or {}).get("normalizers") == NORMALIZERS and first == SPLIT
+        plain = plain and [(m["type"], m["add_prefix_space"], m["use_regex"]) for m in more] == [("ByteLevel", False, False)]
+        plain = plain and not any(t["normalized"] for t in made["added_tokens"]) and not made["truncation"] and not made["padding"]
+        odd = [f"[^{PLAIN}]", *(re.escape(t["content"]) for t in made["added_tokens"])]
+        self.odd = re.compile("|".join(odd) if plain else "")
+        self.words, self.pieces = Memo(self.word, WORD_BYTES, True), Memo(self.piece, PIECE_BYTES, False)
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def met(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are not remembered, all tokenized at once and told apart by where their tokens start."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        ids, at = np.array(found.ids, "<u4").tobytes(), np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-        ends = (np.searchsorted(at, starts) * 4).tolist()
-        new = {w: ids[ends[i] : ends[i + 1]] for i, w in enumerate(words)}
-        for w, own in new.items():
-            if self.room > 0 and len(w) < 100:
-                self[w] = own
-                self.room -= MEMO_ENTRY + 2 * len(w) + len(own)
-        return new
+    def word(self, word: str) -> bytes:
+        return self.whole(word) if self.odd.search(word) else b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(BYTES)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
+    def __call__(self, text: str) -> bytes:
+        if any(c in text for c in ODD_SPACE):
+            return self.whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
-_memos: dict[str, Memo] = {}
+
+_encoders: dict[str, Encoder] = {}
 
 
 def default_tokenizer_file() -> str:
@@ -70,27 +114,11 @@ def default_tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its token ids.
-
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its
-    words in order.
-    """
-    if path not in _memos:
-        _memos[path] = Memo(path)
-    memo = _memos[path]
-
-    def ids(text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return memo.ids(text)
-        words = text.split()
-        own = list(map(memo.get, words))
-        if None in own:
-            new = memo.met(list(dict.fromkeys(w for w, i in zip(words, own, strict=True) if i is None)))
-            own = [new[w] if i is None else i for w, i in zip(words, own, strict=True)]
-        return b"".join(own)
-
-    return ids
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, which lives as long as the worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Queue:

@@ -131,6 +131,25 @@ def test_packing_covers_every_token_once(spark):
     assert packing.pack(frame(spark, ["a b", "a b", "c"], [None, None, 4])).count() >= 3
 
 
+def test_packing_asks_the_tokenizer_for_pieces_of_words_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer_file()
+    tok, ids = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(9)
+    bits = ["'s", "'S", "'Re", "''", "<|endoftext|>", "<|end", "\x1f", "\x85", "\u00a0", "e\u0301", "\u0130", "\u03a3", "\ufb01", "\u00bd", "\u4e00", "_#", "12", "\u00df", "\u00c9t\u00e9", "\u0401\u0436", "\u2019", "\u00ab", "\U0001f600", *"abCD.,'! \n\x00"]
+    for _ in range(4000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        assert ids(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    asked = []
+    fresh = packing.Encoder(path)
+    for name in ("whole", "piece"):
+        monkeypatch.setattr(fresh, name, lambda text, of=getattr(fresh, name): asked.append(text) or of(text))
+    fresh.pieces.ids = fresh.piece
+    fresh("Qorvane qorvane, (QORVANE) qorvane's 'Qorvane' \u00dcbrax \u00fcbrax! qorvane.")
+    assert sorted(asked) == sorted({"qorvane", ",", "(", ")", "'s", "'", "\u00fcbrax", "!", "."})
+
+
 def test_packing_deals_long_texts_to_groups_of_like_size_and_cost(spark):
     rng = random.Random(4)
     texts = [prose(rng, 40_000) for _ in range(6)] + [prose(rng, rng.randint(20, 900)) for _ in range(60)]
