@@ -155,6 +155,48 @@ def plan(rows: DataFrame, k: int, row_id: str, vector: str) -> Plan:
     return Plan(plain, listed, chunks, written(pairs, "neighbour-pairs"), kind)
 
 
+class _Rough:
+    """Pairs of rows that may lie within given distances of each other, by a matrix product in single precision around the middle of the first rows.
+
+    Rows are scaled to lengths of at most 1; of x and y, x.y - y.y / 2 is at least (x.x - distance^2) / 2 then. The most that rounding takes from it
+    is let through, so no pair is lost. Where that can't be told (infinite or vanishing rows) or lets too many through, `pairs` gives None.
+    """
+
+    def __init__(self, q: np.ndarray):
+        self.middle = q.mean(0)
+        x = q - self.middle
+        self.xx, self.long = (x * x).sum(1), float(np.sqrt((q * q).sum(1).max()))
+        self.scale = self.power(self.xx)
+        self.x = np.column_stack([x / self.scale, np.ones(len(x))]).astype("f4") if self.scale else None
+
+    @staticmethod
+    def power(squared: np.ndarray) -> float:
+        """A power of two that no length exceeds, 0 if there is none that can be reckoned with."""
+        most = float(np.sqrt(squared.max()))
+        return float(2.0 ** np.ceil(np.log2(most) + 1e-9)) if 1e-100 < most < 1e100 else 0.0
+
+    def meet(self, v: np.ndarray) -> None:
+        y = v - self.middle
+        yy = (y * y).sum(1)
+        other = self.power(yy)
+        self.s = max(self.scale, other) if self.scale and other else 0.0
+        if self.s:
+            self.y = np.column_stack([y / self.s, yy / (-2 * self.s**2)]).astype("f4").T
+            self.slack = (v.shape[1] + 8) * 2.0**-23 + 2.0**-48 * max(self.long, float(np.sqrt((v * v).sum(1).max()))) / self.s
+
+    def pairs(self, rows: slice, edge2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+        if not self.s or not self.slack < 1:
+            return None
+        x = self.x[rows] * np.float32(self.scale / self.s)
+        x[:, -1] = 1
+        near = x @ self.y
+        least = np.maximum((self.xx[rows] - edge2) / self.s**2 / 2 - self.slack, -4)
+        if np.isinf(edge2).any() and near.shape[1] > k:  # without a bound from the chunk itself
+            least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - 2 * self.slack)
+        found = np.flatnonzero(near >= least.astype("f4")[:, None])
+        return np.divmod(found, near.shape[1]) if len(found) <= 8 * k * len(x) else None
+
+
 def _tile(k: int, kind: str):
     """The k nearest of each asking row of one chunk (role 0) among the rows of some chunks (role 1)."""
 
@@ -164,17 +206,24 @@ def _tile(k: int, kind: str):
         q = np.frombuffer(own["vectors"], kind).reshape(len(names), -1).astype(float)[asks]
         names = names[asks]
         edge2 = np.minimum(np.frombuffer(own["thetas"], float)[asks], own["bound"]) ** 2
+        if not len(q):
+            return pd.DataFrame({"rep": names, "neighbour": names, "distance": np.empty(0)})
+        rough = _Rough(q)
         best_ids, best = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), np.inf)
         for ids, vectors in zip(df["ids"][df["role"] == 1], df["vectors"][df["role"] == 1], strict=True):
             ids = np.frombuffer(ids, np.int64)
             v = np.frombuffer(vectors, kind).reshape(len(ids), -1).astype(float)
+            rough.meet(v)
             for at in range(0, len(q), AT_ONCE):
                 rows = slice(at, at + AT_ONCE)
-                d2, slack = squares(q[rows], v)
                 edge = np.minimum(edge2[rows], best[rows, -1] ** 2)
-                if np.isinf(edge).any() and len(ids) > k:  # without a bound from the chunk itself
-                    edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
-                i, j = np.nonzero(d2 <= edge[:, None] * (1 + 1e-9) + slack)
+                found = rough.pairs(rows, edge * (1 + 1e-9), k)
+                if found is None:
+                    d2, slack = squares(q[rows], v)
+                    if np.isinf(edge).any() and len(ids) > k:
+                        edge = np.minimum(edge, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
+                    found = np.nonzero(d2 <= edge[:, None] * (1 + 1e-9) + slack)
+                i, j = found
                 keep_nearest(best_ids, best, at, i, ids[j], np.sqrt(((q[at + i] - v[j]) ** 2).sum(1)))
         r, c = np.nonzero(np.isfinite(best))
         return pd.DataFrame({"rep": names[r], "neighbour": best_ids[r, c], "distance": best[r, c]})

@@ -44,6 +44,27 @@ def test_neighbours_of_all_rows(spark, monkeypatch, copies):
     assert sizes.agg(F.max("n")).first()[0] <= 60
 
 
+@pytest.mark.parametrize("case", ["plain", "afar", "tiny", "huge", "infinite", "near copies"])
+def test_chunks_are_compared_in_single_precision_without_loss(monkeypatch, case):
+    """Vectors without clusters need no distances in double but those of pairs that pass; odd ones have them all, with the same neighbours."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 1, (900, 24))
+    v = {"afar": v + 1e9, "tiny": v * 1e-150, "huge": v * 1e120, "near copies": v[:1] + v * 1e-7}.get(case, v)
+    if case == "infinite":
+        v[[3, 700], 2] = np.inf
+    ids = rng.permutation(900).astype(np.int64)
+    blobs = [{"role": role, "bound": np.inf, "ids": ids[at : at + 300].tobytes(), "asks": np.ones(300, bool).tobytes(), "thetas": np.full(300, np.inf).tobytes(), "vectors": v[at : at + 300].tobytes()} for role, at in ((0, 0), (1, 0), (1, 300), (1, 600))]
+    whole = []
+    monkeypatch.setattr(neighbor_join, "squares", lambda *a: whole.append(1) or neighbors.squares(*a))
+    with np.errstate(all="ignore"):
+        got = neighbor_join._tile(4, "f8")(pd.DataFrame(blobs)).groupby("rep")[["neighbour", "distance"]].agg(list)
+        assert case != "plain" or not whole
+        for i, q in zip(ids[:300].tolist(), v[:300], strict=True):
+            d = np.sqrt(((v - q) ** 2).sum(1))
+            order = [x for x in np.lexsort((ids, d)) if np.isfinite(d[x])][:4]
+            assert not order and i not in got.index or [*got.loc[i, "neighbour"]] == ids[order].tolist() and [*got.loc[i, "distance"]] == d[order].tolist()
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "i long, v array<double>")
     assert [tuple(r) for r in neighbor_join.nearest_of_all(df, 3, "i", "v").orderBy("query").collect()] == [(1, 2, 5.0, 1), (2, 1, 5.0, 1)]
