@@ -14,9 +14,11 @@ filled, is cut into powers of two.
 from __future__ import annotations
 
 import bisect
+import gc
 import json
 import re
 import struct
+import threading
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,8 +34,12 @@ TIERS = (256, 512, 1024, 2048)
 POOL_PIECES, POOL_TOKENS = 4096, 2_000_000
 #: Windows that one step of training takes.
 STEP_WINDOWS = 16
-#: Bytes of words and of pieces of words, with their ids, that a worker remembers; what Python adds to each; strings met once that are told apart.
-WORD_BYTES, PIECE_BYTES, MEMO_ENTRY, MARKS = 128 << 20, 128 << 20, 190, 1 << 22
+#: Bytes of words and of pieces of words, with their ids, that a worker remembers; what Python adds to each at most.
+WORD_BYTES, PIECE_BYTES, MEMO_ENTRY = 64 << 20, 32 << 20, 190
+#: How often a word and a piece must be met to be remembered; strings not yet remembered that are told apart; the latest of them, whose ids are at hand.
+WORD_TIMES, PIECE_TIMES, MARKS, LATEST = 3, 2, 1 << 21, 20_000
+#: Seconds after the last task of packing in which a worker, which lives on and serves other stages, still remembers them.
+IDLE_S = 3.0
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint"
 #: White space for Python, but not for the tokenizer.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -49,16 +55,28 @@ BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in SHOW
 
 
 class Memo(dict):
-    """The ids of strings; the first are remembered, with `twice` the first of those that are met again."""
+    """The ids of strings; the first of those that are met so many times are remembered."""
 
-    def __init__(self, ids: Callable[[str], bytes], room: int, twice: bool):
+    def __init__(self, ids: Callable[[str], bytes], room: int, times: int):
         super().__init__()
-        self.ids, self.room, self.met = ids, room, bytearray(b"\0" if twice else b"\1") * MARKS
+        self.ids, self.room, self.times, self.met = ids, room, times, bytearray(MARKS)
+        self.latest: dict[str, bytes] = {}
+
+    def seen(self, text: str) -> bytes:
+        """The ids of a string that does not count as met."""
+        own = self.get(text) or self.latest.get(text)
+        if own is None:
+            own = self.ids(text)
+            if len(self.latest) >= LATEST:
+                self.latest.clear()
+            if len(text) < 100:
+                self.latest[text] = own
+        return own
 
     def __missing__(self, text: str) -> bytes:
-        own, mark = self.ids(text), hash(text) % MARKS
-        if not self.met[mark]:
-            self.met[mark] = 1
+        own, mark = self.seen(text), hash(text) % MARKS
+        if self.met[mark] < self.times - 1:
+            self.met[mark] += 1
         elif self.room > 0 and len(text) < 100:
             self[text] = own
             self.room -= MEMO_ENTRY + 2 * len(text) + len(own)
@@ -86,13 +104,18 @@ class Encoder:
         plain = plain and not any(t["normalized"] for t in made["added_tokens"]) and not made["truncation"] and not made["padding"]
         odd = [f"[^{PLAIN}]", *(re.escape(t["content"]) for t in made["added_tokens"])]
         self.odd = re.compile("|".join(odd) if plain else "")
-        self.words, self.pieces = Memo(self.word, WORD_BYTES, True), Memo(self.piece, PIECE_BYTES, False)
+        self.words, self.pieces = Memo(self.word, WORD_BYTES, WORD_TIMES), Memo(self.piece, PIECE_BYTES, PIECE_TIMES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
-        return self.whole(word) if self.odd.search(word) else b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+        if self.odd.search(word):
+            return self.whole(word)
+        pieces = PIECE.findall(word.lower())
+        if len(pieces) == 1:  # remembered as a word only
+            return self.pieces.seen(pieces[0])
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(BYTES)
@@ -106,6 +129,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_timers: list[threading.Timer] = []
 
 
 def default_tokenizer_file() -> str:
@@ -115,10 +139,28 @@ def default_tokenizer_file() -> str:
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, which lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The encoder of a file, which the worker keeps from task to task."""
+    while _timers:
+        _timers.pop().cancel()
+    own = _encoders.get(path)
+    if own is None:
+        own = _encoders[path] = Encoder(path)
+        released()
+    return own
+
+
+def forget() -> None:
+    _encoders.clear()
+    gc.collect()  # an encoder and its memos refer to each other
+    released()
+
+
+def forget_later() -> None:
+    """Forgets the encoders unless the worker has another task of packing soon."""
+    timer = threading.Timer(IDLE_S, forget)
+    timer.daemon = True
+    _timers.append(timer)
+    timer.start()
 
 
 class Queue:
@@ -252,6 +294,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             yield frame(pool.packed())
         del pool
         released()
+        forget_later()
 
     return short_batches(docs).select(docs[id_col].cast("long").alias("id"), plain_text(docs[text_col]).alias("text")).mapInPandas(run, SCHEMA)
 

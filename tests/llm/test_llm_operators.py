@@ -1,6 +1,7 @@
 """The training-text operators against brute force on small corpora, and on odd input."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
@@ -10,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 
@@ -150,6 +152,29 @@ def test_packing_asks_the_tokenizer_for_pieces_of_words_once(monkeypatch):
     assert sorted(asked) == sorted({"qorvane", ",", "(", ")", "'s", "'", "\u00fcbrax", "!", "."})
 
 
+def test_packing_workers_forget_words_when_they_are_idle(spark):
+    packing.pack(frame(spark, [f"word{i} again" for i in range(50)])).collect()
+    time.sleep(packing.IDLE_S + 2)
+
+    def held(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [sum(isinstance(x, packing.Encoder) for x in gc.get_objects())] * len(batch)})
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 8).mapInPandas(held, "n int").collect()} == {0}
+
+
+def test_packing_remembers_a_word_of_one_piece_once(monkeypatch):
+    monkeypatch.setattr(packing, "WORD_BYTES", 20_000)
+    path = packing.default_tokenizer_file()
+    own, text = packing.Encoder(path), "plain wörter, plain! слово ещё, "
+    assert own(text * 8) == own.whole(text * 8)
+    assert "plain" in own.words and not {"слово"} & own.pieces.keys() and "," in own.pieces
+    rare = " ".join(f"q{i}x" for i in range(500))
+    for _ in range(5):
+        assert own(rare) == own.whole(rare)
+    assert 10 < len(own.words) < 110
+
+
 def test_packing_deals_long_texts_to_groups_of_like_size_and_cost(spark):
     rng = random.Random(4)
     texts = [prose(rng, 40_000) for _ in range(6)] + [prose(rng, rng.randint(20, 900)) for _ in range(60)]
