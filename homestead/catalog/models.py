@@ -75,10 +75,10 @@ def als_complete(t: Tables):
 def completed_errors(t: Tables):
     """Errors of a constant estimate, known for seven cells in ten, completed at rank 3: every corrected estimate is close to the price."""
     rows = low_rank(t)
-    estimates = rows.select("parcel", "month", F.lit(40.0).alias("estimate"))
+    estimates = rows.withColumn("estimate", F.lit(40.0))
     cells = completion.errors(rows.where("known"), estimates, "parcel", "month")
     fitted = completion.complete_matrix(cells, "parcel", "month", "error", rank=3, ridge=1e-4, iterations=20)
-    out = completion.corrected(estimates, fitted).join(rows, ["parcel", "month"])
+    out = completion.corrected(estimates, fitted)
     return out.select("parcel", "month", (F.abs(F.col("corrected") - F.col("price")) < 2).alias("close"))
 
 

@@ -118,9 +118,12 @@ def completion_search(cells: DataFrame, row: str, column: str, value: str, ranks
 
 
 def errors(actual: DataFrame, estimates: DataFrame, row: str, column: str, price: str = "price", estimate: str = "estimate") -> DataFrame:
-    """row, column, error (actual - estimate): the cells of the error matrix, where both are known."""
+    """row, column, error (actual - estimate): the cells of the error matrix, where both are known.
+
+    Cells that were made from few stored rows are taken for few by Spark, which would send them through the driver: they are joined by key.
+    """
     left, right = first_cells(actual, row, column, price), first_cells(estimates, row, column, estimate)
-    return left.join(right, [row, column]).select(row, column, (F.col(price) - F.col(estimate)).alias("error"))
+    return left.join(right.hint("merge"), [row, column]).select(row, column, (F.col(price) - F.col(estimate)).alias("error"))
 
 
 def corrected(estimates: DataFrame, fitted: Completion, estimate: str = "estimate", name: str = "corrected") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from homestead.operators.frame import global_ordinal
 from homestead.shared import written
 
-#: A dictionary is sent to all tasks only if it was measured and has no more rows and bytes than this; else it is joined by value.
-SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
+#: A dictionary is sent to all tasks only if it was measured and has no more rows and bytes than this (the driver holds some five times the bytes); else it is joined by value.
+SMALL_ROWS, SMALL_BYTES = 250_000, 16 << 20
 #: What a value that the dictionary hasn't is coded as: nothing, or 0.
 UNSEEN = {"null": None, "zero": 0}
 
@@ -42,7 +42,7 @@ def extended(known: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _sent(part: DataFrame) -> DataFrame:
     rows, size = part.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__value") + 24), F.lit(0))).first()
-    return F.broadcast(part) if rows <= SMALL_ROWS and size <= SMALL_BYTES else part
+    return F.broadcast(part) if rows <= SMALL_ROWS and size <= SMALL_BYTES else part.hint("merge")
 
 
 def coded(df: DataFrame, known: DataFrame, columns: list[str], unseen: str = "null", suffix: str = "_code") -> DataFrame:

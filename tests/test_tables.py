@@ -36,6 +36,20 @@ def test_values_are_joined_where_the_dictionary_is_large(spark, monkeypatch):
     assert {r["c_code"] for r in dictionary.coded(df, dictionary.dictionary(df, ["c"]), ["c"]).collect()} == set(range(1, 8))
 
 
+def test_cells_of_a_completion_are_not_sent_through_the_driver(spark, monkeypatch):
+    """A few stored rows stand for many cells; by Spark's estimate of their size one side of each join would be sent to all tasks."""
+    monkeypatch.setattr(dictionary, "SMALL_ROWS", 20)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    rows = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"), F.col("c_acctbal").alias("price"), F.lit(40.0).alias("estimate"))
+    made = plan(completion.errors(rows, rows, "c_custkey", "m"))
+    assert "SortMergeJoin" in made and "BroadcastHashJoin" not in made
+    known = dictionary.dictionary(rows, ["c_custkey", "m"])
+    assert "BroadcastHashJoin" not in plan(dictionary.coded(rows, known, ["c_custkey"])) and "BroadcastHashJoin" in plan(dictionary.coded(rows, known, ["m"]))
+    # all joins of the query: by number of a dictionary or of the solver, none of a cell
+    joins = re.findall(r"(?:BroadcastHashJoin|SortMergeJoin) \[([^]]*)\]", plan(catalog.QUERIES["completed_errors"](spark, "/root/testdata/sf0.001")))
+    assert joins and not [j for j in joins if "parcel" in j and "month" in j]
+
+
 def test_completion_finds_a_matrix_of_known_rank(spark):
     """Keys of ten digits; a third of the cells is not known; settings are compared on the same cells."""
     lot = random.Random(1)
