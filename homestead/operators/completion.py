@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import recommendation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homestead.operators import dictionary, sampling
@@ -16,23 +18,77 @@ from homestead.shared import written
 MOST_KEYS = (1 << 31) - 1
 #: Starts that are tried at most, about how many cells they are tried on, and the error, as a share of the values' deviation, with which one is good enough.
 STARTS, START_CELLS, GOOD_SHARE = 8, 50_000, 1e-4
+#: Directions with less than this share of the learned factors' squares count as not learned; a cell may have this share of its factors in such directions.
+NOT_LEARNED, OPEN_SHARE = 1e-6, 0.01
 
 
 @dataclass
 class Completion:
-    """A fitted matrix: factors by number, and the numbers of the keys."""
+    """A fitted matrix: factors by number, the numbers of the keys, and the cells it was learned from, by number."""
 
     model: recommendation.ALSModel
     keys: DataFrame
     row: str
     column: str
+    cells: DataFrame
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """df with a prediction for each row; rows whose row or column key was not learned are left out."""
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        """The rows of df whose keys were both learned, with their numbers."""
         numbered = dictionary.coded(df, self.keys, [self.row, self.column], suffix="__number")
         known = numbered.where(F.col(f"{self.row}__number").isNotNull() & F.col(f"{self.column}__number").isNotNull())
-        cast = known.withColumns({f"{c}__number": F.col(f"{c}__number").cast("int") for c in (self.row, self.column)})
-        return self.model.transform(cast).drop(f"{self.row}__number", f"{self.column}__number")
+        return known.withColumns({f"{c}__number": F.col(f"{c}__number").cast("int") for c in (self.row, self.column)})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with a prediction for each row; rows whose row or column key was not learned are left out."""
+        return self.model.transform(self._numbered(df)).drop(f"{self.row}__number", f"{self.column}__number")
+
+    def determined(self, df: DataFrame, name: str = "determined") -> DataFrame:
+        """df with whether the learned cells say what each cell is; rows whose row or column key was not learned are left out.
+
+        The learned cells of a row give its factors only in the directions that the factors of their columns span, however
+        many they are; in others any factors fit equally well. So the factors of a cell's column must lie in the span of
+        those of the columns learned for its row, and those of its row in the span of those learned for its column.
+        """
+        out, rank = self._numbered(df), self.model.rank
+        factors = {c: self._factors(c) for c in (self.row, self.column)}
+        pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
+        told = F.lit(True)
+        for own, other in ((self.row, self.column), (self.column, self.row)):
+            at = F.col(f"__{other}_factors")
+            learned = self.cells.join(self._sent(factors[other]), f"{other}__number").groupBy(f"{own}__number").agg(F.array(*(F.sum(at[a] * at[b]) for a, b in pairs)).alias(f"__{own}_learned"))
+            side = written(learned.join(factors[own].hint("merge"), f"{own}__number"), "factors-learned")
+            out = out.join(self._sent(side), f"{own}__number")
+            told = told & (_open_share(F.col(f"__{own}_learned"), at) <= OPEN_SHARE)
+        return out.select(*df.columns, told.alias(name))
+
+    def _factors(self, side: str) -> DataFrame:
+        found = self.model.userFactors if self.model.getUserCol() == f"{side}__number" else self.model.itemFactors
+        return found.select(F.col("id").alias(f"{side}__number"), F.col("features").cast("array<double>").alias(f"__{side}_factors"))
+
+    def _sent(self, side: DataFrame) -> DataFrame:
+        """A table by number, sent to all tasks if it is measured and small: a few numbers may stand in all cells."""
+        rows = side.count()
+        width = 16 + 8 * self.model.rank * (2 + self.model.rank)
+        return F.broadcast(side) if rows <= dictionary.SMALL_ROWS and rows * width <= dictionary.SMALL_BYTES else side.hint("merge")
+
+
+def _open_share(learned: Column, factors: Column) -> Column:
+    """Which share of the factors lies in directions that were not learned. learned: sums of the products of learned factors, the upper triangle by rows."""
+
+    @F.pandas_udf("double")
+    def share(sums: pd.Series, at: pd.Series) -> pd.Series:
+        if not len(at):
+            return pd.Series([], dtype=float)
+        v, upper = np.stack(at.to_list()).astype(float), np.stack(sums.to_list()).astype(float)
+        rank = v.shape[1]
+        a, b = np.triu_indices(rank)
+        m = np.zeros((len(v), rank, rank))
+        m[:, a, b] = m[:, b, a] = upper
+        least = np.maximum(NOT_LEARNED * np.trace(m, axis1=1, axis2=2), np.finfo(float).tiny)
+        left = least[:, None] * np.linalg.solve(m + least[:, None, None] * np.eye(rank), v[:, :, None])[:, :, 0]
+        return pd.Series(np.linalg.norm(left, axis=1) / np.maximum(np.linalg.norm(v, axis=1), np.finfo(float).tiny))
+
+    return share(learned, factors)
 
 
 def first_cells(cells: DataFrame, row: str, column: str, value: str, order: str | None = None) -> DataFrame:
@@ -75,7 +131,7 @@ def complete_matrix(cells: DataFrame, row: str, column: str, value: str, rank: i
             best, least = model, own
         if least <= max(good, 2 * loss):
             break
-    return Completion(best, keys, row, column)
+    return Completion(best, keys, row, column, ready)
 
 
 def _loss(model: recommendation.ALSModel, cells: DataFrame) -> float:
@@ -95,25 +151,22 @@ def _starts(solver: recommendation.ALS, cells: DataFrame, seed: int, good: float
 
 
 def completion_search(cells: DataFrame, row: str, column: str, value: str, ranks: list[int], ridges: list[float], held: float = 0.2, seed: int = 1, iterations: int = 10) -> DataFrame:
-    """rank, ridge, cells, rmse, rmse_determined for each setting over the same held-out cells, drawn by a hash of row and column key; those of unknown rows and columns are left out.
+    """rank, ridge, cells, rmse, determined, rmse_determined for each setting over the same held-out cells, drawn by a hash of row and column key; those of unknown rows and columns are left out.
 
-    rmse_determined is that of the cells whose row and column have as many learned cells as the largest rank; with fewer,
-    many completions fit equally well.
+    rmse_determined is that of the `determined` cells, which the learned ones determine at the largest rank; for the
+    others many completions fit equally well.
     """
-    first = first_cells(cells, row, column, value)
+    first = written(first_cells(cells, row, column, value), "cells-first")
     lot = sampling.uniform(F.concat_ws(":", F.col(row).cast("string"), F.col(column).cast("string")), seed)
     train, test = first.where(lot >= held), first.where(lot < held).withColumnRenamed(value, "__actual")
     keys = keys_of(train, row, column)
-    for c in (row, column):
-        test = test.join(keys.where((F.col("column") == c) & (F.col("n") >= max(ranks))).select(F.col("value").alias(f"__{c}_known")), F.col(c).cast("string") == F.col(f"__{c}_known"), "left")
-    test = test.select(row, column, "__actual", (F.col(f"__{row}_known").isNotNull() & F.col(f"__{column}_known").isNotNull()).alias("__determined"))
+    made = {(rank, ridge): complete_matrix(train, row, column, value, rank, ridge, iterations, seed, keys=keys) for rank in ranks for ridge in ridges}
+    test = written(made[max(ranks), min(ridges)].determined(test, "__determined"), "cells-held")
     parts = []
-    for rank in ranks:
-        for ridge in ridges:
-            made = complete_matrix(train, row, column, value, rank, ridge, iterations, seed, keys=keys).transform(test)
-            off = F.pow(F.col("__actual") - F.col("prediction"), 2)
-            errors_of = made.agg(F.count(F.lit(1)).alias("cells"), F.sqrt(F.avg(off)).alias("rmse"), F.sqrt(F.avg(F.when(F.col("__determined"), off))).alias("rmse_determined"))
-            parts.append(errors_of.select(F.lit(rank).alias("rank"), F.lit(ridge).alias("ridge"), "cells", "rmse", "rmse_determined"))
+    for (rank, ridge), fitted in made.items():
+        off = F.pow(F.col("__actual") - F.col("prediction"), 2)
+        errors_of = fitted.transform(test).agg(F.count(F.lit(1)).alias("cells"), F.sqrt(F.avg(off)).alias("rmse"), F.count_if("__determined").alias("determined"), F.sqrt(F.avg(F.when(F.col("__determined"), off))).alias("rmse_determined"))
+        parts.append(errors_of.select(F.lit(rank).alias("rank"), F.lit(ridge).alias("ridge"), "cells", "rmse", "determined", "rmse_determined"))
     return reduce(DataFrame.unionByName, parts)
 
 

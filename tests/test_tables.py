@@ -82,6 +82,21 @@ def test_held_out_cells_that_no_learned_cells_determine_are_told_apart(spark):
     assert rows[0]["cells"] == df.where(lot < 0.2).count() and rows[0]["rmse_determined"] < 0.1 and rows[0]["rmse_determined"] < rows[0]["rmse"]
 
 
+def test_held_out_cells_whose_learned_cells_lie_in_one_direction_are_told_apart(spark):
+    """One row has two or three learned cells, all of months that are multiples of one another at rank 2: as good as a single one."""
+    k, m = F.col("k"), F.col("m")
+    df = spark.range(1, 301).withColumnRenamed("id", "k").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("v", ((1 + k % 7) * (10 + m) + (k % 5) * (m % 4) * 5).cast("double"))
+    lot = completion.sampling.uniform(F.concat_ws(":", k.cast("string"), m.cast("string")), 1)
+    flat = m % 4 == 0
+    learned = df.groupBy("k").agg(F.count_if(flat & (lot >= 0.2)).alias("n"), F.count_if(~flat & (lot < 0.2)).alias("open"), F.collect_set(F.when(flat & (lot < 0.2), m)).alias("flat_held"))
+    one, n_open = learned.where((F.col("n") == 2) & (k % 5 > 1) & (F.size("flat_held") == 1)).orderBy(F.desc("open"), "k").select("k", "open").first()
+    rows = completion.completion_search(df.where((k != one) | (lot < 0.2) | flat), "k", "m", "v", [1, 2], [1e-4], iterations=20).collect()
+    held = df.where(lot < 0.2).count()
+    found = {r["rank"]: r for r in rows}
+    assert n_open > 0 and {r["cells"] for r in rows} == {held} and {r["determined"] for r in rows} == {held - n_open}  # the held-out multiple is determined
+    assert found[2]["rmse_determined"] < 0.1 < found[2]["rmse"] and found[1]["rmse_determined"] > 1
+
+
 def test_scans_count_and_write_rejects_beside_in_one_pass(spark, tmp_path):
     lines = ["1\t2.5\tx", "2\t\ty", "3\tz\tx", "4\t1", "", "5\t9.0\tx\t", "6\t50\tx", "7\t1\t"]
     (tmp_path / "in.txt").write_text("\n".join(lines) + "\n")
