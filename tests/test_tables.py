@@ -83,7 +83,7 @@ def test_held_out_cells_that_no_learned_cells_determine_are_told_apart(spark):
 
 
 def test_held_out_cells_whose_learned_cells_lie_in_one_direction_are_told_apart(spark):
-    """One row has two or three learned cells, all of months that are multiples of one another at rank 2: as good as a single one."""
+    """One row has two learned cells, of months that are multiples of one another at rank 2: as good as a single one."""
     k, m = F.col("k"), F.col("m")
     df = spark.range(1, 301).withColumnRenamed("id", "k").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("v", ((1 + k % 7) * (10 + m) + (k % 5) * (m % 4) * 5).cast("double"))
     lot = completion.sampling.uniform(F.concat_ws(":", k.cast("string"), m.cast("string")), 1)
